@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -74,7 +75,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CH
     """The same rows in batches of about ``most`` bytes of ``text``, one row at least."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
-        size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False), np.int64)
+        size = np.asarray(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), np.int64)
         start = 0
         ends = np.cumsum(size)
         while start < batch.num_rows:
