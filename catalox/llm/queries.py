@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from catalox.llm.exact_dedup import exact_dedup
 from catalox.llm.line_dedup import line_dedup, line_digest
+from catalox.llm.near_dedup import near_dedup
 from catalox.llm.packing import pack
 
 
@@ -19,6 +20,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digest(line_dedup(_table(spark, sf_dir, "documents")))
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(_table(spark, sf_dir, "documents"), shingle=4)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -29,6 +34,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
@@ -45,6 +51,22 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
         FROM marked GROUP BY doc_id""",
+    "op4_minhash_near_dedup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+            FROM documents),
+        s AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+                ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS sh FROM w),
+        e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+        p AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        g AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+        r AS (SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT g.b, r.c FROM r JOIN g ON r.id = g.a),
+        m AS (SELECT id, min(c) AS c FROM r GROUP BY id)
+        SELECT s.doc_id, len(sh) AS n_shingles, m.c AS component_id, s.doc_id = m.c AS kept FROM s JOIN m ON m.id = s.doc_id""",
     "op9_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
