@@ -10,12 +10,17 @@ from catalox.llm.exact_dedup import exact_dedup
 from catalox.llm.line_dedup import line_dedup, line_digest
 from catalox.llm.near_dedup import near_dedup
 from catalox.llm.packing import pack
+from catalox.llm.substring_dedup import substring_dedup, substring_digest
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_digest(substring_dedup(_table(spark, sf_dir, "documents")))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digest(line_dedup(_table(spark, sf_dir, "documents")))
 
@@ -33,6 +38,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op3_line_dedup": op3_line_dedup,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
@@ -40,6 +46,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": r"""
+        WITH w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+            FROM documents),
+        p AS (SELECT doc_id, unnest(range(1, len(ws) - 11)) AS i, ws FROM w WHERE len(ws) >= 13),
+        g AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS x FROM p),
+        m AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY x) AS first_id FROM g),
+        gone AS (SELECT DISTINCT doc_id, i + j AS k FROM m, range(0, 13) t(j) WHERE first_id < doc_id),
+        words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS k FROM w),
+        kept AS (
+            SELECT words.doc_id, count(*) AS n_words, count(gone.k) AS n_removed,
+                   coalesce(string_agg(word, ' ' ORDER BY words.k) FILTER (gone.k IS NULL), '') AS t
+            FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.k = words.k GROUP BY words.doc_id)
+        SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM documents d LEFT JOIN kept ON kept.doc_id = d.doc_id""",
     "op3_line_dedup": r"""
         WITH lines AS (
             SELECT doc_id, i, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
