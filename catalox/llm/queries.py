@@ -11,6 +11,7 @@ from catalox.llm.line_dedup import line_dedup, line_digest
 from catalox.llm.mixing import mix
 from catalox.llm.near_dedup import near_dedup
 from catalox.llm.packing import pack
+from catalox.llm.quality import classify
 from catalox.llm.substring_dedup import substring_dedup, substring_digest
 
 
@@ -34,6 +35,10 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -47,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mixing": op2_source_mixing,
     "op3_line_dedup": op3_line_dedup,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_quality_classifier": op5_quality_classifier,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
