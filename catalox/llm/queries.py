@@ -13,6 +13,7 @@ from catalox.llm.near_dedup import near_dedup
 from catalox.llm.packing import pack
 from catalox.llm.quality import classify
 from catalox.llm.substring_dedup import substring_dedup, substring_digest
+from catalox.llm.warc import capture_histories
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +40,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capture_histories(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_warc_index_merge": op6_warc_index_merge,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
@@ -139,6 +145,13 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT g.b, r.c FROM r JOIN g ON r.id = g.a),
         m AS (SELECT id, min(c) AS c FROM r GROUP BY id)
         SELECT s.doc_id, len(sh) AS n_shingles, m.c AS component_id, s.doc_id = m.c AS kept FROM s JOIN m ON m.id = s.doc_id""",
+    "op6_warc_index_merge": r"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+        m AS (SELECT page_id, h, n, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY h) ELSE page_id END AS f FROM p)
+        SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest,
+               CASE WHEN f > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN f > page_id THEN f END AS refers_to
+        FROM m""",
     "op9_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
