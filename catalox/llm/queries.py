@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from catalox.llm.ann import nearest
 from catalox.llm.exact_dedup import exact_dedup
 from catalox.llm.line_dedup import line_dedup, line_digest
 from catalox.llm.mixing import mix
@@ -44,6 +45,11 @@ def op6_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture_histories(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_adaptive_scan_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -59,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_warc_index_merge": op6_warc_index_merge,
+    "op8_adaptive_scan_ann": op8_adaptive_scan_ann,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
