@@ -168,8 +168,8 @@ def counts(state: DataFrame) -> DataFrame:
     return state.select(F.explode(F.arrays_zip("hi", "lo", "docs")).alias("x")).select("x.hi", "x.lo", "x.docs")
 
 
-def drop_lines(docs: DataFrame, keys: DataFrame, state: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, text, n_lines, n_dropped): the documents without lines whose key ``min_docs`` documents hold."""
+def drop_lines(docs: DataFrame, keys: DataFrame, state: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (id, text, n_lines, n_dropped) and the columns ``carry``: the documents without lines whose key ``min_docs`` documents hold."""
     frequent = materialize(counts(state).filter(F.col("docs") >= min_docs).select("hi", "lo"), "line-frequent")
     drops = keys.join(frequent, ["hi", "lo"], "left_semi").groupBy("id").agg(F.collect_set(F.struct("hi", "lo")).alias("drop"))
     drops = materialize(drops, "line-drops")
@@ -186,15 +186,18 @@ def drop_lines(docs: DataFrame, keys: DataFrame, state: DataFrame, min_docs: int
                 n_dropped.append(n_lines[-1] - len(lines))
                 kept.append(b"\n".join(lines))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())],
-                names=["id", "text", "n_lines", "n_dropped"])
+                [batch.column(0), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), *batch.columns[3:]],
+                names=["id", "text", "n_lines", "n_dropped", *slots])
 
-    marked = _texts(docs, id_col, text_col).join(drops.hint("shuffle_hash"), "id", "left")
-    return marked.mapInArrow(cut, "id long, text string, n_lines long, n_dropped long")
+    slots = [f"carried_{i}" for i in range(len(carry))]  # names that nothing here uses
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(x) for c, x in zip(carry, slots, strict=True))).filter("id is not null")
+    marked = texts.join(drops.hint("shuffle_hash"), "id", "left").select("id", "text", "drop", *slots)
+    schema = "id long, text string, n_lines long, n_dropped long" + "".join(f", {x} {docs.schema[c].dataType.simpleString()}" for c, x in zip(carry, slots, strict=True))
+    return marked.mapInArrow(cut, schema).select("id", "text", "n_lines", "n_dropped", *(F.col(x).alias(c) for c, x in zip(carry, slots, strict=True)))
 
 
-def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, shard_keys: int = SHARD_KEYS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents without their frequent lines: ``id_col, text, n_lines, n_dropped``.
+def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, shard_keys: int = SHARD_KEYS, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Documents without their frequent lines: ``id_col, text, n_lines, n_dropped`` and the columns ``carry``.
 
     A text is split at line feeds; null or empty text is one empty line. A line's
     key is the line stripped of ASCII white space with A-Z in lower case. Lines of
@@ -206,7 +209,8 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_C
     spark = docs.sparkSession
     keys = materialize(line_keys(docs, min_chars, id_col, text_col), "line-keys")
     state = apply_changes(empty_state(spark), keys, 1, shards_for(keys, shard_keys))
-    return drop_lines(docs, keys, state, min_docs, min_chars, id_col, text_col).withColumnRenamed("id", id_col)
+    found = drop_lines(docs, keys, state, min_docs, min_chars, id_col, text_col, carry)
+    return found.select(F.col("id").alias(id_col), *found.columns[1:])
 
 
 def line_digest(result: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from catalox.llm.ann import nearest
 from catalox.llm.exact_dedup import exact_dedup
+from catalox.llm.extraction import extract
 from catalox.llm.line_dedup import line_dedup, line_digest
 from catalox.llm.mixing import mix
 from catalox.llm.near_dedup import near_dedup
@@ -45,6 +46,10 @@ def op6_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture_histories(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op8_adaptive_scan_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.filter("vec_id % 100 = 0"))
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_warc_index_merge": op6_warc_index_merge,
+    "op7_html_extraction": op7_html_extraction,
     "op8_adaptive_scan_ann": op8_adaptive_scan_ann,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
