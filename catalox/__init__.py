@@ -1 +1 @@
-"""Media-catalogue analytics as Spark DataFrame programs."""
+"""Catalogue analytics on PySpark: search, listing, facets, digests, comparison, merging and ingest of record collections."""

@@ -1 +1 @@
-"""functions of the catalogue engine."""
+"""Column expressions."""

@@ -1 +1 @@
-"""operators of the catalogue engine."""
+"""Operators over record collections: DataFrames in, DataFrames out."""

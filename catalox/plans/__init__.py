@@ -1 +1 @@
-"""plans of the catalogue engine."""
+"""Named queries over the driver tables, each with its SQL form where there is one."""

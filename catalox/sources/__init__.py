@@ -1 +1 @@
-"""sources of the catalogue engine."""
+"""Tables, files and the sharded record store."""

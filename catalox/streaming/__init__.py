@@ -1 +1 @@
-"""streaming of the catalogue engine."""
+"""Structured Streaming jobs."""
