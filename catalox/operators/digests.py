@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from catalox.operators.index import numbered
+from catalox.sources.scratch import materialize
 
 #: Leaves that one task folds at a time, a power of two.
 FAN = 4096
@@ -41,66 +42,56 @@ def root_of(peaks: Sequence[bytes]) -> bytes | None:
     return root
 
 
-def merkle_root(leaves: DataFrame, order: Sequence[Column], digest: str, fan: int = FAN) -> str | None:
-    """The root (hex) of the leaves in an order; null without leaves. ``digest`` holds hex SHA-256 texts.
+def group_roots(leaves: DataFrame, group: str, order: Sequence[Column], digest: str, fan: int = FAN) -> DataFrame:
+    """Rows (group, n, root): the root of each group's leaves in their order. ``digest`` holds hex SHA-256 texts.
 
-    Blocks of ``fan`` leaves fold to one node each and these fold again, so each
-    pass shrinks the rows by ``fan`` and only the last few reach the driver. The
-    block at the end leaves its perfect subtrees, which join at the end.
+    Blocks of ``fan`` leaves fold to one node each and these fold again, so a pass
+    shrinks the rows by ``fan`` and no task sees more than a block of a group. An
+    unfinished block leaves its perfect subtrees, which join at the end.
     """
-    nodes = numbered(leaves.select(F.col(digest).alias("digest"), *[c.alias(f"k{i}") for i, c in enumerate(order)]), [F.col(f"k{i}") for i in range(len(order))]).select("position", "digest")
-    tails: list[list[bytes]] = []
-    while True:
-        total = nodes.count()
-        whole = total // fan
-        if total <= fan:
-            rows = sorted((r["position"], bytes.fromhex(r["digest"])) for r in nodes.collect())  # at most ``fan`` nodes
-            return _finish([[d for _, d in fold([d for _, d in rows])], *reversed(tails)])
-        last = sorted((r["position"], bytes.fromhex(r["digest"])) for r in nodes.filter(F.col("position") >= whole * fan).collect())  # fewer than ``fan``
-        tails.append([d for _, d in fold([d for _, d in last])])
-
-        def block(key, rows: pd.DataFrame) -> pd.DataFrame:
-            own = [bytes.fromhex(d) for d in rows.sort_values("position")["digest"]]
-            return pd.DataFrame({"position": [key[0]], "digest": [fold(own)[0][1].hex()]})
-
-        blocks = nodes.filter(F.col("position") < whole * fan).groupBy(F.floor(F.col("position") / fan).alias("block"))
-        nodes = blocks.applyInPandas(block, "position long, digest string")
-
-
-def _finish(levels: list[list[bytes]]) -> str | None:
-    root = root_of([d for level in levels for d in level])
-    return root.hex() if root else None
+    kind = leaves.schema[group].dataType.simpleString()
+    keys = [F.col(f"k{i}") for i in range(len(order))]
+    placed = numbered(leaves.select(F.col(group).alias("group"), F.col(digest).alias("digest"), *[c.alias(f"k{i}") for i, c in enumerate(order)]), [F.col("group"), *keys])
+    sizes = materialize(placed.groupBy("group").agg(F.min("position").alias("start"), F.count("*").alias("n")), "digest-sizes")
+    nodes = placed.join(sizes, "group").select("group", (F.col("position") - F.col("start")).alias("place"), "digest")
+    schema = f"group {kind}, place long, part int, digest string"
+
+    def block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        peaks = [d.hex() for _, d in fold([bytes.fromhex(d) for d in rows.sort_values("place")["digest"]])]
+        whole = len(rows) == fan
+        parts = pd.array([None] if whole else list(range(len(peaks))), dtype="Int32")
+        return pd.DataFrame({"group": [key[0]] * len(peaks), "place": [key[1]] * len(peaks), "part": parts, "digest": peaks})
+
+    def finish(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        peaks = rows.sort_values(["level", "part"], ascending=[False, True])["digest"]
+        return pd.DataFrame({"group": [key[0]], "root": [root_of([bytes.fromhex(d) for d in peaks]).hex()]})
+
+    left, level, peaks = sizes.agg(F.max("n")).first()[0] or 0, 0, None
+    while left:
+        folded = materialize(nodes.groupBy("group", F.floor(F.col("place") / fan).alias("block")).applyInPandas(block, schema), "digest-blocks")
+        own = folded.filter("part is not null").select("group", F.lit(level).alias("level"), "part", "digest")
+        peaks = own if peaks is None else peaks.union(own)
+        nodes, left, level = folded.filter("part is null"), left // fan, level + 1
+    if peaks is None:
+        return leaves.sparkSession.createDataFrame([], f"{group} {kind}, n long, root string")
+    roots = peaks.groupBy("group").applyInPandas(finish, f"group {kind}, root string")
+    return sizes.join(roots, "group").select(F.col("group").alias(group), "n", "root")
 
 
-def shard_roots(leaves: DataFrame, shard: str, key: str, digest: str) -> DataFrame:
-    """Rows (shard, n, root): one root per shard over its leaves by key.
+def merkle_root(leaves: DataFrame, order: Sequence[Column], digest: str, fan: int = FAN) -> str | None:
+    """The root (hex) of all leaves in an order; null without leaves."""
+    row = group_roots(leaves.select("*", F.lit(0).alias("digest_group")), "digest_group", order, digest, fan).first()
+    return row["root"] if row else None
 
-    A shard's sorted leaves stream through one task that holds only its perfect subtrees.
-    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, n, peaks = None, 0, []
-        out: list[tuple] = []
-        for batch in batches:
-            for s, d in zip(batch["shard"], batch["digest"], strict=True):
-                if s != now:
-                    if n:
-                        out.append((now, n, root_of([p for _, p in peaks]).hex()))
-                    now, n, peaks = s, 0, []
-                node, height = bytes.fromhex(d), 0
-                while peaks and peaks[-1][0] == height:
-                    node, height = join_nodes(peaks.pop()[1], node), height + 1
-                peaks.append((height, node))
-                n += 1
-        if n:
-            out.append((now, n, root_of([p for _, p in peaks]).hex()))
-        yield pd.DataFrame(out, columns=["shard", "n", "root"])
-
-    dealt = leaves.select(F.col(shard).cast("long").alias("shard"), F.col(key).alias("key"), F.col(digest).alias("digest"))
-    return dealt.repartition("shard").sortWithinPartitions("shard", "key").select("shard", "digest").mapInPandas(run, "shard long, n long, root string")
+def shard_roots(leaves: DataFrame, shard: str, key: str, digest: str) -> DataFrame:
+    """Rows (shard, n, root): one root per shard over its leaves by key."""
+    found = group_roots(leaves, shard, [F.col(key)], digest)
+    return found.select(F.col(shard).cast("long").alias("shard"), "n", "root")
 
 
 def collection_root(roots: DataFrame) -> str | None:
     """The root over a collection's shard roots, in order of shard."""
     rows = roots.orderBy("shard").collect()  # one row per shard, a fixed number
-    return _finish([[d for _, d in fold([bytes.fromhex(r["root"]) for r in rows])]])
+    root = root_of([d for _, d in fold([bytes.fromhex(r["root"]) for r in rows])])
+    return root.hex() if root else None

@@ -42,16 +42,23 @@ def soft_delete(records: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return records.join(named, key, "left").withColumn("deleted", F.coalesce("named", F.lit(False))).drop("named")
 
 
-def fold_array_ops(values: Column, ops: Column) -> Column:
-    """``values`` after a list of structs (seq, kind, value) in order: push adds what is absent, pull removes all equal."""
-    start = F.coalesce(values, F.array().cast("array<string>"))
+def list_edits(edits: DataFrame, key: str) -> DataFrame:
+    """Rows (key, pulled, added) of a log of push and pull: values that were ever pulled, and those pushed since, in order of that push.
+
+    Of each record and value only its last pull and its first push after that
+    matter, so a record's log is never gathered, only its distinct values.
+    """
+    pulls = edits.groupBy(key, "value").agg(F.max(F.when(F.col("kind") == "pull", F.col("seq"))).alias("last_pull"))
+    pushes = edits.filter("kind = 'push'").join(pulls, [key, "value"]).filter("last_pull is null or seq > last_pull").groupBy(key, "value").agg(F.min("seq").alias("first_push"))
+    both = pulls.join(pushes, [key, "value"], "left")
+    added = F.array_sort(F.collect_list(F.when(F.col("first_push").isNotNull(), F.struct("first_push", "value"))))
+    return both.groupBy(key).agg(F.collect_set(F.when(F.col("last_pull").isNotNull(), F.col("value"))).alias("pulled"), F.transform(added, lambda x: x["value"]).alias("added"))
 
-    def step(now: Column, op: Column) -> Column:
-        return (
-            F.when((op["kind"] == "push") & ~F.array_contains(now, op["value"]), F.array_append(now, op["value"]))
-            .when(op["kind"] == "pull", F.array_remove(now, op["value"])).otherwise(now))
 
-    return F.aggregate(F.array_sort(ops), start, step)
+def edited(values: Column, pulled: Column, added: Column) -> Column:
+    """The list after its edits: what was never pulled stays, and what was pushed and is not there follows."""
+    stay = F.filter(F.coalesce(values, F.array().cast("array<string>")), lambda x: ~F.array_contains(pulled, x))
+    return F.concat(stay, F.array_except(added, stay))
 
 
 def last_set(ops: DataFrame, key: str, field: str) -> DataFrame:
@@ -70,10 +77,10 @@ def apply_ops(records: DataFrame, ops: DataFrame, key: str, scalar: Sequence[str
         known = records.select(key).union(ops.filter("kind = 'set'").select(key))
         check_complete(edits.join(known, key, "left_anti").select(key), "push or pull without a record")
     sets = last_set(ops.filter(F.col("field").isin(list(scalar))), key, "field").groupBy(key).pivot("field", list(scalar)).agg(F.first("value"))
-    lists = edits.groupBy(key).agg(F.collect_list(F.struct("seq", "kind", "value")).alias("edits"))
+    lists = list_edits(edits, key)
     named = sets.select(key, *[F.col(f).alias(f"new_{f}") for f in scalar])
     joined = records.join(named, key, "full").join(lists, key, "left")
-    columns = [F.coalesce(F.col(f"new_{n}").cast(records.schema[n].dataType), F.col(n)).alias(n) if n in scalar else F.when(F.col("edits").isNull(), F.col(n)).otherwise(fold_array_ops(F.col(n), F.col("edits"))).alias(n) if n == array else F.col(n) for n in records.columns]
+    columns = [F.coalesce(F.col(f"new_{n}").cast(records.schema[n].dataType), F.col(n)).alias(n) if n in scalar else F.when(F.col("added").isNull(), F.col(n)).otherwise(edited(F.col(n), F.col("pulled"), F.col("added"))).alias(n) if n == array else F.col(n) for n in records.columns]
     return joined.select(*columns)
 
 

@@ -1,4 +1,8 @@
-"""A collection as Parquet snapshots partitioned by shard; versions switch by name."""
+"""A collection as Parquet snapshots partitioned by shard; versions switch by name.
+
+Files hold key ranges of a shard, so a large shard is written by many tasks and a
+lookup skips files by their bounds.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +14,7 @@ from catalox.functions.records import SHARDS, shard_of
 
 def write_version(records: DataFrame, path: str, version: int, key: str, shards: int = SHARDS) -> None:
     """Write all records as one version, in place of what a failed attempt left of it. A version is complete once Spark has written its success mark."""
-    records.withColumn("shard", shard_of(F.col(key), shards)).repartition("shard").sortWithinPartitions("shard", key).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("shard").parquet(f"{path}/v{version}")
+    records.withColumn("shard", shard_of(F.col(key), shards)).repartitionByRange("shard", key).sortWithinPartitions("shard", key).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("shard").parquet(f"{path}/v{version}")
 
 
 def latest(spark: SparkSession, path: str) -> int | None:
@@ -40,6 +44,6 @@ def shard_page(records: DataFrame, shard: int) -> DataFrame:
     return records.filter(F.col("shard") == shard)
 
 
-def replace_shards(changed: DataFrame, path: str, version: int) -> None:
+def replace_shards(changed: DataFrame, path: str, version: int, key: str) -> None:
     """Overwrite only the shards that ``changed`` holds, each with all its records."""
-    changed.repartition("shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(f"{path}/v{version}")
+    changed.repartitionByRange("shard", key).sortWithinPartitions("shard", key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(f"{path}/v{version}")

@@ -188,3 +188,19 @@ def test_checks(spark):
     assert rows(checks.verify(e, f, "n", full=True), "n", "status")[0] == ("a", "modified")
     none = spark.createDataFrame([], "status string, size long")
     assert tuple(checks.import_summary(none, "status", "size").first()) == (0, 0, 0, 0, 0, 0)
+
+
+def test_list_edits_like_a_fold(spark):
+    """Random logs: the last-pull rule gives what applying one edit after another gives."""
+    rng = random.Random(8)
+    start = {f"r{i}": [rng.choice("abcd") for _ in range(rng.randrange(0, 4))] for i in range(20)}
+    log = [(rng.choice(list(start)), i, rng.choice(["push", "pull"]), "labels", rng.choice("abcde")) for i in range(300)]
+    want = {k: list(v) for k, v in start.items()}
+    for k, _, kind, _, v in log:
+        if kind == "push":
+            want[k] += [] if v in want[k] else [v]
+        else:
+            want[k] = [x for x in want[k] if x != v]
+    records = spark.createDataFrame([(k, "n", v) for k, v in start.items()], "id string, name string, labels array<string>")
+    ops = spark.createDataFrame(log, "id string, seq int, kind string, field string, value string")
+    assert {r.id: r.labels for r in edits.apply_ops(records, ops, "id", ["name"], "labels").collect()} == want
