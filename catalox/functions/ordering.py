@@ -33,4 +33,4 @@ def place_key(location: Column) -> Column:
 def reverse_time_key(ts: Column, sequence: Column) -> Column:
     """A text that ascends as time descends (until the year 3000), with a sequence number."""
     left = F.unix_millis(F.lit("3000-01-01 00:00:00").cast("timestamp")) - F.unix_millis(ts)
-    return F.concat(F.lpad(left.cast("string"), 20, "0"), F.lit("-"), F.lpad(sequence.cast("string"), 6, "0"))
+    return F.concat(F.lpad(left.cast("string"), 20, "0"), F.lit("-"), F.lpad(sequence.cast("string"), 3, "0"))

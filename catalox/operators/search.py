@@ -81,6 +81,11 @@ def under_path(path: Column, prefix: str) -> Column:
     return (path == prefix) | path.startswith(prefix.rstrip("/") + "/")
 
 
+def in_partial_replica(path: Column) -> Column:
+    """Files that a partial replica holds: thumbnails and those of the top folder."""
+    return path.startswith("thumb/") | ~path.contains("/")
+
+
 def geo_box(lat: Column, lng: Column, south: float, west: float, north: float, east: float) -> Column:
     return lat.between(south, north) & lng.between(west, east)
 
