@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from catalox.operators.index import numbered
+
 
 def by_name(a: DataFrame, b: DataFrame, name: str, hash_: str) -> DataFrame:
     """Rows (name, status): only_a, only_b or modified; equal ones are left out."""
@@ -17,12 +19,15 @@ def by_name(a: DataFrame, b: DataFrame, name: str, hash_: str) -> DataFrame:
 def unmatched(a: DataFrame, b: DataFrame, name: str, hash_: str) -> DataFrame:
     """Rows (name, hash) of ``a`` whose hashes exceed those of ``b`` in number; of equal hashes the last names stay.
 
-    Numbering equal hashes on one side only needs the count of the other, so no
-    pairs are made.
+    Only counts of hashes meet, so no pairs are made; names are ordered only where
+    both sides hold a hash and this one more often. A null hash matches nothing.
     """
-    counts = b.groupBy(hash_).agg(F.count("*").alias("held"))
-    number = F.row_number().over(Window.partitionBy(hash_).orderBy(name))
-    return a.select(name, hash_).withColumn("number", number).join(counts, hash_, "left").filter("number > coalesce(held, 0)").select(name, hash_)
+    own, held = (d.groupBy(hash_).agg(F.count("*").alias(n)) for d, n in ((a, "own"), (b, "held")))
+    rows = a.select(name, hash_).join(own.join(held, hash_, "left").filter("held is null or own > held"), hash_)
+    placed = numbered(rows.filter("held is not null"), [F.col(hash_), F.col(name)])
+    starts = placed.groupBy(hash_).agg(F.min("position").alias("start"))
+    more = placed.join(starts, hash_).filter("position - start >= held").select(name, hash_)
+    return more.unionByName(rows.filter("held is null").select(name, hash_)).unionByName(a.filter(F.col(hash_).isNull()).select(name, hash_))
 
 
 def by_content(a: DataFrame, b: DataFrame, name: str, hash_: str) -> DataFrame:

@@ -11,21 +11,11 @@ from pyspark.sql import functions as F
 from catalox.operators.index import numbered
 
 GUTTER, HEADING = 4, 45
+#: Places of an order that one window covers.
+BLOCK = 100_000
 
 
-def islands(df: DataFrame, group: Sequence[str], position: str = "position") -> DataFrame:
-    """Runs of equal groups in the order of ``position``: group columns, from, to, n.
-
-    In one group the difference of a row's place and its place among the group's
-    rows is the same along a run, so no window spans the whole table. Null groups
-    are equal.
-    """
-    within = F.row_number().over(Window.partitionBy(*group).orderBy(position)) - 1
-    runs = df.withColumn("run", F.col(position) - within).groupBy(*group, "run")
-    return runs.agg(F.min(position).alias("from"), F.max(position).alias("to"), F.count("*").alias("n")).drop("run")
-
-
-def neighbours(df: DataFrame, key: str, position: str = "position", block: int = 100_000) -> DataFrame:
+def neighbours(df: DataFrame, key: str, position: str = "position", block: int = BLOCK) -> DataFrame:
     """``df`` with the keys before and after each row in an order numbered from 0.
 
     Windows run over blocks of positions; a block also gets the rows that adjoin it.
@@ -37,10 +27,23 @@ def neighbours(df: DataFrame, key: str, position: str = "position", block: int =
     return dealt.withColumns({"previous": F.lag(key).over(w), "next": F.lead(key).over(w)}).filter(F.col("block") == own).drop("block")
 
 
+def islands(df: DataFrame, group: Sequence[str], position: str = "position", block: int = BLOCK) -> DataFrame:
+    """Runs of equal groups in a numbered order: group columns, from, to, n. Null groups are equal.
+
+    A run begins where the group before differs and ends before the next one begins,
+    so windows run over blocks of numbers, however long a run or large a group is.
+    """
+    rows = neighbours(df.select(*group, position, F.struct(*group).alias("own_group")), "own_group", position, block)
+    begins = numbered(rows.filter("not (own_group <=> previous)").select(*group, F.col(position).alias("from")), [F.col("from")], "run")
+    last = df.agg(F.max(position)).first()[0]
+    runs = neighbours(begins, "from", "run", block).withColumn("to", F.coalesce(F.col("next") - 1, F.lit(last)))
+    return runs.select(*group, "from", "to", (F.col("to") - F.col("from") + 1).alias("n"))
+
+
 def select_range(df: DataFrame, key: str, one, two, position: str = "position") -> DataFrame:
     """Rows from one key to the other in a numbered order, both included, whichever comes first."""
-    ends = df.filter(F.col(key).isin(one, two)).agg(F.min(position).alias("first"), F.max(position).alias("last"))
-    return df.join(F.broadcast(ends), F.col(position).between(F.col("first"), F.col("last"))).drop("first", "last")
+    first, last = df.filter(F.col(key).isin(one, two)).agg(F.min(position), F.max(position)).first()
+    return df.filter(F.col(position).between(F.lit(first), F.lit(last)))
 
 
 def top_n_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
@@ -107,8 +110,3 @@ def row_offsets(packed: DataFrame, group_order: Sequence[Column], group: str = "
     starts = totals.select(group, F.coalesce(before, F.lit(0.0)).alias("start"))
     within = F.sum("height").over(Window.partitionBy(group).orderBy("row").rowsBetween(Window.unboundedPreceding, -1))
     return every.join(starts, group).select(group, "row", "height", (F.col("start") + F.coalesce(within, F.lit(0.0))).alias("offset"))
-
-
-def in_order(df: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """``df`` numbered in the order; alias kept for listings."""
-    return numbered(df, order)

@@ -22,11 +22,12 @@ def merge(source: DataFrame, target: DataFrame, key: str, fields: Sequence[str],
     the source has them and ``tombstones(key)`` names them. The merged record's time
     is the smaller one, so later pulls still see newer fields.
     """
-    s, t = source.alias("s"), target.alias("t")
+    gone = F.lit(False)
     if tombstones is not None:
-        fresh = source.join(target.select(key), key, "left_semi").unionByName(source.join(target.select(key), key, "left_anti").join(tombstones.select(key), key, "left_anti"))
-        s = fresh.alias("s")
-    joined = s.join(t, F.col(f"s.{key}") == F.col(f"t.{key}"), "full")
+        source = source.join(tombstones.select(key).distinct().withColumn("is_gone", F.lit(True)), key, "left")
+        gone = F.coalesce("s.is_gone", F.lit(False)) & F.col(f"t.{key}").isNull()
+    s, t = source.alias("s"), target.alias("t")
+    joined = s.join(t, F.col(f"s.{key}") == F.col(f"t.{key}"), "full").filter(~gone)
     merged = [newer(F.col(f"s.{f}"), F.col(f"t.{f}"), F.col(f"s.{ts}"), F.col(f"t.{ts}")).alias(f) for f in fields]
     return joined.select(F.coalesce(f"s.{key}", f"t.{key}").alias(key), *merged, F.least(f"s.{ts}", f"t.{ts}").alias(ts))
 

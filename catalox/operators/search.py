@@ -63,16 +63,19 @@ def asset_filter(
     name: Column, location: Column, kind: Column, date: Column, query: str | None = None, content_type: str | None = None,
     date_from: str | None = None, date_to: str | None = None,
 ) -> Column:
-    """Text in name or place, prefix of the media type, inclusive dates. A record without a date goes only if a date is asked for."""
+    """Text in name or place, prefix of the media type, inclusive dates. A record without a date goes only if a date is asked for.
+
+    ``date`` is a date or time; the bounds take its type, so they reach the scan.
+    """
     conditions = []
     if query:
-        conditions.append(_any([F.coalesce(F.lower(c).contains(query.lower()), F.lit(False)) for c in (name, location)]))
+        conditions.append(_any([F.lower(c).contains(query.lower()) for c in (name, location)]))
     if content_type:
-        conditions.append(F.coalesce(F.lower(kind).startswith(content_type.lower()), F.lit(False)))
+        conditions.append(F.lower(kind).startswith(content_type.lower()))
     if date_from:
-        conditions.append(F.coalesce(date >= F.lit(date_from).cast("timestamp"), F.lit(False)))
+        conditions.append(date >= F.lit(date_from))
     if date_to:
-        conditions.append(F.coalesce(date <= F.lit(date_to).cast("timestamp"), F.lit(False)))
+        conditions.append(date <= F.lit(date_to))
     return _all(conditions)
 
 
