@@ -71,6 +71,21 @@ def hashes(parts: list[bytes], memo: HashMemo) -> np.ndarray:
     return np.fromiter(map(memo.__getitem__, parts), np.uint64, len(parts))
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The runs without ASCII white space of all texts in a row, and how many each text has; null has none."""
+    split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    words, upto = split.flatten(), split.offsets.to_numpy() - split.offsets[0].as_py()
+    real = pc.binary_length(words).to_numpy() > 0
+    before = np.concatenate([[0], np.cumsum(real)])
+    return (words if real.all() else words.filter(pa.array(real))), np.diff(before[upto])
+
+
+def word_hashes(words: pa.Array, memo: HashMemo) -> np.ndarray:
+    """64-bit hashes; each distinct word is hashed once."""
+    coded = words.dictionary_encode()
+    return hashes(coded.dictionary.cast(pa.binary()).to_pylist(), memo)[coded.indices.to_numpy()]
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` bytes of ``text``, one row at least."""
     for batch in batches:

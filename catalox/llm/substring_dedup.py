@@ -15,55 +15,81 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalox.llm.common import HashMemo, chunks, hashes, materialize, multipliers, spread
+from catalox.llm.common import HashMemo, chunks, materialize, multipliers, split_words, spread, word_hashes
 
 WINDOW = 13
 SEED = 4
+#: Low bits that hold a word's place in a chunk while windows choose their anchors.
+PLACE_BITS = 28
 #: Anchor states: all its windows repeat; its windows must be compared one by one.
 REPEATS, COMPARE = 1, 2
 
 
+class Powers:
+    """Powers of an odd number modulo 2^64 and of its inverse, as many as were asked for."""
+
+    def __init__(self, base: int):
+        self.base, self.inverse = base, pow(base, -1, 1 << 64)
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            ones = np.full(n, self.base, np.uint64), np.full(n, self.inverse, np.uint64)
+            for x in ones:
+                x[0] = 1
+            self.up, self.down = (np.multiply.accumulate(x) for x in ones)
+        return self.up[:n], self.down[:n]
+
+
 class Grams:
-    """Anchors and windows of a run of documents, as arrays over the words of all of them."""
+    """Anchors and windows of a run of documents, as arrays over the words of all of them.
+
+    Hashes of word runs come from prefix sums of the words' hashes times powers of
+    an odd base, so each is one difference.
+    """
 
-    def __init__(self, texts: list[bytes | None], window: int, seed: int, memo: HashMemo, mult: np.ndarray):
-        self.words = [(t or b"").split() for t in texts]
-        counts = np.array([len(w) for w in self.words], np.int64)
+    def __init__(self, texts: pa.Array, window: int, seed: int, memo: HashMemo, powers: Powers):
+        words, counts = split_words(texts)
         self.starts = np.concatenate([[0], np.cumsum(counts)])
-        w = np.concatenate([hashes(x, memo) for x in self.words]) if len(texts) else np.zeros(0, np.uint64)
+        w = word_hashes(words, memo)
         doc = np.repeat(np.arange(len(texts)), counts)
         total = len(w) - window + 1
         if total <= 0:
             self.window_at = self.anchor_of = self.anchors = self.doc = np.zeros(0, np.int64)
             self.window_hash = self.anchor_hash = self.span_hash = np.zeros(0, np.uint64)
             return
-        inside = doc[:total] == doc[window - 1 :]
-        grams = _rolled(w, seed, mult)
-        width = window - seed + 1
-        best, where = grams[:total].copy(), np.arange(total)
-        for j in range(1, width):
-            other = grams[j : total + j]
-            less = other <= best
-            best[less] = other[less]
-            where[less] = np.flatnonzero(less) + j
-        self.window_at = np.flatnonzero(inside)
-        chosen = where[inside]
+        up, down = powers.upto(len(w) + 1)
+        upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w * up[:-1])])
+
+        def run(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+            return (upto[high] - upto[low]) * down[low]
+
+        self.window_at = np.flatnonzero(doc[:total] == doc[window - 1 :])
+        # The least gram of each window and, of equal ones, the last: hash bits above, the place from the end below.
+        place = np.arange(len(w) - seed + 1)
+        grams = spread((upto[seed:] - upto[:-seed]) * down[: len(place)])
+        least = (grams & np.uint64(~((1 << PLACE_BITS) - 1) & (1 << 64) - 1)) | ((1 << PLACE_BITS) - 1 - place).astype(np.uint64)
+        width, have = window - seed + 1, 1
+        while have < width:
+            step = min(have, width - have)
+            least = np.minimum(least[:-step], least[step:])
+            have += step
+        chosen = ((1 << PLACE_BITS) - 1) - (least[self.window_at] & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
         # Windows that share an anchor follow one another; an anchor is named by its place.
-        self.anchors, first, self.anchor_of, runs = np.unique(chosen, return_index=True, return_inverse=True, return_counts=True)
+        head = np.concatenate([[True], chosen[1:] != chosen[:-1]]) if len(chosen) else np.zeros(0, bool)
+        first = np.flatnonzero(head)
+        self.anchors, self.anchor_of = chosen[first], np.cumsum(head) - 1
+        runs = np.diff(np.concatenate([first, [len(chosen)]]))
         self.doc = doc[self.anchors]
         self.anchor_hash = grams[self.anchors]
-        self.window_hash = _rolled(w, window, mult[seed:])[self.window_at]
-        # Prefix sums of powered words give the hash of the words from an anchor's first window to the end of its last.
-        low, high = self.window_at[first], self.window_at[first + runs - 1] + window
-        span = np.zeros(len(first), np.uint64)
-        for j in range(2 * window - seed):
-            at = low + j
-            live = at < high
-            span[live] += w[at[live]] * mult[seed + window + j]
-        self.span_hash = spread(span + ((self.anchors - low).astype(np.uint64) << np.uint64(32)) + (high - low).astype(np.uint64))
+        self.window_hash = spread(run(self.window_at, self.window_at + window) + np.uint64(window))
+        low = self.window_at[first]
+        high = self.window_at[first + runs - 1] + window if len(first) else low
+        self.span_hash = spread(run(low, high) + ((self.anchors - low).astype(np.uint64) << np.uint64(32)) + (high - low).astype(np.uint64))
 
     def ordinals(self) -> np.ndarray:
         """The number of each anchor within its document."""
@@ -73,13 +99,6 @@ class Grams:
         return np.arange(len(self.doc)) - np.repeat(first, np.diff(np.concatenate([first, [len(self.doc)]])))
 
 
-def _rolled(w: np.ndarray, k: int, mult: np.ndarray) -> np.ndarray:
-    h = np.zeros(len(w) - k + 1, np.uint64)
-    for j in range(k):
-        h += w[j : len(w) - k + 1 + j] * mult[j]
-    return spread(h)
-
-
 def _first_in_batch(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order by (key, id); for each row in that order the smallest id of its key here, and whether the key has several ids."""
     order = np.lexsort((ids, key))
@@ -100,9 +119,9 @@ def seeds(docs: DataFrame, window: int, seed: int, mult: np.ndarray) -> DataFram
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = HashMemo()
+        memo, powers = HashMemo(), Powers(int(mult[2]))
         for batch in chunks(batches, "text"):
-            g = Grams(batch.column(1).cast(pa.binary()).to_pylist(), window, seed, memo, mult)
+            g = Grams(batch.column(1), window, seed, memo, powers)
             if not len(g.anchors):
                 continue
             ids = batch.column(0).to_numpy()[g.doc]
@@ -145,69 +164,66 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_
     an id are left out; rows that repeat an id share their decisions. An empty table
     gives an empty result. Other columns are ignored.
     """
-    mult = multipliers(seed + window + 2 * window - seed, 23)
+    mult = multipliers(3, 23)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
     shared = materialize(_join_seeds(seeds(texts, window, seed, mult)), "substring-seeds")
     states = shared.groupBy("id").agg(F.collect_list(F.struct("ordinal", "state")).alias("states"))
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = HashMemo()
+        memo, powers = HashMemo(), Powers(int(mult[2]))
         for batch in chunks(batches, "text"):
-            g = Grams(batch.column(1).cast(pa.binary()).to_pylist(), window, seed, memo, mult)
-            state = _states(g, batch.column(2))
-            at = np.flatnonzero(state[g.anchor_of] == COMPARE) if len(g.anchors) else np.zeros(0, np.int64)
-            ids = batch.column(0).to_numpy()[g.doc[g.anchor_of[at]]] if len(at) else np.zeros(0, np.int64)
-            place = g.window_at[at] - g.starts[g.doc[g.anchor_of[at]]] if len(at) else at
+            g = Grams(batch.column(1), window, seed, memo, powers)
+            state = _states(g, batch.column(2))[g.anchor_of] if len(g.anchors) else np.zeros(0, np.int8)
+            doc = g.doc[g.anchor_of] if len(g.anchors) else g.doc
+            at = np.flatnonzero(state == COMPARE)
+            ids = batch.column(0).to_numpy()[doc[at]]
+            place = g.window_at[at] - g.starts[doc[at]]
             key = g.window_hash[at].copy()
+            order, least, _ = _first_in_batch(key, ids)
             later = np.zeros(len(at), bool)
-            if len(at):
-                order, least, _ = _first_in_batch(key, ids)
-                later[order] = ids[order] > least
-                # Decided rows pass alone under keys of their own.
-                key[later] = spread(ids[later].view(np.uint64) * mult[0] + place[later].view(np.uint64) * mult[1])
+            later[order] = ids[order] > least
+            # Whole repeats leave as runs of windows that follow one another.
+            whole = np.flatnonzero(state == REPEATS)
+            apart = np.flatnonzero((np.diff(g.window_at[whole]) > window) | (np.diff(doc[whole]) > 0)) + 1
+            edges = np.concatenate([[0], apart, [len(whole)]]) if len(whole) else np.zeros(1, np.int64)
+            a, b = whole[edges[:-1]], whole[edges[1:] - 1]
+            ids = np.concatenate([ids, batch.column(0).to_numpy()[doc[a]]])
+            stop = np.concatenate([place + window, g.window_at[b] + window - g.starts[doc[b]]])
+            place = np.concatenate([place, g.window_at[a] - g.starts[doc[a]]])
+            later = np.concatenate([later, np.ones(len(a), bool)])
+            # Decided rows pass alone under keys of their own.
+            key = np.where(later, spread(ids.view(np.uint64) * mult[0] + place.view(np.uint64) * mult[1]), np.concatenate([key, np.zeros(len(a), np.uint64)]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(place.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(later)],
-                names=["id", "place", "gram", "later"])
+                [pa.array(ids, pa.int64()), pa.array(place.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(later)],
+                names=["id", "place", "stop", "gram", "later"])
 
-    marked = texts.join(states.hint("shuffle_hash"), "id", "left")
-    grams = marked.mapInArrow(extend, "id long, place int, gram long, later boolean")
+    grams = texts.join(states.hint("shuffle_hash"), "id", "left").mapInArrow(extend, "id long, place int, stop int, gram long, later boolean")
     first = F.first("id").over(Window.partitionBy("gram").orderBy("id"))
-    repeats = grams.withColumn("before", first).filter("later or before < id").groupBy("id").agg(F.collect_set("place").alias("places"))
+    repeats = grams.withColumn("before", first).filter("later or before < id").groupBy("id").agg(F.collect_set(F.struct("place", "stop")).alias("places"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = HashMemo()
         for batch in chunks(batches, "text"):
-            g = Grams(batch.column(1).cast(pa.binary()).to_pylist(), window, seed, memo, mult)
-            state = _states(g, batch.column(2))
-            total = int(g.starts[-1])
-            edge = np.zeros(total + window + 1, np.int32)
-            if len(g.anchors):
-                whole = g.window_at[state[g.anchor_of] == REPEATS]
-                np.add.at(edge, whole, 1)
-                np.add.at(edge, whole + window, -1)
-            for d, places in enumerate(batch.column(3).to_pylist()):
-                if places:
-                    p = np.array(places, np.int64) + g.starts[d]
-                    np.add.at(edge, p, 1)
-                    np.add.at(edge, p + window, -1)
-            gone = np.cumsum(edge)[:total] > 0
-            kept, removed, spans = [], [], []
-            for d, words in enumerate(g.words):
-                own = gone[g.starts[d] : g.starts[d + 1]]
-                removed.append(int(own.sum()))
-                if removed[-1]:
-                    kept.append(b" ".join([w for w, x in zip(words, own.tolist(), strict=True) if not x]))
-                    flips = np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]])))
-                    spans.append([{"from": a, "to": b} for a, b in flips.reshape(-1, 2).tolist()])
-                else:
-                    kept.append(b" ".join(words))
-                    spans.append([])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(g.starts)), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()),
-                 pa.array(spans, pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])))],
-                names=["id", "n_words", "n_removed", "kept", "spans"])
-
-    final = marked.join(repeats.hint("shuffle_hash"), "id", "left").mapInArrow(
+            words, counts = split_words(batch.column(1))
+            starts = np.concatenate([[0], np.cumsum(counts)])
+            found = batch.column(2)
+            own = np.repeat(np.arange(len(found)), pc.fill_null(pc.list_value_length(found), 0).to_numpy())
+            place, stop = (starts[own] + x.to_numpy() for x in found.flatten().flatten())
+            edge = np.zeros(len(words) + 1, np.int64)
+            np.add.at(edge, place, 1)
+            np.add.at(edge, stop, -1)
+            gone = np.cumsum(edge)[:-1] > 0
+            upto = np.concatenate([[0], np.cumsum(~gone)])[starts]
+            kept = pc.binary_join(pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), words.filter(pa.array(~gone))), " ")
+            # Runs of words that go, within each document.
+            doc = np.repeat(np.arange(len(counts)), counts)
+            here, same = np.concatenate([[False], gone, [False]]), np.concatenate([[-1], doc, [-1]])
+            begin = np.flatnonzero(here[1:-1] & ~(here[:-2] & (same[:-2] == same[1:-1])))
+            end = np.flatnonzero(here[1:-1] & ~(here[2:] & (same[2:] == same[1:-1]))) + 1
+            spans = pa.StructArray.from_arrays([pa.array(x - starts[doc[begin]], pa.int64()) for x in (begin, end)], ["from", "to"])
+            spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(begin, starts).astype(np.int32)), spans)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(counts - np.diff(upto), pa.int64()), kept, spans], names=["id", "n_words", "n_removed", "kept", "spans"])
+
+    final = texts.join(repeats.hint("shuffle_hash"), "id", "left").mapInArrow(
         cut, "id long, n_words long, n_removed long, kept string, spans array<struct<from: long, to: long>>")
     return final.withColumnRenamed("id", id_col)
 
