@@ -48,7 +48,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
         tok = _tokenizer(tokenizer)
         for batch in chunks(batches, "text"):
             rows: list[tuple] = []
-            for doc, ids in zip(batch.column(0).to_pylist(), tok.encode(batch.column(1).to_pylist()), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), tok.encode(batch.column(1)), strict=True):
                 ids += b"\0\0\0\0"
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
