@@ -23,7 +23,7 @@ from catalox.llm.tokens import ChunkTokenizer
 
 CAPACITY = 2048
 #: Rows of one length that one task ranks.
-RANK_ROWS = 50_000
+RANK_ROWS = 500
 #: Pricing rounds of the fractional phase, and configurations taken from each.
 ROUNDS, TAKE = 150, 32
 #: Exponent of the weights, the share of a length's missing cover that one step adds, and the least fill of a configuration.
@@ -172,10 +172,10 @@ def places(chosen: list[tuple[int, dict[int, int]]]) -> list[tuple[int, int, int
 
 
 def ranked(found: DataFrame, rank_rows: int = RANK_ROWS) -> DataFrame:
-    """``found`` with the rank of each piece within its length; large lengths are ranked in parts."""
-    largest = found.groupBy("length").count().agg(F.max("count")).first()[0] or 0
-    part = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(-(-largest // rank_rows) or 1))
-    found = found.withColumn("part", part)
+    """``found`` with the rank of each piece within its length; a frequent length is ranked in parts of as many rows as it has parts."""
+    counts = found.groupBy("length").agg(F.count("*").alias("n"))
+    parts = counts.select("length", F.ceil(F.col("n") / F.greatest(F.lit(rank_rows), F.sqrt("n"))).alias("parts"))
+    found = found.join(F.broadcast(parts), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), "parts")).drop("parts")  # lengths are at most the capacity
     sizes = found.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select("length", "part", F.coalesce(before, F.lit(0)).alias("before"))
@@ -189,8 +189,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id,
     offset``. A null or empty text is the closing 0 alone. Only documents longer
     than ``capacity`` are cut. Rows without an id are left out; rows that repeat an
-    id are packed each. An empty table gives an empty result. Ties between equal
-    lengths go by id, then piece.
+    id are packed each. An empty table gives an empty result. Equal lengths
+    are placed by a hash of id and piece.
     """
     spark = docs.sparkSession
     found = materialize(pieces(docs, tokenizer or default_tokenizer(), capacity, id_col, text_col), "packing-pieces")
@@ -198,7 +198,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     whole = histogram.pop(capacity, 0)
     chosen = ([(whole, {capacity: 1})] if whole else []) + solve(histogram, capacity)
     schema = "length long, from_rank long, to_rank long, each long, first_sequence long, first_offset long"
-    slots = spark.createDataFrame(places(chosen), schema)
+    slots = spark.createDataFrame(places(chosen), schema)  # as many rows as configurations have lengths
     at = F.col("rank") - F.col("from_rank")
     return ranked(found).join(slots, "length").filter("rank >= from_rank and rank < to_rank").select(
         "doc_id", "piece", "start", "length", "ids_crc32",
