@@ -19,8 +19,8 @@ from catalox.llm.common import materialize
 WHITE = r"[\x20\x09-\x0D]+"
 #: Keys a bucket may hold before it splits.
 BUCKET_KEYS = 65_536
-#: Rows of one key that a single owner task chains; more are dealt to several owners first.
-OWNER_ROWS = 512
+#: Rows of one key that a single owner task chains; more are dealt to owners of as many rows each as there are owners.
+OWNER_ROWS = 64
 #: Key bits by which the histogram of an overfull prefix is refined at a time.
 STEP_BITS = 8
 
@@ -113,7 +113,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     slot = F.shiftrightunsigned("h", 64 - depth) if depth else F.lit(0).cast("long")
     index = materialize(headers.withColumn("slot", slot).join(slots, "slot").drop("slot").repartition("bucket").sortWithinPartitions("bucket", "h"), "exact-index")
 
-    shared = index.filter("rows > 1").select("h", F.ceil(F.col("rows") / owner_rows).cast("int").alias("splits"))
+    shared = index.filter("rows > 1").select("h", F.ceil(F.col("rows") / F.greatest(F.lit(owner_rows), F.sqrt("rows"))).cast("int").alias("splits"))
     chained = keyed.join(shared.hint("shuffle_hash"), "h").select(
         "id", "h", F.pmod(F.hash("id"), "splits").alias("part"), "splits", "norm")
     first = chained.repartition("h", "part").sortWithinPartitions("h", "part", "id").mapInArrow(_chain, "id long, h long, head long, norm string")

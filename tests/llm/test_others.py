@@ -13,7 +13,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 from conftest import SF
 from helpers import awkward, frame, words
 
-from catalox.llm import mixing, packing, quality, warc
+from catalox.llm import mixing, quality, warc
 from catalox.llm.ann import nearest
 from catalox.llm.packing import default_tokenizer, pack, solve
 
