@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalox.functions.records import record_hash as hash_of
 from catalox.functions.records import shard_of
 from catalox.functions.text import pulled, pushed
 from catalox.operators import differences, digests, edits, merging
-from catalox.plans.registry import ASSETS, SNAPSHOTS, query
-from catalox.sources.tables import assets, load, snapshots
+from catalox.plans.registry import ASSETS, ORACLE_SQL, SNAPSHOTS, query
+from catalox.sources.scratch import shared_dir
+from catalox.sources.store import read_version, write_version
+from catalox.sources.tables import as_assets, assets, load, snapshots
+from catalox.streaming.ingest import change_stream, import_stream
 
 FIELDS = ["status", "priority", "price"]
 
@@ -148,13 +153,48 @@ def delete_keys(spark, sf_dir):
 def apply_ops(spark, sf_dir):
     """Users as records: a view sets the score, an error pulls the label ``click`` and any other event pushes its type."""
     e = load(spark, sf_dir, "events")
+    return _shown(edits.apply_ops(users_of(e), ops_of(e), "user_id", ["score"], "labels"))
+
+
+def ops_of(e):
     view, error = F.col("event_type") == "view", F.col("event_type") == "error"
-    ops = e.select(
+    return e.select(
         "user_id", F.col("event_id").alias("seq"), F.when(view, "set").when(error, "pull").otherwise("push").alias("kind"),
         F.when(view, "score").otherwise("labels").alias("field"), F.when(view, F.col("value").cast("string")).when(error, "click").otherwise(F.col("event_type")).alias("value"))
-    users = e.select("user_id").distinct().select("user_id", F.lit(None).cast("double").alias("score"), F.lit(None).cast("array<string>").alias("labels"))
-    done = edits.apply_ops(users, ops, "user_id", ["score"], "labels")
-    return done.select("user_id", "score", F.coalesce(F.array_join("labels", ","), F.lit("")).alias("labels"))
+
+
+def users_of(e):
+    return e.select("user_id").distinct().select("user_id", F.lit(None).cast("double").alias("score"), F.lit(None).cast("array<string>").alias("labels"))
+
+
+def _shown(users):
+    return users.select("user_id", "score", F.coalesce(F.array_join("labels", ","), F.lit("")).alias("labels"))
+
+
+def _stream(spark, sf_dir, table):
+    """One of the driver's tables as a stream of files."""
+    return spark.readStream.schema(load(spark, sf_dir, table).schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+
+
+def _folder(spark, name):
+    return f"{shared_dir(spark)}/catalox/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {ASSETS} SELECT hash, min(asset_id) AS asset_id FROM assets GROUP BY hash")
+def stream_import(spark, sf_dir):
+    """Imports as a stream: of equal contents the first comes in."""
+    table = _folder(spark, "imports")
+    import_stream(as_assets(_stream(spark, sf_dir, "orders")), table, f"{table}-state", order="asset_id").awaitTermination()
+    return spark.read.parquet(table).select("hash", "asset_id")
+
+
+@query(ORACLE_SQL["apply_ops"])
+def stream_changes(spark, sf_dir):
+    """The edits of ``apply_ops`` as a stream over a versioned store."""
+    at = _folder(spark, "users")
+    write_version(users_of(load(spark, sf_dir, "events")), at, 0, "user_id")
+    change_stream(ops_of(_stream(spark, sf_dir, "events")), at, f"{at}-state", "user_id", ["score"], "labels").awaitTermination()
+    return _shown(read_version(spark, at).drop("shard"))
 
 
 def _labelled(spark, sf_dir):

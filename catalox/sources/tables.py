@@ -15,10 +15,14 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ``labels`` is null for unspecified and empty for low priority.
     """
+    return as_assets(load(spark, sf_dir, "orders"))
+
+
+def as_assets(orders: DataFrame) -> DataFrame:
     status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
     kind = F.lower(F.split_part(priority, F.lit("-"), F.lit(2)))
     suffix = F.when(status == "F", "jpg").when(status == "O", "png").otherwise("mp4")
-    return load(spark, sf_dir, "orders").select(
+    return orders.select(
         F.col("o_orderkey").alias("asset_id"),
         F.concat(F.replace(kind, F.lit(" "), F.lit("_")), F.lit("-"), F.col("o_orderkey").cast("string"), F.lit("."), suffix).alias("file_name"),
         F.when(status == "F", "image/jpeg").when(status == "O", "image/png").otherwise("video/mp4").alias("content_type"),
