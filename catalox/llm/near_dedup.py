@@ -4,8 +4,10 @@ Every distinct shingle set is posted under each pair of signature coordinate and
 value. A pair of sets above the match threshold shares one of the rarest
 coordinates of either, so only that prefix is joined, and a coordinate that no
 other set holds is skipped. Inside a posting list the members first meet two
-leaders; lists that then still span several components count the collisions of
-their members block by block. Candidates are confirmed on full shingle sets.
+leaders, the smallest id and the most central one. Lists that then still span
+several components count the collisions of their members block by block; what
+passes the match threshold stays packed by blocks of members, and each pair of
+blocks is confirmed on full shingle sets, so neither step has a row for each pair.
 """
 
 from __future__ import annotations
@@ -13,7 +15,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -24,12 +25,12 @@ from catalox.llm.components import components
 
 SHINGLE = 5
 SIMILARITY = 80
-#: Signature coordinates and the collisions a pair must have. A pair of similarity 0.8 has fewer with a chance below 1e-6.
-COORDINATES, MATCHES = 40, 18
+#: Signature coordinates and the collisions a pair must have. A pair of similarity 0.8 has fewer with a chance of 4e-6.
+COORDINATES, MATCHES = 64, 36
 #: Sizes of one band differ by less than this factor, a little over 100 / SIMILARITY.
 BAND = 1.26
-#: Members of a list whose pairs are joined directly; longer lists are compared in blocks of BLOCK.
-SHORT_LIST, BLOCK = 32, 256
+#: Members of a block whose signatures are compared with another's, and members and shingles of a block of sets.
+BLOCK, SET_MEMBERS, SET_SHINGLES = 2048, 256, 1 << 18
 #: Members one task compares with a leader.
 MEMBERS = 256
 
@@ -49,7 +50,7 @@ def _shingles(text: bytes | None, k: int, memo: HashMemo, mult: np.ndarray) -> n
 
 
 def signatures(docs: DataFrame, k: int, id_col: str, text_col: str, coordinates: int = COORDINATES, seed: int = 11) -> DataFrame:
-    """Rows (id, n, hi, lo, sig): set size, 128-bit set hash and keyed signature coordinates."""
+    """Rows (id, n, hi, lo, sig, mini): set size, 128-bit set hash, keyed signature coordinates and their low 32 bits packed."""
     mult, a, b, tag = (multipliers(n, seed + i) for i, n in enumerate((k, coordinates, coordinates, coordinates)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,9 +69,10 @@ def signatures(docs: DataFrame, k: int, id_col: str, text_col: str, coordinates:
                     sig[full, i] = np.minimum.reduceat(h * a[i] + b[i], at)
                 sig = spread(sig + tag)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(sets) * coordinates + 1, coordinates, np.int32)), pa.array(sig.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(hi), pa.array(lo), flat], names=["id", "n", "hi", "lo", "sig"])
+            mini = pa.array([x.tobytes() for x in sig.astype(np.uint32)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(hi), pa.array(lo), flat, mini], names=["id", "n", "hi", "lo", "sig", "mini"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "id long, n long, hi long, lo long, sig array<long>")
+    return _texts(docs, id_col, text_col).mapInArrow(run, "id long, n long, hi long, lo long, sig array<long>, mini binary")
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -90,58 +92,140 @@ def shingle_sets(docs: DataFrame, reps: DataFrame, k: int, id_col: str, text_col
     return _texts(docs, id_col, text_col).join(reps.hint("shuffle_hash"), "id", "left_semi").mapInArrow(run, "id long, shingles binary")
 
 
-def prefix_postings(reps: DataFrame, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
-    """Rows (key, band, rep): the rarest shared coordinates of each set, in its size band and the next.
+def prefix_postings(reps: DataFrame, matches: int = MATCHES) -> DataFrame:
+    """Rows (rep, n, key, coord, band, low, central, mask): the rarest shared coordinates of each set, in its size band and the next.
 
-    Of ``coordinates`` a pair shares ``matches``, so it shares one of the
-    ``coordinates - matches + 1`` rarest of both. Coordinates that no other set
-    holds come first among the rarest and need no posting.
+    A pair shares ``matches`` coordinates, so with s shared coordinates it meets
+    in one of the s - matches + 1 rarest of each side. Coordinates that no other
+    set holds need no posting. ``mask`` has the bits of a set's posted coordinates.
     """
-    prefix = coordinates - matches + 1
-    posted = reps.select("rep", "n", F.explode("sig").alias("key"))
+    posted = reps.select("rep", "n", F.posexplode("sig").alias("coord", "key"))
     shared = posted.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
-    held = posted.join(shared, "key").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("keys"))
-    short = held.select("rep", "n", F.expr(f"slice(keys, 1, greatest(0, {prefix} - ({coordinates} - size(keys))))").alias("keys"))
+    held = posted.join(shared, "key").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key", "coord"))).alias("keys"))
+    central = F.aggregate("keys", F.lit(0.0), lambda s, x: s + F.log(x["df"].cast("double")))
+    short = held.filter(F.size("keys") >= matches).select("rep", "n", central.alias("central"), F.expr(f"slice(keys, 1, size(keys) - {matches - 1})").alias("keys"))
+    mask = F.aggregate("keys", F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["coord"])))
     band = F.floor(F.log("n") / float(np.log(BAND))).cast("int")
-    return short.select("rep", F.explode("keys").alias("x"), band.alias("low")).select(
-        "rep", F.col("x.key").alias("key"), F.explode(F.array("low", F.col("low") + 1)).alias("band"))
+    return short.select("rep", "n", "central", mask.alias("mask"), band.alias("low"), F.explode("keys").alias("x")).select(
+        "rep", "n", F.col("x.key").alias("key"), F.col("x.coord").alias("coord"), F.explode(F.array("low", F.col("low") + 1)).alias("band"), "low", "central", "mask")
 
 
 def leader_pairs(postings: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each list's members with the list's smallest id and with the id of smallest hash."""
-    leaders = postings.groupBy("key", "band").agg(F.count("*").alias("m"), F.min("rep").alias("one"), F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("rep"))).alias("two")).filter("m > 1")
-    met = postings.join(leaders, ["key", "band"]).select(F.explode(F.array("one", "two.rep")).alias("l"), "rep").filter("l <> rep")
+    """Pairs (a, b) of each list's members with its smallest id and with the most central one."""
+    leaders = postings.groupBy("key", "band").agg(
+        F.count("*").alias("m"), F.max("low").alias("top"), F.min("rep").alias("one"), F.max(F.struct("central", "rep")).alias("two")).filter("m > 1 and top = band")
+    met = postings.select("key", "band", "rep").join(leaders, ["key", "band"]).select(F.explode(F.array("one", "two.rep")).alias("l"), "rep").filter("l <> rep")
     return met.select(F.least("l", "rep").alias("a"), F.greatest("l", "rep").alias("b")).distinct()
 
 
-def _blocks(lists: DataFrame, sigs: DataFrame, matches: int, block: int = BLOCK) -> DataFrame:
-    """Pairs (a, b) across components within long lists that collide on ``matches`` coordinates."""
+def _cells(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Runs of rows that agree in the first ``keys`` columns, each whole."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = np.stack([batch.column(i).to_numpy() for i in range(keys)])
+        edges = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:], strict=False):
+            part = batch.slice(a, b - a)
+            if held and any(held[-1].column(i)[0] != part.column(i)[0] for i in range(keys)):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def colliding(lists: DataFrame, members: DataFrame, matches: int = MATCHES, block: int = BLOCK) -> DataFrame:
+    """Rows (one, two, pairs): packed pairs of different components, by blocks of sets, that collide on ``matches`` coordinates.
+
+    ``lists`` has (key, band, coord, rep, m) and ``members`` one row (rep, mini, comp,
+    low, mask, home) per set. A pair is taken in the list of its first common
+    posted coordinate and in the band of its larger set only.
+    """
     sized = lists.withColumn("parts", F.ceil(F.col("m") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    dealt = sized.select("key", "band", "rep", "comp", "own", other).select(
-        "key", "band", "rep", "comp", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own").join(sigs, "rep")
-
-    def compare(cell: pd.DataFrame) -> pd.DataFrame:
-        cell = cell.sort_values("rep")
-        sig, rep, comp = np.stack(cell["sig"].to_numpy()), cell["rep"].to_numpy(), cell["comp"].to_numpy()
-        own, mixed = cell["own"].to_numpy(), bool((cell["p"] != cell["q"]).iloc[0])
-        a, b = [], []
-        for i in range(len(rep) - 1):
-            far = comp[i + 1 :] != comp[i]
-            if mixed:
-                far &= own[i + 1 :] != own[i]
-            to = np.flatnonzero(far) + i + 1
-            to = to[(sig[to] == sig[i]).sum(1) >= matches]
-            a += [int(rep[i])] * len(to)
-            b += rep[to].tolist()
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
-
-    return dealt.groupBy("key", "band", "p", "q").applyInPandas(compare, "a long, b long")
+    dealt = sized.select("key", "band", "coord", "rep", "own", other).join(members, "rep").select(
+        "key", "band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "coord", "rep", "comp", "low", "mask", "home", "mini")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in _cells(batches, 4):
+            band, p, q, coord = (cell.column(i)[0].as_py() for i in (1, 2, 3, 5))
+            own, rep, comp, low, home = (cell.column(i).to_numpy() for i in (4, 6, 7, 8, 10))
+            mask = cell.column(9).to_numpy().view(np.uint64)
+            sig = np.frombuffer(b"".join(cell.column(11).to_pylist()), np.uint32).reshape(len(rep), -1)
+            bits = np.uint64(1) << np.arange(sig.shape[1], dtype=np.uint64)
+            below = np.uint64((1 << coord) - 1)
+            found = []
+            for i in range(len(rep) - 1):
+                fit = (comp[i + 1 :] != comp[i]) & (np.maximum(low[i + 1 :], low[i]) == band)
+                if p != q:
+                    fit &= own[i + 1 :] != own[i]
+                to = np.flatnonzero(fit) + i + 1
+                same = sig[to] == sig[i]
+                hit = same.sum(1) >= matches
+                to, same = to[hit], same[hit]
+                to = to[(same @ bits) & mask[to] & mask[i] & below == 0]
+                if len(to):
+                    found.append(np.stack([np.full(len(to), i), to]))
+            if not found:
+                continue
+            a, b = np.concatenate(found, 1)
+            turn = home[a] > home[b]
+            a, b = np.where(turn, b, a), np.where(turn, a, b)
+            order = np.lexsort((home[b], home[a]))
+            a, b = a[order], b[order]
+            first = np.flatnonzero(np.concatenate([[True], (home[a][1:] != home[a][:-1]) | (home[b][1:] != home[b][:-1])]))
+            packed = [x.tobytes() for x in np.split(np.stack([rep[a], rep[b]], 1), first[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(home[a][first]), pa.array(home[b][first]), pa.array(packed, pa.binary())], names=["one", "two", "pairs"])
+
+    return dealt.repartition("key", "band", "p", "q").sortWithinPartitions("key", "band", "p", "q").mapInArrow(compare, "one long, two long, pairs binary")
+
+
+def confirm_packed(packed: DataFrame, sets: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) of ``packed(one, two, pairs)`` with 100 * intersection >= similarity * union on whole sets."""
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in _cells(batches, 2):
+            ids = np.unique(np.frombuffer(b"".join(cell.column(2).to_pylist()), np.int64))
+            one, two = (np.full(len(ids), cell.column(i)[0].as_py()) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(ids)], names=["one", "two", "id"])
+
+    needed = packed.repartition("one", "two").sortWithinPartitions("one", "two").mapInArrow(named, "one long, two long, id long")
+    held = needed.join(sets, "id").select("one", "two", F.lit(0).alias("kind"), "id", F.col("shingles").alias("data"))
+    asked = packed.select("one", "two", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("id"), F.col("pairs").alias("data"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in _cells(batches, 2):
+            kind, ids, data = cell.column(2).to_numpy(), cell.column(3).to_numpy(), cell.column(4)
+            own = {int(i): np.frombuffer(data[j].as_py(), np.uint64) for j, i in enumerate(ids) if kind[j] == 0}
+            pairs = np.unique(np.concatenate([np.frombuffer(data[j].as_py(), np.int64).reshape(-1, 2) for j in np.flatnonzero(kind)]), axis=0)
+            # Shingles by number within the cell, so a set is a row of marks and its common shingles are sums over the others.
+            place = {i: k for k, i in enumerate(own)}
+            size = np.array([len(x) for x in own.values()], np.int64)
+            words = np.unique(np.concatenate(list(own.values())), return_inverse=True)[1]
+            end = np.cumsum(size)
+            mark = np.zeros(int(words.max()) + 1, bool)
+            a, b = [], []
+            for x in np.unique(pairs[:, 0]):
+                to = pairs[pairs[:, 0] == x, 1]
+                i, j = place[int(x)], np.array([place[int(y)] for y in to])
+                mine = words[end[i] - size[i] : end[i]]
+                mark[mine] = True
+                common = np.array([np.count_nonzero(mark[words[end[y] - size[y] : end[y]]]) for y in j])
+                mark[mine] = False
+                good = to[100 * common >= similarity * (size[i] + size[j] - common)]
+                a += [int(x)] * len(good)
+                b += good.tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return held.union(asked).repartition("one", "two").sortWithinPartitions("one", "two", "kind").mapInArrow(run, "a long, b long")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, similarity: int = SIMILARITY, members: int = MEMBERS) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= similarity * union on whole sets."""
-    splits = pairs.groupBy("a").agg(F.ceil(F.count("*") / members).cast("int").alias("splits"))
+    # Written first, so that the join below is free to split the partition of a leader of many members.
+    splits = materialize(pairs.groupBy("a").agg(F.ceil(F.count("*") / members).cast("int").alias("splits")), "near-splits")
     dealt = pairs.join(splits, "a").withColumn("part", F.pmod(F.hash("b"), "splits"))
     left = splits.select("a", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("part")).join(sets.withColumnRenamed("id", "a"), "a").select(
         "a", "part", F.lit(0).alias("role"), F.col("a").alias("b"), "shingles")
@@ -178,7 +262,7 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILA
     base = materialize(signatures(docs, shingle, id_col, text_col), "near-signatures")
     classes = base.filter("n > 0").groupBy("hi", "lo", "n").agg(F.min("id").alias("rep"))
     classes = materialize(classes, "near-classes")
-    reps = materialize(base.select("id", "sig", "hi", "lo").join(classes.withColumnRenamed("rep", "id"), ["id", "hi", "lo"]).select(F.col("id").alias("rep"), "n", "sig").dropDuplicates(["rep"]), "near-reps")
+    reps = materialize(base.select("id", "sig", "mini", "hi", "lo").join(classes.withColumnRenamed("rep", "id"), ["id", "hi", "lo"]).select(F.col("id").alias("rep"), "n", "sig", "mini").dropDuplicates(["rep"]), "near-reps")
     postings = materialize(prefix_postings(reps), "near-postings")
     first = materialize(leader_pairs(postings), "near-pairs")
     meet = postings.select(F.col("rep").alias("id")).distinct()
@@ -186,16 +270,18 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILA
     links = materialize(confirm(first, sets, similarity), "near-links")
     found = components(links)
 
-    labelled = postings.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("comp"))
-    mixed = labelled.groupBy("key", "band").agg(F.count("*").alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").drop("x", "y")
-    lists = materialize(labelled.join(mixed, ["key", "band"]), "near-lists")
-    short = lists.filter(F.col("m") <= SHORT_LIST)
-    one, two = (short.select("key", "band", F.col("rep").alias(r), F.col("comp").alias(c)) for r, c in (("a", "ca"), ("b", "cb")))
-    near = one.join(two, ["key", "band"]).filter("a < b and ca <> cb").select("a", "b")
-    far = _blocks(lists.filter(F.col("m") > SHORT_LIST), reps.select("rep", "sig"), MATCHES)
-    second = materialize(near.union(far).distinct().join(first, ["a", "b"], "left_anti"), "near-pairs")
-    links = links.union(confirm(second, sets, similarity))
-    found = components(links)
+    labelled = postings.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    mixed = labelled.groupBy("key", "band").agg(
+        F.count("*").alias("m"), F.sum("n").alias("total"), F.max("low").alias("top"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y and top = band")
+    lists = materialize(labelled.join(mixed.select("key", "band", "m", "total"), ["key", "band"]), "near-lists")
+    largest = F.max(F.struct("m", "total", "key", "band")).alias("l")
+    blocks = F.greatest(F.ceil(F.col("l.m") / SET_MEMBERS), F.ceil(F.col("l.total") / SET_SHINGLES))
+    homes = lists.groupBy("rep", "comp", "low", "mask").agg(largest).select("rep", "comp", "low", "mask", F.xxhash64("l.key", "l.band", F.pmod(F.xxhash64("rep"), blocks)).alias("home"))
+    members = homes.join(reps.select("rep", "mini"), "rep")
+    packed = materialize(colliding(lists.select("key", "band", "coord", "rep", "m"), members), "near-packed")
+    more = materialize(confirm_packed(packed, sets, similarity), "near-links")
+    if more.limit(1).count():
+        found = components(links.union(more))
 
     member = base.select("id", "n", "hi", "lo").join(classes.select("hi", "lo", "rep"), ["hi", "lo"], "left")
     member = member.select("id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")).alias("rep"))
