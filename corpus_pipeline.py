@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from catalox.llm.common import materialize
 from catalox.llm.line_dedup import line_dedup
-from catalox.llm.mixing import mix
+from catalox.llm.mixing import MAX_EPOCHS, mix
 from catalox.llm.near_dedup import near_dedup
 from catalox.llm.packing import pack
 from catalox.llm.quality import classify
@@ -37,9 +37,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.select(COLUMNS).join(kept, "doc_id", "left_semi")
 
 
-def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mixture takes; a leaf's last one is cut to its part of the words, joined by one space."""
-    taken = mix(docs).groupBy("doc_id").agg(F.max("taken").alias("taken"), F.max("tokens").alias("tokens"))
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """The documents that the mixture takes, once for each epoch that draws them; a leaf's last one is cut to its part of the words, joined by one space."""
+    taken = mix(docs, max_epochs=max_epochs).groupBy("doc_id", "epoch").agg(F.max("taken").alias("taken"), F.max("tokens").alias("tokens"))
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("taken").cast("int")), " ")
     text = F.when(F.col("taken") < F.col("tokens"), cut).otherwise(F.col("text"))
     return docs.select(COLUMNS).join(taken, "doc_id").withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)

@@ -46,6 +46,15 @@ def test_stages_against_brute_force(spark):
         held = done
 
 
+def test_mixture_keeps_every_epoch(spark):
+    rows = [(i, " ".join(f"w{k}" for k in range(10)), "en" if i < 36 else "es", "src0", 29) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    drawn = mixing.mix(docs, max_epochs=3).collect()
+    assert {r.epoch for r in drawn if r.lang == "es"} == {0, 1, 2}
+    got = pipeline.mixture(spark, docs, SF, max_epochs=3).collect()
+    assert sorted((r.doc_id, len(words(r.text))) for r in got) == sorted((r.doc_id, r.taken) for r in drawn)
+
+
 def test_null_and_empty(spark):
     rows = [(1, None, None, None, None), (2, "", "en", "src0", 0), (None, "a b", "en", "src0", 3), (3, "some words that stay", "en", None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
