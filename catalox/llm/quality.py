@@ -1,10 +1,11 @@
 """Quality by the perplexity of an interpolated modified Kneser-Ney bigram model.
 
-The model is counted on the trusted documents, one model per language, over the
-most frequent trusted words. Any other word is the unknown word, which shares its
+The model is counted on the trusted documents, one model per language, over all
+words that occur often enough in its trusted text. Any other word is the unknown word, which shares its
 probability evenly among the unknown words of the language's trusted text. One
-trusted document in ``FOLDS`` is held out of the counts and sets the thresholds. Bigram counts and
-probabilities are sharded by key. Documents are encoded once, in blocks; each
+trusted document in ``FOLDS`` is held out of the counts and sets the thresholds. Bigram counts,
+probabilities, lower orders and back-off weights are sharded by key; only the
+hashes of the known words reach every task. Documents are encoded once, in blocks; each
 block asks every shard for the bigrams it holds, and the answers come back as one
 table per block. The quantile of the held-out documents' perplexity in a language
 is its threshold.
@@ -13,6 +14,7 @@ is its threshold.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -24,11 +26,7 @@ from pyspark.sql import functions as F
 
 from catalox.llm.common import HashMemo, chunks, hashes, materialize
 
-#: Words of the vocabulary over all languages. Word tables of this size reach every task, bigrams never do.
-VOCABULARY = 8192
-#: Languages with a model of their own, by trusted words; all others share one.
-LANGUAGES = 32
-#: A word must occur so often in trusted text to be known.
+#: A word must occur so often in its language's trusted text to be known.
 MIN_COUNT = 3
 #: Trusted documents are dealt to so many folds by their id; the first is held out.
 FOLDS = 5
@@ -42,8 +40,11 @@ BROADCAST_IDS = 4_000_000
 BROADCAST_LANGUAGES = 10_000
 #: Bigrams planned for a shard.
 SHARD_BIGRAMS = 250_000
-BEGIN = 65_535
 SCALE = 1000.0
+#: The second word of a bigram key; a key without first word is the word's lower order, one without second word the context's back-off weight.
+SECOND = (1 << 32) - 1
+#: The answer for a key that no shard holds.
+MISSING = 1
 
 
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -71,12 +72,41 @@ def _word_counts(trusted: DataFrame) -> DataFrame:
     return trusted.mapInArrow(run, "lang string, word long, n long")
 
 
+class Numbers(NamedTuple):
+    """Word numbers over all models: the unknown word of model m is ``unknown[m]``, its known words follow by frequency, then its start.
+
+    The last model is that of languages without trusted text, which know no word.
+    ``known`` holds each language's sorted hashes and their places by frequency from 1.
+    """
+
+    langs: list[str]
+    known: list[tuple[np.ndarray, np.ndarray]]
+    unknown: np.ndarray
+    start: np.ndarray
+
+
+def _numbers(counted: DataFrame, langs: list[str]) -> Numbers:
+    rows = counted.filter(F.col("n") >= MIN_COUNT).select("lang", "word", "n").toArrow()
+    at = {x: i for i, x in enumerate(langs)}
+    coded = rows.column("lang").combine_chunks().dictionary_encode()
+    model = np.array([at[x] for x in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()]
+    word, n = rows.column("word").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+    order = np.lexsort((word, -n, model))
+    known = []
+    for own in np.split(word[order], np.cumsum(np.bincount(model, minlength=len(langs)))[:-1]) if langs else ():
+        by_hash = np.argsort(own)
+        known.append((own[by_hash], (by_hash + 1).astype(np.uint32)))
+    size = np.array([len(k) for k, _ in known] + [0], np.int64)
+    unknown = 1 + np.cumsum(size + 2) - (size + 2)
+    return Numbers(langs, known, unknown, unknown + size + 1)
+
+
 class _Vocabulary(dict):
-    """Numbers of words from 1 by their sorted hashes; 0 for an unknown word."""
+    """A language's words by their places in frequency from 1; 0 for an unknown word."""
 
-    def __init__(self, known: np.ndarray):
+    def __init__(self, known: np.ndarray, places: np.ndarray):
         super().__init__()
-        self.known = known
+        self.known, self.places = known, places
         self.limit = 500_000
 
     def __missing__(self, word: bytes) -> int:
@@ -84,41 +114,46 @@ class _Vocabulary(dict):
             self.clear()
         h = np.uint64(xxhash.xxh64_intdigest(word))
         at = int(np.searchsorted(self.known, h))
-        value = self[word] = at + 1 if at < len(self.known) and self.known[at] == h else 0
+        value = self[word] = int(self.places[at]) if at < len(self.known) and self.known[at] == h else 0
         return value
 
 
-def _encode(docs: DataFrame, known: np.ndarray, langs: list[str]) -> DataFrame:
-    """Rows (block, id, lang, model, trusted, held_out, n, ids): packed word numbers of whole texts; a block is one input partition."""
-    number = {x: i for i, x in enumerate(langs)}
+def _encode(docs: DataFrame, numbers: Numbers) -> DataFrame:
+    """Rows (block, id, lang, model, trusted, held_out, n, ids): packed places of whole texts' words, by planes of bytes; a block is one input partition."""
+    number = {x: i for i, x in enumerate(numbers.langs)}
+    known = [*numbers.known, (np.zeros(0, np.uint64), np.zeros(0, np.uint32))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, pack = _Vocabulary(known), zstandard.ZstdCompressor(level=1).compress
+        vocabulary, pack = {}, zstandard.ZstdCompressor(level=1).compress
         for batch in chunks(batches, "text"):
+            model = [number.get(x, len(number)) for x in batch.column(2).to_pylist()]
             ids = []
-            for t in batch.column(1).cast(pa.binary()).to_pylist():
+            for t, m in zip(batch.column(1).cast(pa.binary()).to_pylist(), model, strict=True):
                 words = _words(t)
-                ids.append(np.fromiter(map(vocabulary.__getitem__, words), np.uint16, len(words)))
-            model = [number.get(x, len(langs)) for x in batch.column(2).to_pylist()]
+                own = vocabulary.get(m)
+                if own is None:
+                    own = vocabulary[m] = _Vocabulary(*known[m])
+                ids.append(np.fromiter(map(own.__getitem__, words), "<u4", len(words)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(5), batch.column(0), batch.column(2), pa.array(model, pa.int32()), batch.column(3), batch.column(4),
-                 pa.array([len(x) for x in ids], pa.int64()), pa.array([pack(x.tobytes()) for x in ids], pa.binary())],
+                 pa.array([len(x) for x in ids], pa.int64()), pa.array([pack(x.view(np.uint8).reshape(-1, 4).T.tobytes()) for x in ids], pa.binary())],
                 names=["block", "id", "lang", "model", "trusted", "held_out", "n", "ids"])
 
     return docs.withColumn("block", F.spark_partition_id()).mapInArrow(run, "block int, id long, lang string, model int, trusted boolean, held_out boolean, n long, ids binary")
 
 
-def _bigrams(blobs: list[bytes], models: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Bigram keys of documents in a row, model << 32 | first << 16 | second, and the documents' lengths."""
+def _bigrams(blobs: list[bytes], models: list[int], unknown: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bigram keys of documents in a row, first << 32 | second, and the documents' lengths."""
     unpack = zstandard.ZstdDecompressor().decompress
-    words = [np.frombuffer(unpack(b), np.uint16) for b in blobs]
+    words = [np.ascontiguousarray(np.frombuffer(unpack(b), np.uint8).reshape(4, -1).T).view("<u4").ravel() for b in blobs]
     size = np.array([len(w) for w in words], np.int64)
     if not size.sum():
         return np.zeros(0, np.int64), size
-    second = np.concatenate(words).astype(np.int64)
+    model = np.array(models, np.int64)
+    second = np.concatenate(words).astype(np.int64) + np.repeat(unknown[model], size)
     first = np.concatenate([[0], second[:-1]])
-    first[(np.cumsum(size) - size)[size > 0]] = BEGIN
-    return (np.repeat(np.array(models, np.int64), size) << 32) | (first << 16) | second, size
+    first[(np.cumsum(size) - size)[size > 0]] = start[model[size > 0]]
+    return (first << 32) | second, size
 
 
 def _runs(batch: pa.RecordBatch, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
@@ -131,82 +166,70 @@ def _runs(batch: pa.RecordBatch, most: int = 1_000_000) -> Iterator[pa.RecordBat
         start = stop
 
 
-def _bigram_counts(encoded: DataFrame) -> DataFrame:
+def _bigram_counts(encoded: DataFrame, unknown: np.ndarray, start: np.ndarray) -> DataFrame:
+    """Rows (key, n, model)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _runs(batch, 4_000_000):
-                key, n = np.unique(_bigrams(part.column("ids").to_pylist(), part.column("model").to_pylist())[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], names=["key", "n"])
-
-    counted = encoded.filter("trusted").select("model", "n", "ids").mapInArrow(run, "key long, n long")
-    return counted.groupBy("key").agg(F.sum("n").alias("n"))
+                key, n = np.unique(_bigrams(part.column("ids").to_pylist(), part.column("model").to_pylist(), unknown, start)[0], return_counts=True)
+                model = np.searchsorted(unknown, key & SECOND, "right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64)), pa.array(model.astype(np.int32))], names=["key", "n", "model"])
 
+    counted = encoded.filter("trusted").select("model", "n", "ids").mapInArrow(run, "key long, n long, model int")
+    return counted.groupBy("key").agg(F.sum("n").alias("n"), F.max("model").alias("model"))
 
-def _discounts(counted: DataFrame, by: str, n: str) -> dict[int, tuple[float, float, float]]:
-    """Modified Kneser-Ney discounts D1, D2, D3+ of each model from its counts of counts."""
-    found: dict[int, dict[int, int]] = {}
-    for r in counted.filter(F.col(n) <= 4).groupBy(by, n).count().collect():
-        found.setdefault(r[by], {})[r[n]] = r["count"]
-    out = {}
-    for model, c in found.items():
-        n1, n2, n3, n4 = (c.get(i, 0) for i in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
-        d = [i - (i + 1) * y * more / less if less else y * i for i, less, more in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-        out[model] = tuple(min(max(x, 0.05), i - 0.05) for i, x in enumerate(d, 1))
-    return out
 
+def _discounted(counted: DataFrame, n: str) -> DataFrame:
+    """``counted`` with ``cut``: the modified Kneser-Ney discounts D1, D2, D3+ of each model from its counts of counts."""
+    c = [F.col(f"c{i}") for i in range(5)]
+    counts = counted.groupBy("model").agg(*[F.count(F.when(F.col(n) == i, 1)).alias(f"c{i}") for i in range(1, 5)])
+    y = F.when(c[1] + c[2] > 0, c[1] / (c[1] + 2 * c[2])).otherwise(0.5)
+    d = [F.when(c[i] > 0, i - (i + 1) * y * c[i + 1] / c[i]).otherwise(y * i) for i in (1, 2, 3)]
+    none = c[1] + c[2] + c[3] + c[4] == 0
+    d = [F.when(none, 0.5).otherwise(F.least(F.greatest(x, F.lit(0.05)), F.lit(i - 0.05))).alias(f"d{i}") for i, x in enumerate(d, 1)]
+    by_model = materialize(counts.select("model", *d), "quality-discounts")
+    cut = F.when(F.col(n) == 1, F.col("d1")).when(F.col(n) == 2, F.col("d2")).otherwise(F.col("d3"))
+    return counted.join(_small(by_model), "model").withColumn("cut", cut).drop("d1", "d2", "d3")
 
-def _discount(n: str, model: str, by_model: dict[int, tuple[float, float, float]]):
-    out = F.least(F.col(n) * 0.5, F.lit(0.5))
-    for m, (d1, d2, d3) in by_model.items():
-        out = F.when(F.col(model) == m, F.when(F.col(n) == 1, d1).when(F.col(n) == 2, d2).otherwise(d3)).otherwise(out)
-    return out
 
+def train(encoded: DataFrame, numbers: Numbers) -> DataFrame:
+    """The model: rows (key, milli) of seen bigrams, of the lower order of words and of the back-off weights of contexts.
 
-def train(encoded: DataFrame, words: int) -> tuple[DataFrame, dict[str, np.ndarray]]:
-    """The model: rows (key, milli) of seen bigrams, and arrays by model and word for the rest.
-
-    ``milli`` is the interpolated log-probability in thousandths. ``lower`` holds
-    the log-probability of the continuation model and ``back`` the log weight of a
-    context's lower order; both have ``words + 1`` numbers and the start for each model.
+    ``milli`` is the log-probability or log weight in thousandths: the interpolated one of a
+    bigram, that of the continuation model under (0, word), and the weight of the
+    lower order under (context, 0).
     """
-    bigrams = materialize(_bigram_counts(encoded).select(
-        "key", "n", F.shiftright("key", 32).cast("int").alias("model"), F.shiftright("key", 16).alias("context"), F.expr("key & 65535").cast("int").alias("word")), "quality-bigrams")
-    d2 = _discounts(bigrams, "model", "n")
-    cut = _discount("n", "model", d2)
-    contexts = bigrams.groupBy("context").agg(F.sum("n").alias("total"), F.sum(cut).alias("cut"))
-    follow = bigrams.groupBy("model", "word").agg(F.count("*").alias("types"))
-    follow = materialize(follow, "quality-follow")
-    d1 = _discounts(follow, "model", "types")
-    cut1 = _discount("types", "model", d1)
-
-    models = max([r[0] for r in follow.select("model").distinct().collect()], default=-1) + 1
-    lower = np.full((models + 1, words + 1), -np.log(words + 1.0))
-    rows = follow.withColumn("cut", cut1).toPandas()
-    for m, own in rows.groupby("model"):
-        total = own["types"].sum()
-        p = np.full(words + 1, own["cut"].sum() / total / (words + 1))
-        p[own["word"].to_numpy()] += (own["types"] - own["cut"]).to_numpy() / total
-        lower[int(m)] = np.log(p)
-    back = np.zeros((models + 1, BEGIN + 1), np.float32)
-    weights = contexts.withColumn("back", F.log(F.col("cut") / F.col("total"))).toPandas()
-    context = weights["context"].to_numpy(np.int64)
-    back[context >> 16, context & 65535] = weights["back"].to_numpy()
-
-    low = follow.sparkSession.createDataFrame(pd.DataFrame({
-        "model": rows["model"].astype("int32"), "word": rows["word"].astype("int32"),
-        "p": np.exp(lower[rows["model"].to_numpy(int), rows["word"].to_numpy(int)])}), "model int, word int, p double")
-    p = (F.col("n") - cut) / F.col("total") + F.col("cut") / F.col("total") * F.col("p")
-    seen = bigrams.join(contexts, "context").join(low, ["model", "word"]).select("key", F.round(F.log(p) * SCALE).cast("long").alias("milli"))
-    return seen, {"lower": lower, "back": back}
+    bigrams = materialize(_bigram_counts(encoded, numbers.unknown, numbers.start), "quality-bigrams").withColumns(
+        {"context": F.shiftright("key", 32), "word": F.col("key").bitwiseAND(F.lit(SECOND))})
+    bigrams = _discounted(bigrams, "n")
+    contexts = materialize(bigrams.groupBy("context").agg((F.sum("cut") / F.sum("n")).alias("back"), F.sum("n").alias("total")), "quality-contexts")
+    follow = _discounted(materialize(bigrams.groupBy("word").agg(F.count("*").alias("types"), F.max("model").alias("model")), "quality-follow"), "types")
+
+    size = numbers.start - numbers.unknown  # known words and the unknown one
+    models = encoded.sparkSession.createDataFrame(
+        [(m, int(numbers.unknown[m]), int(size[m])) for m in range(len(numbers.langs))], "model int, unknown long, size long")
+    sums = follow.groupBy("model").agg(F.sum("types").alias("types_of_all"), F.sum("cut").alias("cut_of_all")).join(models, "model")
+    sums = materialize(sums.withColumn("spare", F.col("cut_of_all") / F.col("types_of_all") / F.col("size")), "quality-models")
+    low = follow.join(_small(sums.select("model", "types_of_all", "spare")), "model").select(
+        "word", ((F.col("types") - F.col("cut")) / F.col("types_of_all") + F.col("spare")).alias("p"))
+    never = sums.select(F.col("unknown").alias("word"), F.col("spare").alias("p")).join(follow.select("word"), "word", "left_anti")
+    low = materialize(low.union(never), "quality-lower")
+
+    p = (F.col("n") - F.col("cut")) / F.col("total") + F.col("back") * F.col("p")
+    milli = lambda x: F.round(F.log(x) * SCALE).cast("long").alias("milli")
+    seen = bigrams.join(contexts, "context").join(low, "word").select("key", milli(p))
+    lower = low.select(F.col("word").alias("key"), milli(F.col("p")))
+    return seen.union(lower).union(contexts.select(F.shiftleft("context", 32).alias("key"), milli(F.col("back"))))
 
 
 def _shard(context, word, shards: int):
     return (context * 40_503 + word * 30_011) % 1_000_003 % shards
 
 
-def _answers(encoded: DataFrame, seen: DataFrame, tables: dict[str, np.ndarray], shards: int) -> DataFrame:
-    """Rows (block, keys, milli): for each block and shard the packed bigrams it asked for and their log-probabilities."""
+def _answers(encoded: DataFrame, seen: DataFrame, numbers: Numbers, shards: int) -> DataFrame:
+    """Rows (block, keys, milli): for each block and shard the packed keys it asked for and what the model has for them."""
+    unknown, start = numbers.unknown, numbers.start
     schema = "shard int, block int, key long, milli long, asked binary"
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,11 +238,12 @@ def _answers(encoded: DataFrame, seen: DataFrame, tables: dict[str, np.ndarray],
             block = batch.column("block").to_numpy()
             for own in np.unique(block):
                 rows = batch.filter(pa.array(block == own))
-                found = [np.unique(_bigrams(p.column("ids").to_pylist(), p.column("model").to_pylist())[0]) for p in _runs(rows)]
+                found = [np.unique(_bigrams(p.column("ids").to_pylist(), p.column("model").to_pylist(), unknown, start)[0]) for p in _runs(rows)]
                 keys = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
                 if not len(keys):
                     continue  # no words, nothing to ask
-                shard = _shard(keys >> 16, keys & 65535, shards).astype(np.int32)
+                keys = np.concatenate([np.unique(keys & SECOND), np.unique(np.concatenate([keys, keys >> 32 << 32]))])  # in order, as words are below contexts
+                shard = _shard(keys >> 32, keys & SECOND, shards).astype(np.int32)
                 order = np.argsort(shard, kind="stable")
                 which, first = np.unique(shard[order], return_index=True)
                 blobs = [pack(np.diff(k, prepend=0).tobytes()) for k in np.split(keys[order], first[1:])]
@@ -227,9 +251,8 @@ def _answers(encoded: DataFrame, seen: DataFrame, tables: dict[str, np.ndarray],
                 yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(np.full(len(which), own, np.int32)), none, none, pa.array(blobs, pa.binary())], names=["shard", "block", "key", "milli", "asked"])
 
     asked = encoded.select("block", "model", "n", "ids").mapInArrow(ask, schema)
-    shard = _shard(F.shiftright("key", 16), F.expr("key & 65535"), shards).cast("int")
+    shard = _shard(F.shiftright("key", 32), F.col("key").bitwiseAND(F.lit(SECOND)), shards).cast("int")
     held = seen.select(shard.alias("shard"), F.lit(-1).alias("block"), "key", "milli", F.lit(None).cast("binary").alias("asked"))
-    lower, back = tables["lower"], tables["back"]
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows come by shard, its bigrams in key order before what is asked of it.
@@ -253,10 +276,9 @@ def _answers(encoded: DataFrame, seen: DataFrame, tables: dict[str, np.ndarray],
                     at = np.searchsorted(key, want)
                     hit = at < len(key)
                     hit[hit] = key[at[hit]] == want[hit]
-                    model = np.minimum(want >> 32, len(lower) - 1)
-                    milli = np.round(SCALE * (back[model, (want >> 16) & 65535] + lower[model, want & 65535])).astype(np.int64)
-                    milli[hit] = value[at[hit]]
-                    out.append((int(block[i]), raw, pack(np.clip(milli, -32768, 0).astype(np.int16).tobytes())))
+                    milli = np.full(len(want), MISSING, np.int16)
+                    milli[hit] = np.clip(value[at[hit]], -32768, 0)
+                    out.append((int(block[i]), raw, pack(milli.tobytes())))
             columns = list(zip(*out, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "keys", "milli"])
 
@@ -264,11 +286,12 @@ def _answers(encoded: DataFrame, seen: DataFrame, tables: dict[str, np.ndarray],
     return both.repartition("shard").sortWithinPartitions("shard", F.col("block") >= 0, "key").mapInArrow(answer, "block int, keys binary, milli binary")
 
 
-def perplexities(encoded: DataFrame, answers: DataFrame, unknown: np.ndarray) -> DataFrame:
+def perplexities(encoded: DataFrame, answers: DataFrame, numbers: Numbers, spread: np.ndarray) -> DataFrame:
     """Rows (id, lang, held_out, n, nats): each document's words and negative log-probability.
 
-    ``unknown`` is the log of the number of unknown words of each model.
+    ``spread`` is the log of the number of unknown words of each model.
     """
+    unknown, start = numbers.unknown, numbers.start
 
     def score(docs: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -276,17 +299,27 @@ def perplexities(encoded: DataFrame, answers: DataFrame, unknown: np.ndarray) ->
         milli = np.concatenate([np.frombuffer(unpack(x), np.int16) for x in got["milli"]] or [np.zeros(0, np.int16)])
         order = np.argsort(key)
         key, milli = key[order], milli[order].astype(np.float64)
+
+        def held(keys: np.ndarray) -> np.ndarray:
+            return milli[np.searchsorted(key, keys)]
+
         nats = []
-        n, start = docs["n"].to_numpy(), 0
+        n, at = docs["n"].to_numpy(), 0
         ends = np.cumsum(n)
-        while start < len(docs):
-            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + 1_000_000, "right")))
-            want, size = _bigrams(docs["ids"].iloc[start:stop].tolist(), docs["model"].iloc[start:stop].tolist())
-            cost = milli[np.searchsorted(key, want)] - SCALE * unknown[want >> 32] * ((want & 65535) == 0) if len(want) else np.zeros(0)
+        while at < len(docs):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 1_000_000, "right")))
+            want, size = _bigrams(docs["ids"].iloc[at:stop].tolist(), docs["model"].iloc[at:stop].tolist(), unknown, start)
+            cost = held(want) if len(want) else np.zeros(0)
+            unseen = np.flatnonzero(cost == MISSING)
+            if len(unseen):
+                weight, low = held(want[unseen] >> 32 << 32), held(want[unseen] & SECOND)
+                cost[unseen] = np.where(weight == MISSING, 0, weight) + np.where(low == MISSING, 0, low)
+            model = np.searchsorted(unknown, want & SECOND, "right") - 1
+            cost -= SCALE * spread[model] * (unknown[model] == (want & SECOND))
             total = np.concatenate([[0.0], np.cumsum(cost)])
             upto = np.concatenate([[0], np.cumsum(size)])
             nats.append(-(total[upto[1:]] - total[upto[:-1]]) / SCALE)
-            start = stop
+            at = stop
         return pd.DataFrame({"id": docs["id"], "lang": docs["lang"], "held_out": docs["held_out"], "n": n, "nats": np.concatenate(nats) if nats else np.zeros(0)})
 
     return encoded.select("block", "id", "lang", "model", "held_out", "n", "ids").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
@@ -298,7 +331,7 @@ def _small(by_lang: DataFrame) -> DataFrame:
     return F.broadcast(by_lang) if by_lang.count() <= BROADCAST_LANGUAGES else by_lang
 
 
-def classify(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY, quantile: float = QUANTILE, margin: float = MARGIN, prior_words: int = PRIOR_WORDS, id_col: str = "doc_id") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, prior_words: int = PRIOR_WORDS, id_col: str = "doc_id") -> DataFrame:
     """One row per document: ``id_col, lang, n_words, perplexity, threshold, kept``.
 
     Words are runs without ASCII white space, unchanged. The perplexity takes each
@@ -314,19 +347,17 @@ def classify(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY, q
     trusted = materialize(trusted_ids(labels).withColumn("held_out", held_out), "quality-trusted")
     side = F.broadcast(trusted) if trusted.count() <= BROADCAST_IDS else trusted
     counted = materialize(_word_counts(base.join(side.filter("not held_out").select("id"), "id", "left_semi")).groupBy("lang", "word").agg(F.sum("n").alias("n")), "quality-words")
-    sizes = counted.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("types")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    sizes = counted.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("types")).orderBy(F.desc("n"), "lang").collect()
     langs = [r["lang"] for r in sizes]
-    unknown = np.log(np.array([r["types"] for r in sizes] + [max([r["types"] for r in sizes], default=1)], float) + 1)
-    common = counted.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_COUNT).orderBy(F.desc("n"), "word").limit(vocabulary)
-    known = np.sort(np.array([r["word"] for r in common.collect()], np.int64).view(np.uint64))
+    spread = np.log(np.array([r["types"] for r in sizes] + [max([r["types"] for r in sizes], default=1)], float) + 1)
+    numbers = _numbers(counted, langs)
 
     fold = F.col("held_out")
     marked = base.join(side, "id", "left").select("id", "text", "lang", F.coalesce(~fold, F.lit(False)).alias("trusted"), F.coalesce(fold, F.lit(False)).alias("held_out"))
-    encoded = materialize(_encode(marked, known, langs), "quality-encoded")
-    seen, tables = train(encoded, len(known))
-    seen = materialize(seen, "quality-model")
+    encoded = materialize(_encode(marked, numbers), "quality-encoded")
+    seen = materialize(train(encoded, numbers), "quality-model")
     shards = int(min(4096, max(12, -(-seen.count() // SHARD_BIGRAMS))))
-    scored = materialize(perplexities(encoded, _answers(encoded, seen, tables, shards), unknown), "quality-scores")
+    scored = materialize(perplexities(encoded, _answers(encoded, seen, numbers, shards), numbers, spread), "quality-scores")
 
     held = scored.filter("held_out and n > 0")
     average = materialize(held.groupBy("lang").agg((F.sum("nats") / F.sum("n")).alias("average")), "quality-averages")

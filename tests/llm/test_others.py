@@ -133,6 +133,22 @@ def test_quality_against_plain_model(spark):
     assert np.mean([got[i].kept for i in range(150, 200)]) > 0.95
 
 
+def test_quality_knows_all_words_of_each_language(spark):
+    """More words than one small table holds, and more languages than 32, each with a model of its own."""
+    rng = random.Random(9)
+    big = [f"w{i}" for i in range(9000)]
+    rows = [(i, " ".join(big[i * 90 % 9000 : i * 90 % 9000 + 90]), "en") for i in range(800)]
+    for k in range(40):
+        own = [f"x{k}y{i}" for i in range(5)]
+        rows += [(1000 + 100 * k + i, " ".join(rng.choice(own) for _ in range(5 + k % 3)), f"l{k}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = docs.selectExpr("doc_id", "1 as quality", "0 as toxic")
+    got = {r.doc_id: r for r in quality.classify(docs, labels).collect()}
+    assert max(got[i].perplexity for i, _, x in rows if x == "en") < 4  # every next word is known from the one before
+    # Five words of its own, so even a uniform model stays near 5; one that does not know them is beyond.
+    assert max(r.perplexity for r in got.values() if r.lang != "en") < 12
+
+
 def test_quality_held_out(spark):
     """On the documents whose labels say so: good ones stay, bad ones mostly go."""
     docs, labels = (spark.read.parquet(f"{SF.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
