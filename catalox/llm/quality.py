@@ -7,8 +7,9 @@ trusted document in ``FOLDS`` is held out of the counts and sets the thresholds.
 probabilities, lower orders and back-off weights are sharded by key; only the
 hashes of the known words reach every task. Documents are encoded once, in blocks; each
 block asks every shard for the bigrams it holds, and the answers come back as one
-table per block. The quantile of the held-out documents' perplexity in a language
-is its threshold.
+table per block. A language's threshold is the quantile of its held-out good
+documents' perplexity that loses a stated share of them, raised as far as that
+keeps no further held-out bad document.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from catalox.llm.common import HashMemo, chunks, hashes, materialize
 MIN_COUNT = 3
 #: Trusted documents are dealt to so many folds by their id; the first is held out.
 FOLDS = 5
-#: Share of a language's held-out documents that its threshold keeps, and the margin beyond their perplexity there.
-QUANTILE, MARGIN = 0.995, 1.25
+#: Share of a language's held-out good documents that its threshold may lose to reject bad ones.
+LOSS = 0.02
 #: Words of average text that every document is taken to hold besides its own; steadies short texts.
 PRIOR_WORDS = 20
 #: Trusted ids that may be broadcast; more are joined by a shuffle.
@@ -53,6 +54,12 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return labels.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(F.coalesce(good, F.lit(False))).alias("good")).filter("good and id is not null").select("id")
 
 
+def bad_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Documents that any label calls bad or toxic."""
+    bad = F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))
+    return labels.filter(bad).select(F.col(id_col).cast("long").alias("id")).filter("id is not null").distinct()
+
+
 def _words(text: bytes | None) -> list[bytes]:
     return (text or b"").split()
 
@@ -326,18 +333,26 @@ def perplexities(encoded: DataFrame, answers: DataFrame, numbers: Numbers, sprea
         score, "id long, lang string, held_out boolean, n long, nats double")
 
 
+def thresholds(good: DataFrame, bad: DataFrame, loss: float = LOSS) -> DataFrame:
+    """Rows (lang, threshold) from held-out documents ``(lang, perplexity)`` of both kinds."""
+    least = materialize(good.groupBy("lang").agg(F.percentile_approx("perplexity", 1 - loss, 100_000).alias("least")), "quality-least")
+    beyond = bad.join(_small(least), "lang").filter("perplexity > least").groupBy("lang").agg(F.min("perplexity").alias("first_bad"))
+    bounds = materialize(least.join(beyond, "lang", "left"), "quality-bounds")
+    return good.join(_small(bounds), "lang").filter("first_bad is null or perplexity < first_bad").groupBy("lang").agg(F.max("perplexity").alias("threshold"))
+
+
 def _small(by_lang: DataFrame) -> DataFrame:
     """A table of one row per language, broadcast up to ``BROADCAST_LANGUAGES`` rows."""
     return F.broadcast(by_lang) if by_lang.count() <= BROADCAST_LANGUAGES else by_lang
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, prior_words: int = PRIOR_WORDS, id_col: str = "doc_id") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, loss: float = LOSS, prior_words: int = PRIOR_WORDS, id_col: str = "doc_id") -> DataFrame:
     """One row per document: ``id_col, lang, n_words, perplexity, threshold, kept``.
 
     Words are runs without ASCII white space, unchanged. The perplexity takes each
     text to hold ``prior_words`` more words of its language's held-out average. A
-    document is kept up to ``margin`` times the ``quantile`` of its language's
-    held-out documents; where a language has none all its documents with words are
+    document is kept up to its language's threshold, which loses at most about
+    ``loss`` of the held-out good documents; where a language has none all its documents with words are
     kept (threshold null). A null, empty or blank text has no perplexity and is not
     kept. A null language is ''. Rows without an id are left out; rows that repeat
     an id are scored each. An empty table gives an empty result.
@@ -363,7 +378,10 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, mar
     average = materialize(held.groupBy("lang").agg((F.sum("nats") / F.sum("n")).alias("average")), "quality-averages")
     rate = scored.join(_small(average), "lang", "left").withColumn(
         "perplexity", F.when(F.col("n") > 0, F.exp((F.col("nats") + prior_words * F.coalesce("average", F.col("nats") / F.col("n"))) / (F.col("n") + prior_words))))
-    limits = materialize(rate.filter("held_out and n > 0").groupBy("lang").agg((F.percentile_approx("perplexity", quantile, 100_000) * margin).alias("threshold")), "quality-limits")
+    rate = materialize(rate, "quality-rates")
+    bad = materialize(bad_ids(labels).filter(held_out), "quality-bad")
+    bad = rate.filter("n > 0").join(F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad, "id", "left_semi").select("lang", "perplexity")
+    limits = materialize(thresholds(rate.filter("held_out and n > 0").select("lang", "perplexity"), bad, loss), "quality-limits")
     return rate.join(_small(limits), "lang", "left").select(
         F.col("id").alias(id_col), "lang", F.col("n").alias("n_words"), "perplexity", "threshold",
         (F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))).alias("kept"))

@@ -157,6 +157,20 @@ def test_quality_held_out(spark):
     assert keep(True) > 0.97
 
 
+def test_quality_rejects(spark):
+    """Without a margin: of documents labelled bad or toxic outside the fold that sets the threshold, at least this share goes."""
+    docs, labels = (spark.read.parquet(f"{SF.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    got = quality.classify(docs, labels).join(labels, "doc_id").filter(f"pmod(xxhash64(doc_id), {quality.FOLDS}) > 0").collect()
+    junk = [r.kept for r in got if r.quality == 0 and r.toxic == 0]
+    assert len(junk) > 20 and 1 - np.mean(junk) > 0.98
+
+
+def test_quality_thresholds(spark):
+    good = spark.createDataFrame([(x, float(i)) for x in ("en", "de") for i in range(1, 101)], "lang string, perplexity double")
+    bad = spark.createDataFrame([("en", 50.0), ("en", 96.5), ("en", 200.0), ("fr", 1.0)], "lang string, perplexity double")
+    assert dict(map(tuple, quality.thresholds(good, bad, 0.1).collect())) == {"en": 96.0, "de": 100.0}
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, n long, word string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
