@@ -26,8 +26,8 @@ CAPACITY = 2048
 RANK_ROWS = 500
 #: Pricing rounds of the fractional phase, and configurations taken from each.
 ROUNDS, TAKE = 150, 32
-#: Exponent of the weights, the share of a length's missing cover that one step adds, and the least fill of a configuration.
-ETA, STEP, FULL = 1.0, 0.5, 0.995
+#: Exponent of the weights, the share of a length's missing cover that one step adds, and the least price of a configuration beside the best of its round.
+ETA, STEP, NEAR = 1.0, 0.5, 0.995
 
 
 def default_tokenizer() -> str:
@@ -90,10 +90,10 @@ def _configuration(start: int, lengths: np.ndarray, item: np.ndarray, capacity:
 
 
 def _priced(lengths: np.ndarray, price: np.ndarray, capacity: int, take: int) -> list[dict[int, int]]:
-    """The ``take`` configurations of greatest price among the best ones that hold each length."""
+    """The ``take`` configurations of greatest price among the best ones that hold each length, as far as they come near the best of all."""
     best, item = _knapsack(lengths, price, capacity)
     value = price + best[capacity - lengths]
-    return [_configuration(int(j), lengths, item, capacity) for j in np.argsort(-value, kind="stable")[:take]]
+    return [_configuration(int(j), lengths, item, capacity) for j in np.argsort(-value, kind="stable")[:take] if value[j] >= NEAR * value.max()]
 
 
 def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, take: int = TAKE) -> list[tuple[int, dict[int, int]]]:
@@ -110,8 +110,6 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROU
     for done in range(rounds if len(lengths) > 1 else 0):
         price = base * np.exp(-ETA * (cover - (done + 1) / rounds).clip(-1, 1))
         for found in _priced(lengths, price, capacity, take):
-            if sum(int(lengths[j]) * a for j, a in found.items()) < FULL * capacity:
-                continue
             step = STEP * min(max(0.0, 1 - cover[j]) * need[j] / a for j, a in found.items())
             if step > 0:
                 key = tuple(sorted(found.items()))
@@ -128,7 +126,9 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROU
             chosen.append((copies, {int(lengths[j]): a for j, a in key}))
             for j, a in key:
                 left[j] -= copies * a
-    return chosen + _best_fit(lengths, left, capacity)
+    chosen += _best_fit(lengths, left, capacity)
+    plain = _best_fit(lengths, need, capacity)  # few lengths of small counts can lose more to rounding than the programme gains
+    return min(chosen, plain, key=lambda found: sum(copies for copies, _ in found))
 
 
 def _best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[int, dict[int, int]]]:

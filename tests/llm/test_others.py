@@ -292,3 +292,16 @@ def test_solve(seed):
     assert dict(got) == histogram
     assert sum(c for c, _ in chosen) <= math.ceil(sum(k * n for k, n in histogram.items()) / 2048 * 1.01) + 1
     assert solve({}) == [] and solve({5: 0}) == []
+
+
+def test_solve_without_full_sequences():
+    """No combination of these lengths fills a sequence; best fit takes 110 sequences, 90 are enough."""
+    histogram = {1038: 60, 555: 60, 531: 60, 459: 120}
+    chosen = solve(histogram)
+    got = Counter()
+    for copies, held in chosen:
+        assert copies > 0 and sum(k * a for k, a in held.items()) <= 2048
+        for k, a in held.items():
+            got[k] += copies * a
+    assert dict(got) == histogram
+    assert sum(copies for copies, _ in chosen) <= 92
