@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables that the innermost open :func:`scratch` deletes when it closes.
+_open: ContextVar[list[str] | None] = ContextVar("_open", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; where it is unset, a temporary folder (local) or one in the warehouse."""
@@ -20,8 +26,43 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet and read again, which cuts its lineage at a copy that outlives executors."""
-    path = f"{shared_dir(df.sparkSession)}/catalox/{name}-{uuid.uuid4().hex}"
+def tables_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/catalox/{spark.sparkContext.applicationId}"
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """``df`` written once as Parquet and read again, which cuts its lineage at a copy that outlives executors.
+
+    Inside :func:`scratch` the table goes when that closes, unless ``keep`` says
+    that the result still reads it. Kept tables stay until :func:`drop_tables`.
+    """
+    spark = df.sparkSession
+    path = f"{tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if not keep and (held := _open.get()) is not None:
+        held.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables materialised inside it, but for those kept."""
+    held: list[str] = []
+    before = _open.set(held)
+    try:
+        yield
+    finally:
+        _open.reset(before)
+        for path in held:
+            delete(spark, path)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete the tables that this application has left in the shared folder."""
+    delete(spark, tables_dir(spark))
