@@ -1,16 +1,17 @@
-"""Shared helpers: materialised tables in the cluster's shared folder and batch-wise text access."""
+"""Shared helpers: batch-wise access to texts, words and hashes; tables in the shared folder come from ``sources.scratch``."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+
+from catalox.sources.scratch import drop_tables, materialize, scratch, shared_dir, tables_dir
+
+__all__ = ["HashMemo", "chunks", "drop_tables", "hashes", "materialize", "multipliers", "scratch", "shared_dir", "split_words", "spread", "tables_dir", "word_hashes"]
 
 #: One bytes chunk of text handled at a time inside a Python task.
 CHUNK_BYTES = 4 << 20
@@ -18,45 +19,6 @@ CHUNK_BYTES = 4 << 20
 MEMO_ENTRIES = 500_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the setting is absent a local session gets a temporary folder and any
-    other session a folder in its warehouse.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return context.getCheckpointDir().rstrip("/")
-    if context.master.startswith("local"):
-        at = tempfile.mkdtemp(prefix="catalox-")
-    else:
-        at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    context.setCheckpointDir(at)
-    return context.getCheckpointDir().rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read again.
-
-    This cuts the lineage at a copy that outlives any executor. Files stay until
-    :func:`drop_tables` or until the folder is cleaned.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/catalox/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_tables(spark: SparkSession) -> None:
-    """Delete every table that :func:`materialize` has left in the shared folder."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/catalox")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 class HashMemo(dict):
     """64-bit hashes of byte strings, remembered while they fit."""
 

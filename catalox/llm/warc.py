@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalox.llm.common import materialize, shared_dir
+from catalox.llm.common import materialize, tables_dir
 
 #: Payloads below this size are always stored.
 REVISIT_BYTES = 1000
@@ -83,7 +83,7 @@ def write_archives(pages: DataFrame, path: str | None = None, revisit_bytes: int
     groups = materialize(groups, "warc-groups")
     marked = rows.join(groups, same, "left").withColumn("kind", F.when(F.col("first.page_id") > F.col("page_id"), "revisit").otherwise("response"))
     head = _record_head(F.col("page_id"), F.col("kind"), F.col("url"), at(F.col("page_id")), F.col("digest"), F.col("size"), F.col("first.page_id"), F.col("first.url"), at(F.col("first.page_id")))
-    path = path or f"{shared_dir(spark)}/catalox/warc-{uuid.uuid4().hex}"
+    path = path or f"{tables_dir(spark)}/warc-{uuid.uuid4().hex}"
     record = F.concat(head, F.when(F.col("kind") == "revisit", "").otherwise(F.col("html")))
     # The line separator closes each record, so a file is the records one after another.
     marked.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", file_records).option("compression", "gzip").text(path)

@@ -182,16 +182,24 @@ def test_exact_edges(spark):
     assert exact_dedup(frame(spark, [], extra=False)).count() == 0
     got = exact_dedup(frame(spark, [(4, "a"), (4, "a"), (2, "b"), (9, "a")])).collect()
     assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == [(2, 2, 1, True), (4, 4, 3, True), (4, 4, 3, True), (9, 4, 3, False)]
+    # An id that comes with two texts stays for one and goes for the other.
+    for options in ({}, {"capacity": 1, "owner_rows": 1}):
+        got = exact_dedup(frame(spark, [(1, "a"), (2, "a"), (3, "b"), (2, "b")]), **options).collect()
+        assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == [(1, 1, 2, True), (2, 1, 2, False), (2, 2, 2, True), (3, 2, 2, False)]
 
 
 def test_directory_covers_all_keys_once(spark):
-    keys = spark.range(3000).select(F.xxhash64("id").alias("h"))
-    buckets = directory(keys, 100)
-    assert sum(2.0**-d for d, _ in buckets) == 1
-    held = [0] * len(buckets)
-    for r in keys.collect():
-        u = r.h & ((1 << 64) - 1)
-        hit = [b for b, (d, p) in enumerate(buckets) if u >> (64 - d) == p] if buckets[0][0] else [0]
-        assert len(hit) == 1
-        held[hit[0]] += 1
-    assert max(held) <= 100
+    keys = spark.range(3000).select(F.xxhash64("id").alias("h"), F.lit(1).alias("weight"))
+    for capacity in (100, 10_000):
+        slots, depth = directory(keys, capacity)
+        rows = slots.collect()
+        assert sorted(r.slot & ((1 << 64) - 1) for r in rows) == list(range(1 << depth))
+        held = Counter()
+        bucket = {r.slot: r.bucket for r in rows}
+        for r in keys.collect():
+            held[bucket[(r.h & ((1 << 64) - 1)) >> (64 - depth)]] += 1
+        assert max(held.values()) <= capacity
+        # Two buckets whose keys would fit in one are not split.
+        for b, d in {(r.bucket, r.depth) for r in rows if r.depth}:
+            twin = [x for x in {(r.bucket, r.depth) for r in rows} if x[1] == d and x[0] >> (depth - d + 1) == b >> (depth - d + 1)]
+            assert len(twin) < 2 or sum(held[x[0]] for x in twin) > capacity
