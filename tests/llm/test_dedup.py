@@ -69,6 +69,26 @@ def test_lines(spark, seed):
     assert lines.line_dedup(frame(spark, [], extra=False)).count() == 0
 
 
+def test_lines_count_documents(spark):
+    """Rows that repeat an id are one document: nine others and it make ten, its own rows alone do not."""
+    rows = [(7, "again\nonly here")] * 12 + [(8, "ONLY here \nx")]
+    got = lines.line_dedup(frame(spark, rows)).collect()
+    assert len(got) == 13 and all(r.n_dropped == 0 for r in got)
+    got = lines.line_dedup(frame(spark, [*rows, *((i, "again") for i in range(100, 109))])).collect()
+    assert all((r.n_dropped, r.text) == (1, "only here") for r in got if r.doc_id == 7)
+    long = [(i, "\n".join(f"{i} {k}" for k in range(20_000)) + "\nshared") for i in range(10)]
+    assert all((r.n_lines, r.n_dropped) == (20_001, 1) for r in lines.line_dedup(frame(spark, long, extra=False)).collect())
+
+
+def test_line_shards_split(spark):
+    """Batches with more shards each time: the same counts as at once."""
+    k = lines.line_keys(frame(spark, awkward(6), extra=False))
+    read = lambda s: sorted(map(tuple, lines.counts(s).collect()))
+    want = read(lines.apply_changes(lines.empty_state(spark), k, 1, 4))
+    assert read(lines.insert_all(k, k.limit(0), 10, 3)) == want
+    assert read(lines.split_shards(lines.apply_changes(lines.empty_state(spark), k, 1, 2), 16)) == want
+
+
 def test_line_state_is_reversible(spark):
     """Documents in, others in and out again: counts and decisions are those of the first alone."""
     one, two = frame(spark, awkward(4), extra=False), frame(spark, [(i + 1000, t) for i, t in awkward(5)], extra=False)
