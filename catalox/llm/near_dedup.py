@@ -5,14 +5,18 @@ value. A pair of sets above the match threshold shares one of the rarest
 coordinates of either, so only that prefix is joined, and a coordinate that no
 other set holds is skipped. Inside a posting list the members first meet two
 leaders, the smallest id and the most central one. Lists that then still span
-several components count the collisions of their members block by block; what
-passes the match threshold stays packed by blocks of members, and each pair of
-blocks is confirmed on full shingle sets, so neither step has a row for each pair.
+several components merge their members' postings, block by block: a member's
+rarest postings name its candidates, and each candidate is looked up in the long
+ones only while it can still reach the threshold. Every pair, a leader's too, must
+have the collisions of the match threshold; what passes is confirmed on full
+shingle sets. Pairs inside lists stay packed by blocks of members, so no step has a
+row for each pair.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -20,21 +24,36 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalox.llm.common import HashMemo, chunks, hashes, materialize, multipliers, spread
+from catalox.llm.common import HashMemo, chunks, hashes, materialize, multipliers, scratch, spread
 from catalox.llm.components import components
 
 SHINGLE = 5
 SIMILARITY = 80
-#: Signature coordinates and the collisions a pair must have. A pair of similarity 0.8 has fewer with a chance of 4e-6.
-COORDINATES, MATCHES = 64, 36
-#: Sizes of one band differ by less than this factor, a little over 100 / SIMILARITY.
-BAND = 1.26
+#: Signature coordinates, and the chance at which a pair of just the similarity may miss the collisions it must have.
+COORDINATES, MISS = 64, 5e-6
 #: Members of a block whose signatures are compared with another's, and members and shingles of a block of sets.
-BLOCK, SET_MEMBERS, SET_SHINGLES = 2048, 256, 1 << 18
+BLOCK, SET_MEMBERS, SET_SHINGLES = 4096, 256, 1 << 18
+#: Long postings that are looked up before candidates are dropped again.
+SKIP = 8
 #: Members one task compares with a leader.
 MEMBERS = 256
 
 
+def matches_for(similarity: int, coordinates: int = COORDINATES, miss: float = MISS) -> int:
+    """Collisions that a pair of this similarity (percent) has but for a chance of ``miss``: 36 of 64 at 80."""
+    s, below = similarity / 100, 0.0
+    for n in range(coordinates + 1):
+        below += comb(coordinates, n) * s**n * (1 - s) ** (coordinates - n)
+        if below > miss:
+            return max(1, n)
+    return coordinates
+
+
+def band_of(n, similarity: int):
+    """Size bands: linked sets differ in size by at most 100 / ``similarity``, which reaches one band up or down."""
+    return F.floor(F.log(n) / float(np.log(100.8 / similarity))).cast("int")
+
+
 def _shingles(text: bytes | None, k: int, memo: HashMemo, mult: np.ndarray) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the k-word shingles; a shorter text is one shingle."""
     words = (text or b"").lower().split()
@@ -92,21 +111,21 @@ def shingle_sets(docs: DataFrame, reps: DataFrame, k: int, id_col: str, text_col
     return _texts(docs, id_col, text_col).join(reps.hint("shuffle_hash"), "id", "left_semi").mapInArrow(run, "id long, shingles binary")
 
 
-def prefix_postings(reps: DataFrame, matches: int = MATCHES) -> DataFrame:
+def prefix_postings(reps: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """Rows (rep, n, key, coord, band, low, central, mask): the rarest shared coordinates of each set, in its size band and the next.
 
-    A pair shares ``matches`` coordinates, so with s shared coordinates it meets
-    in one of the s - matches + 1 rarest of each side. Coordinates that no other
+    A linked pair shares ``matches_for(similarity)`` coordinates, m of them, so with s
+    shared coordinates it meets in one of the s - m + 1 rarest of each side. Coordinates that no other
     set holds need no posting. ``mask`` has the bits of a set's posted coordinates.
     """
+    matches = matches_for(similarity)
     posted = reps.select("rep", "n", F.posexplode("sig").alias("coord", "key"))
     shared = posted.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
     held = posted.join(shared, "key").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key", "coord"))).alias("keys"))
     central = F.aggregate("keys", F.lit(0.0), lambda s, x: s + F.log(x["df"].cast("double")))
     short = held.filter(F.size("keys") >= matches).select("rep", "n", central.alias("central"), F.expr(f"slice(keys, 1, size(keys) - {matches - 1})").alias("keys"))
     mask = F.aggregate("keys", F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["coord"])))
-    band = F.floor(F.log("n") / float(np.log(BAND))).cast("int")
-    return short.select("rep", "n", "central", mask.alias("mask"), band.alias("low"), F.explode("keys").alias("x")).select(
+    return short.select("rep", "n", "central", mask.alias("mask"), band_of("n", similarity).alias("low"), F.explode("keys").alias("x")).select(
         "rep", "n", F.col("x.key").alias("key"), F.col("x.coord").alias("coord"), F.explode(F.array("low", F.col("low") + 1)).alias("band"), "low", "central", "mask")
 
 
@@ -118,6 +137,19 @@ def leader_pairs(postings: DataFrame) -> DataFrame:
     return met.select(F.least("l", "rep").alias("a"), F.greatest("l", "rep").alias("b")).distinct()
 
 
+def enough_collisions(pairs: DataFrame, reps: DataFrame, matches: int) -> DataFrame:
+    """The pairs (a, b) whose signatures collide on ``matches`` coordinates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for i in (2, 3))
+                yield batch.select(["a", "b"]).filter(pa.array((one == two).sum(1) >= matches))
+
+    side = lambda name: reps.select(F.col("rep").alias(name), F.col("mini").alias(f"sig_{name}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+
+
 def _cells(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
     """Runs of rows that agree in the first ``keys`` columns, each whole."""
     held: list[pa.RecordBatch] = []
@@ -136,7 +168,49 @@ def _cells(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def colliding(lists: DataFrame, members: DataFrame, matches: int = MATCHES, block: int = BLOCK) -> DataFrame:
+def merged(sig: np.ndarray, matches: int, fits) -> Iterator[tuple[int, np.ndarray]]:
+    """Pairs of rows of ``sig`` that agree in ``matches`` columns, as (i, later rows), by prefix and skip merging.
+
+    Each column's values have postings, the sorted rows that hold them. Two rows
+    that agree in m of n columns share one of the n - m + 1 rarest postings of
+    either, so the merge of these names a row's candidates. ``fits(i, rows)`` marks
+    those worth counting. The other postings are long: they are not merged but
+    looked up for each candidate, and a candidate goes once what is left cannot
+    bring it to m.
+    """
+    rows, width = sig.shape
+    if matches > width or rows < 2:
+        return
+    order = np.argsort(sig, 0, kind="stable").astype(np.int32)
+    low, high = np.empty((rows, width), np.int32), np.empty((rows, width), np.int32)
+    for c in range(width):
+        value = sig[order[:, c], c]
+        first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+        size = np.diff(np.concatenate([first, [rows]]))
+        low[order[:, c], c], high[order[:, c], c] = np.repeat(first, size), np.repeat(first + size, size)
+    rare = np.argsort(high - low, 1, kind="stable")
+    for i in range(rows - 1):
+        short, long = rare[i, : width - matches + 1], rare[i, width - matches + 1 :]
+        lists = [order[low[i, c] : high[i, c], c] for c in short if high[i, c] - low[i, c] > 1]
+        if not lists:
+            continue
+        lists = [x[np.searchsorted(x, i, "right") :] for x in lists]
+        found, count = np.unique(np.concatenate(lists), return_counts=True)
+        keep = fits(i, found)
+        found, count = found[keep], count[keep]
+        for a in range(0, len(long), SKIP):
+            if not len(found):
+                break
+            some = long[a : a + SKIP]
+            count = count + (sig[np.ix_(found, some)] == sig[i, some]).sum(1)
+            keep = count + max(0, len(long) - a - SKIP) >= matches
+            found, count = found[keep], count[keep]
+        found = found[count >= matches]
+        if len(found):
+            yield i, found
+
+
+def colliding(lists: DataFrame, members: DataFrame, matches: int, block: int = BLOCK) -> DataFrame:
     """Rows (one, two, pairs): packed pairs of different components, by blocks of sets, that collide on ``matches`` coordinates.
 
     ``lists`` has (key, band, coord, rep, m) and ``members`` one row (rep, mini, comp,
@@ -156,16 +230,14 @@ def colliding(lists: DataFrame, members: DataFrame, matches: int = MATCHES, bloc
             sig = np.frombuffer(b"".join(cell.column(11).to_pylist()), np.uint32).reshape(len(rep), -1)
             bits = np.uint64(1) << np.arange(sig.shape[1], dtype=np.uint64)
             below = np.uint64((1 << coord) - 1)
+
+            def fits(i: int, to: np.ndarray, own=own, comp=comp, low=low, band=band, apart=p != q) -> np.ndarray:
+                fit = (comp[to] != comp[i]) & (np.maximum(low[to], low[i]) == band)
+                return fit & (own[to] != own[i]) if apart else fit
+
             found = []
-            for i in range(len(rep) - 1):
-                fit = (comp[i + 1 :] != comp[i]) & (np.maximum(low[i + 1 :], low[i]) == band)
-                if p != q:
-                    fit &= own[i + 1 :] != own[i]
-                to = np.flatnonzero(fit) + i + 1
-                same = sig[to] == sig[i]
-                hit = same.sum(1) >= matches
-                to, same = to[hit], same[hit]
-                to = to[(same @ bits) & mask[to] & mask[i] & below == 0]
+            for i, to in merged(sig, matches, fits):
+                to = to[((sig[to] == sig[i]) @ bits) & mask[to] & mask[i] & below == 0]
                 if len(to):
                     found.append(np.stack([np.full(len(to), i), to]))
             if not found:
@@ -249,25 +321,24 @@ def confirm(pairs: DataFrame, sets: DataFrame, similarity: int = SIMILARITY, mem
     return left.union(right).repartition("a", "part").sortWithinPartitions("a", "part", "role").mapInArrow(run, "a long, b long")
 
 
-def near_dedup(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``id_col, n_shingles, component_id, kept``.
-
-    Words are runs without ASCII white space, A-Z lower-cased. A text of fewer than
-    ``shingle`` words is one shingle; null, empty or blank texts have none and link
-    with nothing. Documents link at a Jaccard similarity of ``similarity`` percent;
-    a component's smallest id stays. Equal sets are one class and always link.
-    Rows without an id are left out; rows that repeat an id are returned each and
-    share a component. An empty table gives an empty result.
-    """
-    base = materialize(signatures(docs, shingle, id_col, text_col), "near-signatures")
+def _grouped(docs: DataFrame, shingle: int, similarity: int, known: DataFrame | None = None) -> DataFrame:
+    """Rows (id, n_shingles, component) of ``docs(id, text)``, whose equal ids have equal texts; ``known(a, b)`` are links besides those of the sets."""
+    base = materialize(signatures(docs, shingle, "id", "text"), "near-signatures")
     classes = base.filter("n > 0").groupBy("hi", "lo", "n").agg(F.min("id").alias("rep"))
     classes = materialize(classes, "near-classes")
     reps = materialize(base.select("id", "sig", "mini", "hi", "lo").join(classes.withColumnRenamed("rep", "id"), ["id", "hi", "lo"]).select(F.col("id").alias("rep"), "n", "sig", "mini").dropDuplicates(["rep"]), "near-reps")
-    postings = materialize(prefix_postings(reps), "near-postings")
-    first = materialize(leader_pairs(postings), "near-pairs")
+    member = base.select("id", "n", "hi", "lo").join(classes.select("hi", "lo", "rep"), ["hi", "lo"], "left")
+    member = member.select("id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")).alias("rep"))
+    matches = matches_for(similarity)
+    postings = materialize(prefix_postings(reps, similarity), "near-postings")
+    first = materialize(enough_collisions(leader_pairs(postings), reps, matches), "near-pairs")
     meet = postings.select(F.col("rep").alias("id")).distinct()
-    sets = materialize(shingle_sets(docs, meet, shingle, id_col, text_col).dropDuplicates(["id"]), "near-sets")
-    links = materialize(confirm(first, sets, similarity), "near-links")
+    sets = materialize(shingle_sets(docs, meet, shingle, "id", "text").dropDuplicates(["id"]), "near-sets")
+    links = confirm(first, sets, similarity)
+    if known is not None:
+        side = lambda name: member.select(F.col("id").alias(name), F.col("rep").alias(f"rep_{name}"))
+        links = links.union(known.join(side("a"), "a").join(side("b"), "b").select("rep_a", "rep_b"))
+    links = materialize(links, "near-links")
     found = components(links)
 
     labelled = postings.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
@@ -278,13 +349,38 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILA
     blocks = F.greatest(F.ceil(F.col("l.m") / SET_MEMBERS), F.ceil(F.col("l.total") / SET_SHINGLES))
     homes = lists.groupBy("rep", "comp", "low", "mask").agg(largest).select("rep", "comp", "low", "mask", F.xxhash64("l.key", "l.band", F.pmod(F.xxhash64("rep"), blocks)).alias("home"))
     members = homes.join(reps.select("rep", "mini"), "rep")
-    packed = materialize(colliding(lists.select("key", "band", "coord", "rep", "m"), members), "near-packed")
+    packed = materialize(colliding(lists.select("key", "band", "coord", "rep", "m"), members, matches), "near-packed")
     more = materialize(confirm_packed(packed, sets, similarity), "near-links")
     if more.limit(1).count():
         found = components(links.union(more))
 
-    member = base.select("id", "n", "hi", "lo").join(classes.select("hi", "lo", "rep"), ["hi", "lo"], "left")
-    member = member.select("id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")).alias("rep"))
-    return member.join(found.withColumnRenamed("id", "rep"), "rep", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"),
-    ).withColumn("kept", F.col(id_col) == F.col("component_id"))
+    return member.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component"))
+
+
+def near_dedup(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: ``id_col, n_shingles, component_id, kept``.
+
+    Words are runs without ASCII white space, A-Z lower-cased. A text of fewer than
+    ``shingle`` words is one shingle; null, empty or blank texts have none and link
+    with nothing. Documents link at a Jaccard similarity of ``similarity`` percent;
+    a component's smallest id stays. Equal sets are one class and always link.
+    Rows without an id are left out; rows that repeat an id are returned each, are
+    one document and link with all that any of their texts links with. Texts of
+    any length are read whole. An empty table gives an empty result. Other columns
+    are ignored, whatever their names.
+    """
+    with scratch(docs.sparkSession):
+        texts = _texts(docs, id_col, text_col)
+        repeated = materialize(texts.groupBy("id").count().filter("count > 1").select("id"), "near-repeated")
+        if not repeated.limit(1).count():
+            found = _grouped(texts, shingle, similarity)
+        else:  # a node for each text of a repeated id, all of them linked
+            nodes = texts.join(repeated.withColumn("again", F.lit(True)), "id", "left").select("id", F.when(F.col("again"), F.xxhash64("id", "text")).otherwise(F.col("id")).alias("node"), "text")
+            own = materialize(nodes.select("id", "node").distinct(), "near-nodes")
+            first = own.join(repeated, "id", "left_semi").groupBy("id").agg(F.min("node").alias("a"))
+            known = own.join(first, "id").filter("node <> a").select("a", F.col("node").alias("b"))
+            found = _grouped(nodes.select(F.col("node").alias("id"), "text"), shingle, similarity, known).withColumnRenamed("id", "node")
+            least = found.select("node", "component").distinct().join(own, "node").groupBy("component").agg(F.min("id").alias("least"))
+            found = found.join(own, "node").join(least, "component").select("id", "n_shingles", F.col("least").alias("component"))
+        return materialize(found.select(
+            F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept")), "near-result", keep=True)

@@ -52,6 +52,21 @@ def test_substring_edges(spark):
     assert sorted((r.doc_id, r.n_removed) for r in substring_dedup(frame(spark, twice)).collect()) == [(2, 0), (5, 13), (5, 13)]
 
 
+def test_substring_repeated_ids(spark):
+    """Texts of one id are judged each by its own words, against smaller ids only; a task's rows are gathered in runs of any length."""
+    p, q = (" ".join(f"{c}{i}" for i in range(20)) for c in "pq")
+    got = substring_dedup(frame(spark, [(5, p), (5, "z y x w " * 5 + q), (5, f"{q} {q}"), (2, q), (9, p + " tail"), (9, "short")])).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got) == [(2, 20, 0), (5, 20, 0), (5, 40, 20), (5, 40, 40), (9, 1, 0), (9, 21, 20)]
+
+
+def test_substring_runs(spark):
+    """Deciding within runs of any length changes nothing."""
+    rows = awkward(5)
+    want = plain_substring(rows, 13)
+    for n in (1, 7, 1000):
+        assert {r.doc_id: r.kept for r in substring_dedup(frame(spark, rows), run_rows=n).collect()} == {i: k for i, (_, _, k, _) in want.items()}
+
+
 def plain_lines(rows, least):
     key = lambda x: lower(x.strip(" \t\n\x0b\x0c\r"))
     split = {i: (t or "").split("\n") for i, t in rows}
@@ -164,6 +179,36 @@ def test_near_edges(spark):
     assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (3, 1), (3, 1), (7, 7), (8, 8)]
 
 
+def test_near_repeated_ids(spark):
+    """An id with two texts links with the kin of both, so they are one component."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    got = near_dedup(frame(spark, [(5, a), (5, b), (9, a + " x"), (3, b + " y"), (4, "c d e f g"), (4, None)]), shingle=4).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == [(3, 38, 3, True), (4, 0, 4, True), (4, 2, 4, True), (5, 37, 3, False), (5, 37, 3, False), (9, 38, 3, False)]
+
+
+def test_merging_finds_all_colliding_pairs():
+    import numpy as np
+    from catalox.llm.near_dedup import matches_for, merged
+
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1000, (6, 64))
+    sig = np.where(rng.random((300, 64)) < rng.random((300, 1)) * 0.6, rng.integers(0, 50, (300, 64)), base[rng.integers(6, size=300)]).astype(np.uint32)
+    for m in (20, 36, 64):
+        want = {(i, j) for i in range(300) for j in range(i + 1, 300) if (sig[i] == sig[j]).sum() >= m and (i + j) % 3}
+        assert {(i, int(j)) for i, to in merged(sig, m, lambda i, to: (i + to) % 3 > 0) for j in to} == want
+    assert matches_for(80) == 36 and matches_for(60) < 30 < matches_for(90)
+
+
+@pytest.mark.parametrize("similarity", [60, 90])
+def test_near_at_other_similarities(spark, similarity):
+    rows = awkward(11, n=90)
+    sets = {i: shingles(t, 4) for i, t in rows}
+    ids = sorted(sets)
+    links = [(x, y) for n, x in enumerate(ids) for y in ids[n + 1 :] if sets[x] and 100 * len(sets[x] & sets[y]) >= similarity * len(sets[x] | sets[y])]
+    want = components(ids, links)
+    assert {r.doc_id: r.component_id for r in near_dedup(frame(spark, rows), shingle=4, similarity=similarity).collect()} == want
+
+
 def test_blocks_of_signatures(spark):
     """Splitting lists into blocks changes nothing."""
     from catalox.llm import near_dedup as near
@@ -179,7 +224,7 @@ def test_blocks_of_signatures(spark):
     import numpy as np
 
     read = lambda df: Counter(tuple(sorted(p)) for r in df.collect() for p in np.frombuffer(r.pairs, np.int64).reshape(-1, 2).tolist())
-    whole, cut = read(near.colliding(lists, members)), read(near.colliding(lists, members, block=5))
+    whole, cut = read(near.colliding(lists, members, 36)), read(near.colliding(lists, members, 36, block=5))
     assert whole == cut and whole and set(whole.values()) == {1}
 
 
