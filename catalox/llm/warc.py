@@ -19,16 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalox.llm.common import materialize, tables_dir
+from catalox.llm.common import materialize, scratch, tables_dir
+from catalox.sources.scratch import delete
 
 #: Payloads below this size are always stored.
 REVISIT_BYTES = 1000
-#: Records of one archive file; bounds what a task holds when it reads one.
-FILE_RECORDS = 2000
+#: Records of one archive file and bytes of payload planned for it; they bound what a task holds when it reads one.
+FILE_RECORDS, FILE_BYTES = 2000, 64 << 20
 #: Entries planned for one merge range.
 RANGE_ENTRIES = 200_000
-#: Captures have no time of their own here: each id is one second after the one before.
-FIRST_CAPTURE = datetime(2024, 1, 1, tzinfo=UTC)
+#: Captures have no time of their own here: each id is one second after the one before, and after so many ids times start again.
+FIRST_CAPTURE, CAPTURE_SECONDS = datetime(2024, 1, 1, tzinfo=UTC), 30 * 365 * 86_400
 END = "\r\n\r\n"
 
 INDEX = "url_key string, capture_time string, page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, archive string, offset long"
@@ -66,17 +67,19 @@ def _record_head(page_id, kind, url, at, digest, size, refers_to, refers_url, re
         line("Content-Length", F.when(kind == "revisit", F.lit("0")).otherwise(size.cast("string"))), F.lit("\r\n"))
 
 
-def write_archives(pages: DataFrame, path: str | None = None, revisit_bytes: int = REVISIT_BYTES, file_records: int = FILE_RECORDS) -> str:
+def write_archives(pages: DataFrame, path: str | None = None, revisit_bytes: int = REVISIT_BYTES, file_records: int = FILE_RECORDS, file_bytes: int = FILE_BYTES) -> str:
     """Write a WARC record per page and return the folder of the archives.
 
     Of equal payloads of at least ``revisit_bytes`` the record of the largest id is
-    the response and the others revisit it.
+    the response and the others revisit it. Records go to archives by size, each
+    class up to twice the one before, so that an archive holds about ``file_bytes``
+    at most, or one larger record.
     """
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html")).filter("page_id is not null")
     raw = F.encode("html", "UTF-8")
     rows = rows.withColumn("size", F.length(raw).cast("long")).withColumn("digest", F.sha1(raw)).withColumn("check", F.xxhash64("html"))
-    at = lambda c: F.date_format(F.timestamp_seconds(F.lit(int(FIRST_CAPTURE.timestamp())) + c), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    at = lambda c: F.date_format(F.timestamp_seconds(F.lit(int(FIRST_CAPTURE.timestamp())) + F.pmod(c, F.lit(CAPTURE_SECONDS))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     same = ["digest", "check", "size"]
     groups = rows.filter(F.col("size") >= revisit_bytes).groupBy(*same).agg(
         F.max(F.struct("page_id", "url")).alias("first"), F.count("*").alias("n")).filter("n > 1").select(*same, "first")
@@ -85,8 +88,13 @@ def write_archives(pages: DataFrame, path: str | None = None, revisit_bytes: int
     head = _record_head(F.col("page_id"), F.col("kind"), F.col("url"), at(F.col("page_id")), F.col("digest"), F.col("size"), F.col("first.page_id"), F.col("first.url"), at(F.col("first.page_id")))
     path = path or f"{tables_dir(spark)}/warc-{uuid.uuid4().hex}"
     record = F.concat(head, F.when(F.col("kind") == "revisit", "").otherwise(F.col("html")))
-    # The line separator closes each record, so a file is the records one after another.
-    marked.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", file_records).option("compression", "gzip").text(path)
+    # Small records are one class; of each larger class fewer fit into an archive.
+    small = max(1, file_bytes // file_records)
+    kind = F.when(F.col("size") <= small, 0).otherwise(F.ceil(F.log2(F.col("size") / small))).cast("int")
+    for k in sorted({r["kind"] for r in rows.select(kind.alias("kind")).distinct().collect()} | {0}):  # 31 classes at most
+        own = marked.filter(kind == k)
+        # The line separator closes each record, so a file is the records one after another.
+        own.select(record.alias("value")).write.mode("append").option("lineSep", END).option("maxRecordsPerFile", max(1, file_records >> k)).option("compression", "gzip").text(path)
     return path
 
 
@@ -204,10 +212,16 @@ def capture_histories(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES, path
     Columns: ``page_id, payload_bytes, payload_digest, record_type, refers_to,
     url_key, capture_time, url, archive, offset``. A null page is an empty payload, a null
     URL an empty one. Rows without an id are left out; rows that repeat an id have
-    a record each. Equal payloads revisit only records of larger ids. An empty
-    table gives an empty result. Other columns are ignored.
+    a record each. Equal payloads revisit only records of larger ids. Ids may be any
+    number, as times start again after ``CAPTURE_SECONDS``; equal keys and times go
+    by id. Pages of any length are stored whole. An empty table gives an empty
+    result. Other columns are ignored, whatever their names. Archives in a ``path``
+    of the caller's stay, others go when the index is written.
     """
-    at = write_archives(pages, path, revisit_bytes)
-    index = materialize(read_archives(pages.sparkSession, at), "warc-runs")
+    with scratch(pages.sparkSession):
+        at = write_archives(pages, path, revisit_bytes)
+        index = materialize(read_archives(pages.sparkSession, at), "warc-runs", keep=True)
+        if path is None:
+            delete(pages.sparkSession, at)
     return merge_runs(index).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "capture_time", "url", "archive", "offset")
