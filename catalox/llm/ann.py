@@ -171,7 +171,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, reach: float =
     c = centroids(x @ turn, max(1, min(int(np.sqrt(n)), len(x) // LIST_SAMPLE)))
     probes = probes_for(x @ turn, c, k, reach=reach)
     with scratch(spark):
-        rows = _search(vectors, queries, dims, turn, c, probes, k, part, query_block)
+        rows = materialize(_search(vectors, queries, dims, turn, c, probes, k, part, query_block), "ann-rows")
         # Queries that met too few candidates, as where lists are nearly empty, scan every list.
         if probes < len(c):
             met = rows.groupBy("query_id").count()
