@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 
@@ -12,7 +14,8 @@ BLOCKS = (
     "html body article aside blockquote center address dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul").split()
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = set("script style noscript template iframe object svg math canvas audio video textarea select datalist button title head".split())
+SKIPPED = set("script style template iframe svg textarea select datalist button title head".split())
+RAW = set("script style textarea title".split())  # an open one takes the rest of the page
 CLOSES_P = set(BLOCKS) - {"dd", "dt", "li", "td", "th", "tr", "tbody", "thead", "tfoot", "html", "body"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
@@ -51,18 +54,19 @@ class Page:
 
     __slots__ = ("tag", "parent", "depth", "end", "flags", "mark", "chars", "link", "words", "punctuation", "inline", "blocks")
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, marked: bool = False):
+        """``marked`` reads the marks of generated pages; on other pages such attributes mean nothing."""
         for name in self.__slots__:
             setattr(self, name, [])
-        self._read(text)
+        self._read(text, marked)
 
-    def _open(self, tag: str, raw: str, parent: int) -> int:
+    def _open(self, tag: str, raw: str, parent: int, marked: bool) -> int:
         flags, mark = 0, -1
         if raw and "=" in raw:
             for m in ATTRIBUTE.finditer(raw):
                 value = m[2] or m[3] or m[4] or ""
                 if m[1].lower() == "data-k":
-                    mark = int(value)
+                    mark = int(value) if marked else -1
                     continue
                 for word in PART.findall(value):
                     c = CATEGORY.get(word.lower())
@@ -78,8 +82,10 @@ class Page:
             column.append(0)
         return at
 
-    def _read(self, text: str) -> None:
-        stack: list[tuple[str, int]] = [("", self._open("html", "", -1))]  # names and nodes of open blocks
+    def _read(self, text: str, marked: bool) -> None:
+        stack: list[tuple[str, int]] = [("", self._open("html", "", -1, marked))]  # names and nodes of open blocks
+        opened: Counter[str] = Counter()  # names in the stack
+        unclosed: set[str] = set()  # skipped elements that no later end tag closes
         block: list[str] = []
         links, link_from = 0, -1
         size = link_size = tags = 0
@@ -102,7 +108,9 @@ class Page:
         def close(depth: int) -> None:
             flush()
             while len(stack) > depth:
-                self.end[stack.pop()[1]] = len(self.tag)
+                name, node = stack.pop()
+                opened[name] -= 1
+                self.end[node] = len(self.tag)
 
         def add(piece: str) -> None:
             nonlocal link_size
@@ -126,10 +134,10 @@ class Page:
             name, closing, raw = name.lower(), m[1] or m[4], m[3] or m[6]
             if name in SKIPPED:
                 if not closing and not (raw or "").endswith("/"):
-                    stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(text, at)
-                    if stop is None and name == "head":
-                        continue
-                    at = stop.end() if stop else len(text)
+                    stop = None if name in unclosed else _end_of(name, text, at)
+                    if stop is None:
+                        unclosed.add(name)
+                    at = stop or (len(text) if name in RAW else at)
                 continue
             if name == "br":
                 block.append(" ")
@@ -139,7 +147,7 @@ class Page:
             elif name not in TAG_GROUP and name != "hr":
                 tags += not closing
             elif closing:
-                depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
+                depth = next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name) if opened[name] else 0
                 if depth:
                     close(depth)
                 else:
@@ -149,7 +157,7 @@ class Page:
             else:
                 if name in CLOSES_P and stack[-1][0] == "p":
                     close(len(stack) - 1)
-                for i in range(len(stack) - 1, 0, -1):
+                for i in range(len(stack) - 1, 0, -1) if any(opened[x] for x in CLOSES.get(name, ())) else ():
                     if stack[i][0] in SCOPE.get(name, ()):
                         break
                     if stack[i][0] in CLOSES.get(name, ()):
@@ -158,10 +166,29 @@ class Page:
                 flush()
                 if name not in VOID:
                     links = 0
-                    stack.append((name, self._open(name, raw, stack[-1][1])))
+                    stack.append((name, self._open(name, raw, stack[-1][1], marked)))
+                    opened[name] += 1
         close(0)
 
 
+@lru_cache(maxsize=32)
+def _edges(name: str) -> re.Pattern:
+    return re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.I)
+
+
+def _end_of(name: str, text: str, at: int) -> int | None:
+    """Where the skipped element that opened before ``at`` ends; elements of its own kind nest, but for raw text and head."""
+    depth = 1
+    for m in _edges(name).finditer(text, at):
+        if m[1]:
+            depth -= 1
+        elif name not in RAW and name != "head" and not m[0].endswith("/>"):
+            depth += 1
+        if not depth:
+            return m.end()
+    return None
+
+
 def features(pages: list[Page]) -> np.ndarray:
     """One row of features for every node of the pages, in order."""
     sizes = np.array([len(p.tag) for p in pages], np.int64)
@@ -189,17 +216,15 @@ def features(pages: list[Page]) -> np.ndarray:
     kin_chars = np.bincount(parent[~root], below[~root, 0], minlength=total)
     kin_links = np.bincount(parent[~root], below[~root, 1], minlength=total)
     bits = (flags[:, None] >> np.arange(N_CATEGORIES)) & 1
-    # What an ancestor's tag or attributes say, the parent's included; parents come first.
-    above = np.zeros((total, N_CATEGORIES + 6))
+    # What an ancestor's tag or attributes say, the parent's included: each round looks twice as far up.
     says = np.concatenate([bits, group[:, :6]], 1)
-    level = depth
-    for d in range(1, int(level.max(initial=0)) + 1):
-        i = np.flatnonzero(level == d)
-        above[i] = np.maximum(above[parent[i]], says[parent[i]])
+    above, up = np.where(root[:, None], 0, says[parent]), parent
+    for _ in range(int(depth.max(initial=0)).bit_length()):
+        above, up = np.maximum(above, above[up]), up[up]
     rate = lambda a, b: a / np.maximum(b, 1)
     chars, link, words, punctuation, inline, nodes, paragraphs, heads, items = below.T
     return np.column_stack([
-        group[:, :-1], bits, above, np.minimum(depth, 20), np.log1p(chars), rate(link, chars), np.log1p(words), rate(chars, words), rate(punctuation, words),
+        group[:, :-1], bits, above, np.where(root[:, None], 0, group[parent]), np.where(root[:, None], 0, bits[parent]), np.minimum(depth, 20), np.log1p(chars), rate(link, chars), np.log1p(words), rate(chars, words), rate(punctuation, words),
         rate(inline, words), np.log1p(nodes), rate(chars, nodes), np.log1p(own[:, 0]), rate(own[:, 1], own[:, 0]), np.log1p(paragraphs), np.log1p(heads), np.log1p(items),
         rate(chars, whole[:, 0]), rate(before[:, 0], whole[:, 0]), rate(at - first, sizes[page]), np.minimum(kin_n[parent], 50), rate(kin_chars[parent], kin_n[parent]) - chars > 0,
         np.log1p(rate(kin_chars[parent], kin_n[parent])), rate(kin_links[parent], kin_chars[parent]), rate(chars, kin_chars[parent]), np.log1p(whole[:, 0]),

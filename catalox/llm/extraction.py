@@ -1,15 +1,20 @@
 """Main text of pages by gradient-boosted trees over DOM nodes with hierarchical decoding.
 
-The trees are trained on pages of many generated layouts whose regions are known.
+The trees are trained on pages of many generated layouts whose regions are known;
+the fitted ones are kept beside this module (``trees.json``, written by :func:`save`),
+so that a query reads them and does not fit again.
 A page's node is likely content or not by its subtree's density, its attribute
 words, its depth and its siblings. Decoding takes the labelling of greatest
-likelihood in which nothing below a dropped node is kept.
+likelihood in which nothing below a dropped node is kept, a child being as its
+parent unless its odds speak clearly.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +28,10 @@ from catalox.llm.dom import Page, features
 from catalox.llm.layouts import training_page
 
 #: Generated pages that the trees learn from, rounds and depth of the trees.
-TRAINING_PAGES, TREES, DEPTH, SEED = 700, 24, 5, 3
+TRAINING_PAGES, TREES, DEPTH, SEED = 1500, 60, 6, 3
+#: Log-odds that it costs to drop a child of a kept node.
+SWITCH = 2.0
+FITTED = Path(__file__).with_name("trees.json")
 #: HTML handled at a time.
 CHUNK = 2 << 20
 
@@ -57,6 +65,18 @@ class Trees:
         full = np.array([t + [[0, np.inf, i, i, 0.0] for i in range(len(t), wide)] for t in tables], float)
         return cls(full[..., 0].astype(int), full[..., 1], full[..., 2].astype(int), full[..., 3].astype(int), full[..., 4], np.array(model.treeWeights), depth)
 
+    def to_json(self) -> str:
+        """One line for each tree: its weight and its nodes as [feature, threshold, left, right, value]; a leaf leads to itself."""
+        nodes = lambda t: [[int(f), None if np.isinf(c) else float(f"{c:.9g}"), int(a), int(b), float(f"{v:.7g}")] for f, c, a, b, v in zip(self.feature[t], self.threshold[t], self.left[t], self.right[t], self.value[t], strict=True)]
+        lines = [json.dumps([float(w), nodes(t)], separators=(",", ":")) for t, w in enumerate(self.weight)]
+        return f"[{self.depth},\n" + ",\n".join(lines) + "]\n"
+
+    @classmethod
+    def from_json(cls, text: str) -> Trees:
+        depth, *trees = json.loads(text)
+        full = np.array([[[np.inf if x is None else x for x in node] for node in nodes] for _, nodes in trees], float)
+        return cls(full[..., 0].astype(int), full[..., 1], full[..., 2].astype(int), full[..., 3].astype(int), full[..., 4], np.array([w for w, _ in trees]), depth)
+
     def log_odds(self, x: np.ndarray) -> np.ndarray:
         """Twice the margin of each row, the log of p / (1 - p)."""
         out, rows = np.zeros(len(x)), np.arange(len(x))
@@ -70,7 +90,7 @@ class Trees:
 
 def labelled_nodes(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of the nodes of ``n`` generated pages; a node has the mark of its nearest marked ancestor."""
-    pages = [Page(training_page(np.random.default_rng([seed, i]))) for i in range(n)]
+    pages = [Page(training_page(np.random.default_rng([seed, i])), marked=True) for i in range(n)]
     labels = []
     for p in pages:
         own = [1] * len(p.tag)
@@ -80,9 +100,8 @@ def labelled_nodes(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return features(pages), np.array(labels, float)
 
 
-@lru_cache(maxsize=4)
-def _trained(app: str, pages: int, trees: int, depth: int, seed: int) -> Trees:
-    spark = SparkSession.getActiveSession()
+def train(spark: SparkSession, pages: int = TRAINING_PAGES, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> Trees:
+    """Boosted trees fitted on ``pages`` generated pages."""
     x, y = labelled_nodes(pages, seed)
     rows = spark.createDataFrame([(r, float(v)) for r, v in zip(x.tolist(), y, strict=True)], "x array<double>, label double").select("label", array_to_vector("x").alias("features")).coalesce(4).cache()
     try:
@@ -91,24 +110,28 @@ def _trained(app: str, pages: int, trees: int, depth: int, seed: int) -> Trees:
         rows.unpersist()
 
 
-def train(spark: SparkSession, pages: int = TRAINING_PAGES, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> Trees:
-    """The boosted trees; one training per application and parameters."""
-    return _trained(spark.sparkContext.applicationId, pages, trees, depth, seed)
+def save(trees: Trees) -> None:
+    FITTED.write_text(trees.to_json())
+
+
+@lru_cache(maxsize=1)
+def fitted() -> Trees:
+    """The trees that :func:`train` fits with its default parameters, as saved."""
+    return Trees.from_json(FITTED.read_text())
 
 
-def decode(pages: list[Page], odds: np.ndarray) -> list[list[bool]]:
-    """For each page which nodes are kept: the greatest sum of log-odds over a set of nodes closed towards the root."""
+def decode(pages: list[Page], odds: np.ndarray, switch: float = SWITCH) -> list[list[bool]]:
+    """For each page which nodes are kept: of the sets closed towards the root that with the greatest sum of log-odds, less ``switch`` for each dropped child of a kept node."""
     kept, start = [], 0
     for p in pages:
         n = len(p.tag)
         gain = odds[start : start + n].tolist()
         start += n
         for i in range(n - 1, 0, -1):  # children after parents, so from the back each gain is complete
-            if gain[i] > 0:
-                gain[p.parent[i]] += gain[i]
+            gain[p.parent[i]] += max(gain[i], -switch)
         keep = [True] * n
         for i in range(1, n):
-            keep[i] = keep[p.parent[i]] and gain[i] > 0
+            keep[i] = keep[p.parent[i]] and gain[i] > -switch
         keep[0] = gain[0] > 0
         kept.append(keep if keep[0] else [False] * n)
     return kept
@@ -128,10 +151,13 @@ def extract(pages: DataFrame, trees: Trees | None = None) -> DataFrame:
     Blocks of the main text in page order, joined by an empty line; white space
     inside a block is one space. A null or empty page has the empty text. Rows
     without an id and rows that repeat one are returned each. Broken markup is read
-    as far as it goes: open elements end with the page. An empty table gives an
-    empty result. Other columns are ignored.
+    as far as it goes: open elements end with the page, and a skipped element without
+    an end tag is skipped alone, but for script, style, textarea and title, which
+    take the rest. Pages of any length or depth are read whole in time that follows
+    their length. A node whose odds are even goes. An empty table gives an empty
+    result. Other columns are ignored, whatever their names.
     """
-    model = trees or train(pages.sparkSession)
+    model = trees or fitted()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "html", CHUNK):

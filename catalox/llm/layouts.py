@@ -30,7 +30,7 @@ class Writer:
     def __init__(self, rng: np.random.Generator):
         self.rng = rng
         self.plain = rng.random() < 0.25  # a site whose attributes say nothing but for what cannot be told otherwise
-        self.noise = rng.random() * 0.15
+        self.sloppy = rng.random() * 0.8 if rng.random() < 0.4 else 0.0  # how often end tags are left out
 
     def one(self, options):
         return options[int(self.rng.integers(len(options)))]
@@ -48,21 +48,32 @@ class Writer:
         text = self.words(a, b).capitalize()
         return (text.replace(" ", ", ", 1) if self.often(0.3) else text) + self.one([".", ".", ".", "!", "?"])
 
+    def end(self, tag: str) -> str:
+        """An end tag that HTML lets authors leave out."""
+        return "" if self.often(self.sloppy) else f"</{tag}>"
+
+    def inline(self, text: str) -> str:
+        tag = self.one(["b", "i", "em", "strong", "span", "u", "code", "font"])
+        return f"<{tag}>{text}{self.end(tag)}"
+
     def prose(self, a: int, b: int) -> str:
-        out = [self.sentence() for _ in range(int(self.rng.integers(a, b + 1)))]
-        text = " ".join(out)
-        if self.often(self.noise):
-            text = " ".join(w + self.one(["***", "###", "%%%", "$$$", "&amp;&amp;"]) for w in text.split())
+        text = " ".join(self.sentence() for _ in range(int(self.rng.integers(a, b + 1))))
         if self.often(0.15):
             text += f' <a href="/{self.word()}">{self.words(1, 4)}</a> {self.sentence()}'
-        if self.often(0.1):
-            text = f"<b>{text}</b>"
+        if self.often(0.15):
+            text += " " + self.inline(self.words(1, 5)) + " " + self.sentence()
+        elif self.often(0.1):
+            text = self.inline(text)
         return text.replace(" ", "<br>", 1) if self.often(0.05) else text
 
-    def region(self, kind: str, mark: int, inner: str) -> str:
-        name = self.one(NAMES[kind])
+    def p(self, text: str) -> str:
+        return f"<p>{text}{self.end('p')}"
+
+    def region(self, kind: str, mark: int, inner: str, inside: bool = False) -> str:
+        """A marked element. What stands ``inside`` an article bears a name, or nobody could tell it apart."""
+        name = self.one([x for x in NAMES[kind] if x or not inside])
         tag = self.one(TAGS[kind])
-        needed = kind in ("ad", "notice", "comments") and tag not in ("aside",)
+        needed = inside or kind in ("ad", "notice", "comments") and tag not in ("aside",)
         if self.plain and not needed and tag not in ("div", "section", "p", "ul", "ol"):
             name = ""
         elif self.plain and kind == "content":
@@ -75,7 +86,7 @@ class Writer:
     def links(self, a: int, b: int, sep: str = "") -> str:
         items = [f'<a href="/{self.word()}">{self.words(1, 3)}</a>' for _ in range(int(self.rng.integers(a, b + 1)))]
         if self.often(0.6):
-            return "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>"
+            return "<ul>" + "".join(f"<li>{x}{self.end('li')}" for x in items) + "</ul>"
         return (sep or self.one([" | ", " ", " &raquo; "])).join(items)
 
     def article(self) -> str:
@@ -85,28 +96,30 @@ class Writer:
         for _ in range(int(self.rng.choice([1, 2, 3, 5, 8, 12, 20]))):
             kind = self.rng.random()
             if kind < 0.78:
-                text = self.prose(1, 7) if self.often(0.85) else self.words(1, 3).capitalize() + "."
-                out.append(f"<p>{text}</p>" if self.often(0.9) else f"<p><b>{text}<br>")
+                out.append(self.p(self.prose(1, 7) if self.often(0.85) else self.words(1, 3).capitalize() + "."))
             elif kind < 0.85:
-                out.append(f"<h{self.one('234')}>{self.words(1, 7)}</h2>")
+                level = self.one("234")
+                out.append(f"<h{level}>{self.words(1, 7)}</h{level}>")
             elif kind < 0.90:
-                out.append("<ul>" + "".join(f"<li>{self.prose(1, 2)}</li>" for _ in range(int(self.rng.integers(2, 7)))) + "</ul>")
+                tag = self.one(["ul", "ol"])
+                out.append(f"<{tag}>" + "".join(f"<li>{self.prose(1, 2)}{self.end('li')}" for _ in range(int(self.rng.integers(2, 7)))) + f"</{tag}>")
             elif kind < 0.93:
-                out.append(f"<blockquote><p>{self.prose(1, 3)}</p></blockquote>")
+                out.append(f"<blockquote>{self.p(self.prose(1, 3))}</blockquote>")
             elif kind < 0.95:
                 out.append(f"<div>{self.prose(1, 4)}</div>")
             elif kind < 0.97:
                 out.append(f'<figure><img src="x.png"><figcaption>{self.sentence()}</figcaption></figure>')
             elif kind < 0.985:
-                rows = "".join(f"<tr><td>{self.words(1, 3)}</td><td>{self.words(1, 3)}</td></tr>" for _ in range(int(self.rng.integers(2, 5))))
+                cell = self.one(["td", "td", "th"])
+                rows = "".join(f"<tr><{cell}>{self.words(1, 3)}{self.end(cell)}<td>{self.words(1, 3)}{self.end('td')}{self.end('tr')}" for _ in range(int(self.rng.integers(2, 5))))
                 out.append(f"<table>{rows}</table>")
             else:
                 out.append(f"<pre>{self.words(5, 30)}</pre>")
             if self.often(0.08):
-                out.append(self.other(self.one(["ad", "ad", "share", "side", "notice"])))
+                out.append(self.other(self.one(["ad", "ad", "share", "side", "notice"]), inside=True))
         return "".join(out)
 
-    def other(self, kind: str) -> str:
+    def other(self, kind: str, inside: bool = False) -> str:
         if kind == "nav":
             inner = self.links(3, 12)
         elif kind == "header":
@@ -127,17 +140,37 @@ class Writer:
         else:
             inner = self.prose(1, 3) if self.often(0.6) else f"<p>{self.prose(1, 3)}</p>"
             inner += f' <a href="/x">{self.words(1, 3)}</a>' if self.often(0.3) else ""
-        return self.region(kind, 0, inner)
+        return self.region(kind, 0, inner, inside)
+
+
+def framed(w: Writer) -> str:
+    """A page whose frame is a table: rows for head and foot, cells for links and content."""
+    bare = lambda inner, mark: f'<td data-k="{mark}"{w.one(["", "", " valign=top", " width=150", " colspan=2"])}>{inner}{w.end("td")}'
+    row = lambda cells: f"<tr>{''.join(cells)}{w.end('tr')}"
+    rows = [row([bare(w.one([w.links(3, 8), w.other("nav"), w.words(1, 4), w.other("header")]), 0)]) for _ in range(int(w.rng.integers(0, 3)))]
+    cells = [bare(w.article(), 1)]
+    for _ in range(int(w.rng.integers(0, 3))):
+        cells.insert(int(w.rng.integers(0, 2)), bare(w.one([w.links(3, 12), w.other("side"), w.other("ad")]), 0))
+    rows.append(row(cells))
+    if w.often(0.3):
+        rows.append(row([bare(w.other("comments"), 0)]))
+    rows += [row([bare(w.one([f"&copy; {w.words(1, 4)}", w.other("footer"), f"<font size=1>{w.sentence(2, 8)} {w.links(1, 4)}</font>"]), 0)])] * w.often(0.8)
+    return f'<table{w.one(["", " width=100%", " border=0"])}>{"".join(rows)}</table>'
 
 
 def training_page(rng: np.random.Generator) -> str:
-    """One page: regions before, around and after an article, flat or in wrappers."""
+    """One page: regions before, around and after an article, flat, in wrappers or in a table."""
     w = Writer(rng)
     before = [w.other(k) for k in ("notice", "header", "nav", "nav", "ad", "form", "share") if w.often(0.4)]
     after = [w.other(k) for k in ("share", "ad", "side", "comments", "form", "notice", "nav") if w.often(0.4)] + [w.other("footer")] * w.often(0.85)
     rng.shuffle(before)
     beside = [w.other("side")] if w.often(0.3) else []
+    if w.often(0.1):
+        return f"<html><body>{framed(w)}</body></html>"
     middle = w.region("content", 1, w.article())
+    if w.often(0.3):  # what belongs to the article's column but not to the article
+        middle += "".join(w.other(k) for k in ("share", "comments", "comments", "side", "ad") if w.often(0.4))
+        middle = f"<{(tag := w.one(['main', 'div', 'section']))}{w.one(['', ' id=' + w.word(), ' class=column'])}>{middle}</{tag}>"
     if w.often(0.4):
         middle = f'<div class="{w.one(["wrapper", "container", "row", "page", "layout", w.word()])}">{"".join([*beside, middle] if w.often(0.5) else [middle, *beside])}</div>'
     else:

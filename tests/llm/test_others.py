@@ -198,6 +198,21 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.capture_histories(empty, path=str(tmp_path / "none")).count() == 0
 
 
+def test_warc_large_ids_and_pages(spark, tmp_path):
+    """Ids beyond any date, and archives that are cut by bytes as well as by records."""
+    pages = [(i, f"http://h{i % 3}.example.com/", "x" * (i % 7 * 400)) for i in range(50)] + [(10**13 + i, "http://z.example.com/", "y" * 90_000 + str(i)) for i in range(5)] + [(-(10**15), "http://z.example.com/", "z"), (2**62, "http://z.example.com/", "z")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    at = warc.write_archives(df, str(tmp_path / "cut"), file_records=10, file_bytes=20_000)
+    got = warc.merge_runs(warc.read_archives(spark, at)).collect()
+    assert sorted((r.page_id, r.payload_bytes) for r in got) == sorted((i, len(h)) for i, _, h in pages)
+    assert [(r.url_key, r.capture_time, r.page_id) for r in got] == sorted((r.url_key, r.capture_time, r.page_id) for r in got)
+    assert {len(r.capture_time) for r in got} == {20}
+    held = Counter()
+    for r in got:
+        held[r.archive] += r.payload_bytes
+    assert all(v <= 20_000 for v in held.values() if v < 90_000) and sum(v > 90_000 for v in held.values()) == 5
+
+
 @pytest.mark.parametrize("k", [0, 1, 2, 3, 5, 8, 13])
 def test_loser_tree(k):
     rng = random.Random(k)
@@ -236,6 +251,27 @@ def test_nearest_edges(spark):
     assert [(r.query_id, r["rank"], r.vec_id) for r in sorted(got)] == [(0, 1, 1), (0, 2, 100), (0, 3, 2), (100, 1, 0), (100, 2, 1), (100, 3, 2)]
     none = df.limit(0)
     assert nearest(none, none).count() == 0
+    # The size is that of most usable vectors, whichever row comes first; an id may come several times.
+    rows = [(0, [0.0]), (0, [9.0]), (0, [1.0, 2.0]), (1, [1.0, 3.0]), (2, [4.0, 3.0]), (2, [4.0, 3.0]), (0, [1.0, 2.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = nearest(df, df.filter("vec_id % 100 = 0").filter("embedding[1] = 2.0")).collect()
+    assert [(r["rank"], r.vec_id, r.score) for r in sorted(got)] == [(1, 1, 1.0), (2, 2, 10**0.5), (3, 2, 10**0.5)]
+
+
+def test_nearest_probes_few_lists_of_gathered_vectors(spark):
+    """Where vectors gather, a tenth of the lists is enough; and copies of one vector do not crowd out its neighbours."""
+    from catalox.llm.ann import centroids, probes_for
+
+    rng = np.random.default_rng(3)
+    middle = rng.standard_normal((60, 16)) * 8
+    x = middle[rng.integers(60, size=6000)] + rng.standard_normal((6000, 16))
+    c = centroids(x, 77)
+    assert probes_for(x, c, 10) <= 8
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(10_000 + i, x[0].tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    want = plain_nearest(rows, [(i, v) for i, v in rows if i % 100 == 0])
+    got = {(r.query_id, r.vec_id) for r in nearest(df, df.filter("vec_id % 100 = 0")).collect()}
+    assert len(got) == len(want) and sum((q, i) in got for q, _, i, _ in want) / len(want) >= 0.9
 
 
 # Packing
