@@ -1,34 +1,36 @@
 """Quality by the perplexity of an interpolated modified Kneser-Ney bigram model.
 
 The model is counted on the trusted documents, one model per language, over all
-words that occur often enough in its trusted text. Any other word is the unknown word, which shares its
-probability evenly among the unknown words of the language's trusted text. One
-trusted document in ``FOLDS`` is held out of the counts and sets the thresholds. Bigram counts,
-probabilities, lower orders and back-off weights are sharded by key; only the
-hashes of the known words reach every task. Documents are encoded once, in blocks; each
-block asks every shard for the bigrams it holds, and the answers come back as one
-table per block. A language's threshold is the quantile of its held-out good
+their words. One trusted document in ``FOLDS`` is held out of the counts and sets the
+thresholds. Texts are read once, into blocks of documents whose words are numbers
+of the block's own vocabulary. Bigrams and words are known by hashes and live in shards, with
+no vocabulary anywhere: a block sends each shard the bigrams of its trusted documents,
+the shard sums them and tells one of the blocks that hold a bigram its count, and those blocks
+sum what the words need of it. To score, a block asks the shards for all its
+bigrams and words, and the answers come back as one row per block; the probability of
+a word is put together there. Blocks are stored in buckets by their number, so they
+are not moved again. A language's threshold is the quantile of its held-out good
 documents' perplexity that loses a stated share of them, raised as far as that
 keeps no further held-out bad document.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from typing import NamedTuple
+from contextlib import contextmanager
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalox.llm.common import HashMemo, chunks, hashes, materialize
+from catalox.llm.common import HashMemo, chunks, materialize, multipliers, scratch, split_words, spread, tables_dir, word_hashes
+from catalox.sources.scratch import delete
 
-#: A word must occur so often in its language's trusted text to be known.
-MIN_COUNT = 3
 #: Trusted documents are dealt to so many folds by their id; the first is held out.
 FOLDS = 5
 #: Share of a language's held-out good documents that its threshold may lose to reject bad ones.
@@ -39,13 +41,13 @@ PRIOR_WORDS = 20
 BROADCAST_IDS = 4_000_000
 #: Languages whose averages and thresholds may be broadcast.
 BROADCAST_LANGUAGES = 10_000
-#: Bigrams planned for a shard.
-SHARD_BIGRAMS = 250_000
-SCALE = 1000.0
-#: The second word of a bigram key; a key without first word is the word's lower order, one without second word the context's back-off weight.
-SECOND = (1 << 32) - 1
-#: The answer for a key that no shard holds.
-MISSING = 1
+#: Words of a block, one document at least; bigrams and words planned for a shard.
+BLOCK_WORDS, SHARD_KEYS = 2_000_000, 1_000_000
+#: Bits of a word's number, and of a bigram's beside its shard's: a lookup meets another's entry with a chance of ``SHARD_KEYS`` / 2^40.
+WORD_BITS, PAIR_BITS = 48, 40
+MULT = multipliers(3, 41)
+#: What is asked of a shard.
+PAIRS, WORDS = 0, 1
 
 
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -60,277 +62,348 @@ def bad_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return labels.filter(bad).select(F.col(id_col).cast("long").alias("id")).filter("id is not null").distinct()
 
 
-def _words(text: bytes | None) -> list[bytes]:
-    return (text or b"").split()
+# Arrays as bytes: planes of bytes, so that what is small or alike packs well; sorted keys as differences.
 
+def _pack(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()) if x.size else b""
 
-def _word_counts(trusted: DataFrame) -> DataFrame:
-    """Rows (lang, word, n): trusted words by 64-bit hash of language and word."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = HashMemo()
-        for batch in chunks(batches, "text", 16 << 20):
-            texts, langs = batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()
-            for lang in sorted(set(langs)):
-                parts = [hashes(_words(t), memo) for t, x in zip(texts, langs, strict=True) if x == lang]
-                word, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(word), pa.string()), pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "word", "n"])
+def _unpack(raw: bytes, kind: str) -> np.ndarray:
+    if not raw:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
-    return trusted.mapInArrow(run, "lang string, word long, n long")
 
+def _pack_keys(x: np.ndarray) -> bytes:
+    return _pack(np.diff(x, prepend=np.uint64(0)))
 
-class Numbers(NamedTuple):
-    """Word numbers over all models: the unknown word of model m is ``unknown[m]``, its known words follow by frequency, then its start.
 
-    The last model is that of languages without trusted text, which know no word.
-    ``known`` holds each language's sorted hashes and their places by frequency from 1.
-    """
+def _unpack_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(raw, "<u8"), dtype=np.uint64)
+
+
+def _cut(keys: np.ndarray, bits: int, total: int) -> Iterator[tuple[int, int, int]]:
+    """(shard, from, to) of the sorted keys of ``total`` bits, dealt to 2^bits shards by their leading bits."""
+    shard = (keys >> np.uint64(total - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    first = np.flatnonzero(np.diff(shard, prepend=-1))
+    for a, b in zip(first, [*first[1:], len(keys)], strict=False):
+        yield int(shard[a]), int(a), int(b)
+
+
+def _short(pairs: np.ndarray, bits: int) -> np.ndarray:
+    """The ``PAIR_BITS`` bits of bigram keys that follow their shard's; their order stays."""
+    return (pairs << np.uint64(bits)) >> np.uint64(64 - PAIR_BITS)
+
+
+def _salt(lang: str) -> np.uint64:
+    return np.uint64(xxhash.xxh64_intdigest(lang.encode()))
+
+
+def _number(h: np.ndarray) -> np.ndarray:
+    return spread(h) >> np.uint64(64 - WORD_BITS)
+
+
+def _start(lang: str) -> np.uint64:
+    """The number that stands before a text's first word."""
+    return _number(np.array([_salt(lang)], np.uint64) * MULT[2])[0]
+
 
-    langs: list[str]
-    known: list[tuple[np.ndarray, np.ndarray]]
-    unknown: np.ndarray
-    start: np.ndarray
-
-
-def _numbers(counted: DataFrame, langs: list[str]) -> Numbers:
-    rows = counted.filter(F.col("n") >= MIN_COUNT).select("lang", "word", "n").toArrow()
-    at = {x: i for i, x in enumerate(langs)}
-    coded = rows.column("lang").combine_chunks().dictionary_encode()
-    model = np.array([at[x] for x in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()]
-    word, n = rows.column("word").to_numpy().view(np.uint64), rows.column("n").to_numpy()
-    order = np.lexsort((word, -n, model))
-    known = []
-    for own in np.split(word[order], np.cumsum(np.bincount(model, minlength=len(langs)))[:-1]) if langs else ():
-        by_hash = np.argsort(own)
-        known.append((own[by_hash], (by_hash + 1).astype(np.uint32)))
-    size = np.array([len(k) for k, _ in known] + [0], np.int64)
-    unknown = 1 + np.cumsum(size + 2) - (size + 2)
-    return Numbers(langs, known, unknown, unknown + size + 1)
-
-
-class _Vocabulary(dict):
-    """A language's words by their places in frequency from 1; 0 for an unknown word."""
-
-    def __init__(self, known: np.ndarray, places: np.ndarray):
-        super().__init__()
-        self.known, self.places = known, places
-        self.limit = 500_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > self.limit:
-            self.clear()
-        h = np.uint64(xxhash.xxh64_intdigest(word))
-        at = int(np.searchsorted(self.known, h))
-        value = self[word] = int(self.places[at]) if at < len(self.known) and self.known[at] == h else 0
-        return value
-
-
-def _encode(docs: DataFrame, numbers: Numbers) -> DataFrame:
-    """Rows (block, id, lang, model, trusted, held_out, n, ids): packed places of whole texts' words, by planes of bytes; a block is one input partition."""
-    number = {x: i for i, x in enumerate(numbers.langs)}
-    known = [*numbers.known, (np.zeros(0, np.uint64), np.zeros(0, np.uint32))]
+class Block:
+    """Documents with their words as places in the block's vocabulary."""
+
+    SCHEMA = "block long, langs array<string>, ids binary, lang binary, n binary, train binary, held binary, vocabulary binary, codes binary"
+
+    def __init__(self, block: int, langs: list[str], ids: np.ndarray, lang: np.ndarray, n: np.ndarray, train: np.ndarray, held: np.ndarray, vocabulary: np.ndarray, codes: np.ndarray):
+        self.block, self.langs, self.ids, self.lang, self.n, self.train, self.held, self.vocabulary, self.codes = block, langs, ids, lang, n, train, held, vocabulary, codes
+
+    @classmethod
+    def of(cls, block: int, parts: list[tuple]) -> Block:
+        """From parts (ids, languages, word counts, train, held out, word numbers)."""
+        names = [x for _, langs, *_ in parts for x in langs]
+        langs = sorted(set(names))
+        place = {x: i for i, x in enumerate(langs)}
+        ids, n, train, held, words = (np.concatenate([p[i] for p in parts]) for i in (0, 2, 3, 4, 5))
+        vocabulary, codes = np.unique(np.concatenate([words, [_start(x) for x in langs]]).astype(np.uint64), return_inverse=True)
+        return cls(block, langs, ids, np.array([place[x] for x in names], np.uint32), n.astype(np.uint32), train, held, vocabulary, codes[: len(words)].astype(np.uint32))
+
+    def row(self) -> tuple:
+        return (self.block, self.langs, _pack(self.ids.astype("<i8")), _pack(self.lang), _pack(self.n), _pack(self.train.astype("u1")), _pack(self.held.astype("u1")), _pack_keys(self.vocabulary), _pack(self.codes))
+
+    @classmethod
+    def read(cls, batch: pa.RecordBatch, i: int) -> Block:
+        raw = [batch.column(name)[i].as_py() for name in ("block", "langs", "ids", "lang", "n", "train", "held", "vocabulary", "codes")]
+        kinds = ("<i8", "<u4", "<u4", "u1", "u1")
+        return cls(*raw[:2], *[_unpack(x, k) for x, k in zip(raw[2:7], kinds, strict=True)], _unpack_keys(raw[7]), _unpack(raw[8], "<u4"))
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """The key of each word with the one before it, and the place of that one in the vocabulary."""
+        starts = np.searchsorted(self.vocabulary, np.array([_start(x) for x in self.langs], np.uint64)).astype(np.uint32)
+        before = np.concatenate([[0], self.codes[:-1]]).astype(np.uint32) if len(self.codes) else self.codes
+        first = np.cumsum(self.n.astype(np.int64)) - self.n
+        before[first[self.n > 0]] = starts[self.lang[self.n > 0]]
+        return spread(self.vocabulary[before] * MULT[0] + self.vocabulary[self.codes] * MULT[1]), before
+
+
+def blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Blocks of ``docs(id, text, lang, train, held)``: about ``block_words`` words each, whole documents, from one partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, pack = {}, zstandard.ZstdCompressor(level=1).compress
+        memo, parts, held, number = HashMemo(), [], 0, TaskContext.get().partitionId() << 32
         for batch in chunks(batches, "text"):
-            model = [number.get(x, len(number)) for x in batch.column(2).to_pylist()]
-            ids = []
-            for t, m in zip(batch.column(1).cast(pa.binary()).to_pylist(), model, strict=True):
-                words = _words(t)
-                own = vocabulary.get(m)
-                if own is None:
-                    own = vocabulary[m] = _Vocabulary(*known[m])
-                ids.append(np.fromiter(map(own.__getitem__, words), "<u4", len(words)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(5), batch.column(0), batch.column(2), pa.array(model, pa.int32()), batch.column(3), batch.column(4),
-                 pa.array([len(x) for x in ids], pa.int64()), pa.array([pack(x.view(np.uint8).reshape(-1, 4).T.tobytes()) for x in ids], pa.binary())],
-                names=["block", "id", "lang", "model", "trusted", "held_out", "n", "ids"])
-
-    return docs.withColumn("block", F.spark_partition_id()).mapInArrow(run, "block int, id long, lang string, model int, trusted boolean, held_out boolean, n long, ids binary")
-
-
-def _bigrams(blobs: list[bytes], models: list[int], unknown: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bigram keys of documents in a row, first << 32 | second, and the documents' lengths."""
-    unpack = zstandard.ZstdDecompressor().decompress
-    words = [np.ascontiguousarray(np.frombuffer(unpack(b), np.uint8).reshape(4, -1).T).view("<u4").ravel() for b in blobs]
-    size = np.array([len(w) for w in words], np.int64)
-    if not size.sum():
-        return np.zeros(0, np.int64), size
-    model = np.array(models, np.int64)
-    second = np.concatenate(words).astype(np.int64) + np.repeat(unknown[model], size)
-    first = np.concatenate([[0], second[:-1]])
-    first[(np.cumsum(size) - size)[size > 0]] = start[model[size > 0]]
-    return (first << 32) | second, size
-
-
-def _runs(batch: pa.RecordBatch, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
-    """Slices of about ``most`` words, one document at least."""
-    ends, start = np.cumsum(batch.column("n").to_numpy()), 0
-    while start < batch.num_rows:
-        base = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, base + most, "right")))
-        yield batch.slice(start, stop - start)
-        start = stop
-
-
-def _bigram_counts(encoded: DataFrame, unknown: np.ndarray, start: np.ndarray) -> DataFrame:
-    """Rows (key, n, model)."""
+            words, n = split_words(batch.column(1))
+            langs = batch.column(2).to_pylist()
+            salt = {x: _salt(x) for x in set(langs)}
+            numbers = _number(word_hashes(words, memo) + np.repeat(np.array([salt[x] for x in langs], np.uint64), n)) if len(words) else np.zeros(0, np.uint64)
+            flags = [batch.column(i).to_numpy(zero_copy_only=False).astype(bool) for i in (3, 4)]
+            parts.append((batch.column(0).to_numpy(), langs, n, *flags, numbers))
+            held += len(words)
+            if held >= block_words:
+                yield _rows([Block.of(number, parts).row()])
+                parts, held, number = [], 0, number + 1
+        if parts:
+            yield _rows([Block.of(number, parts).row()])
+
+    kinds = (pa.int64(), pa.list_(pa.string()), *[pa.binary()] * 7)
+    names = [x.split()[0] for x in Block.SCHEMA.split(", ")]
+
+    def _rows(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    return docs.select("id", "text", "lang", "train", "held").mapInArrow(run, Block.SCHEMA)
+
+
+@contextmanager
+def _bucketed(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` as a table in buckets by ``block``, as many as a shuffle has partitions, for joins that leave it where it is."""
+    spark = df.sparkSession
+    name = f"catalox_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("path", f"{tables_dir(spark)}/{name}").option("compression", "none").bucketBy(parts, "block").saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete(spark, f"{tables_dir(spark)}/{name}")
+
+
+def _table(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
+    fields = [x.split() for x in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+
+def _by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, list[dict]]]:
+    """Rows that agree in ``keys``, which come together."""
+    now, held = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            key = tuple(row[k] for k in keys)
+            if key != now:
+                if held:
+                    yield now, held
+                now, held = key, []
+            held.append(row)
+    if held:
+        yield now, held
+
+
+_TALLY = "shard int, block long, keys binary, counts binary"
+
+
+def tally(held: DataFrame, bits: int) -> DataFrame:
+    """Rows (shard, block, keys, counts): the bigrams of each block's training documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                b = Block.read(batch, i)
+                keys, n = np.unique(b.pairs()[0][np.repeat(b.train > 0, b.n)], return_counts=True)
+                short, n = _short(keys, bits), n.astype(np.uint64)
+                yield _table([(s, b.block, _pack_keys(short[x:y]), _pack(n[x:y])) for s, x, y in _cut(keys, bits, 64)], _TALLY)
+
+    return held.mapInArrow(run, _TALLY)
+
+
+def summed(tallied: DataFrame) -> DataFrame:
+    """The shards' bigrams with their counts (block -1), and for each block that sent some the counts of those it is to speak for, 0 for the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (shard,), rows in _by_group(batches, ["shard"]):
+            keys = [_unpack_keys(r["keys"]) for r in rows]
+            held, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+            total = np.bincount(place, np.concatenate([_unpack(r["counts"], "<u8") for r in rows])).astype(np.uint64)
+            told = np.zeros(len(place), np.uint64)
+            told[first] = total
+            at = np.cumsum([0, *map(len, keys)])
+            out = [(shard, r["block"], None, _pack(told[a:b])) for r, a, b in zip(rows, at[:-1], at[1:], strict=True)]
+            yield _table([(shard, -1, _pack_keys(held), _pack(total)), *out], _TALLY)
+
+    return tallied.repartition("shard").sortWithinPartitions("shard", "block").mapInArrow(run, _TALLY)
+
+
+_STATS = "shard int, lang string, keys binary, stats binary, c1 long, c2 long, c3 long, c4 long"
+
+
+def word_stats(held: DataFrame, told: DataFrame, bits: int, word_bits: int) -> DataFrame:
+    """Rows (shard, lang, keys, stats) of words: their count as a context, their bigrams of count 1, 2 and more as a context, and the words they follow; and (lang, c1..c4), the counts of counts of bigrams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _runs(batch, 4_000_000):
-                key, n = np.unique(_bigrams(part.column("ids").to_pylist(), part.column("model").to_pylist(), unknown, start)[0], return_counts=True)
-                model = np.searchsorted(unknown, key & SECOND, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64)), pa.array(model.astype(np.int32))], names=["key", "n", "model"])
-
-    counted = encoded.filter("trusted").select("model", "n", "ids").mapInArrow(run, "key long, n long, model int")
-    return counted.groupBy("key").agg(F.sum("n").alias("n"), F.max("model").alias("model"))
-
-
-def _discounted(counted: DataFrame, n: str) -> DataFrame:
-    """``counted`` with ``cut``: the modified Kneser-Ney discounts D1, D2, D3+ of each model from its counts of counts."""
-    c = [F.col(f"c{i}") for i in range(5)]
-    counts = counted.groupBy("model").agg(*[F.count(F.when(F.col(n) == i, 1)).alias(f"c{i}") for i in range(1, 5)])
-    y = F.when(c[1] + c[2] > 0, c[1] / (c[1] + 2 * c[2])).otherwise(0.5)
-    d = [F.when(c[i] > 0, i - (i + 1) * y * c[i + 1] / c[i]).otherwise(y * i) for i in (1, 2, 3)]
-    none = c[1] + c[2] + c[3] + c[4] == 0
-    d = [F.when(none, 0.5).otherwise(F.least(F.greatest(x, F.lit(0.05)), F.lit(i - 0.05))).alias(f"d{i}") for i, x in enumerate(d, 1)]
-    by_model = materialize(counts.select("model", *d), "quality-discounts")
-    cut = F.when(F.col(n) == 1, F.col("d1")).when(F.col(n) == 2, F.col("d2")).otherwise(F.col("d3"))
-    return counted.join(_small(by_model), "model").withColumn("cut", cut).drop("d1", "d2", "d3")
-
-
-def train(encoded: DataFrame, numbers: Numbers) -> DataFrame:
-    """The model: rows (key, milli) of seen bigrams, of the lower order of words and of the back-off weights of contexts.
-
-    ``milli`` is the log-probability or log weight in thousandths: the interpolated one of a
-    bigram, that of the continuation model under (0, word), and the weight of the
-    lower order under (context, 0).
+            for i in range(batch.num_rows):
+                b = Block.read(batch, i)
+                keys, before = b.pairs()
+                use = np.flatnonzero(np.repeat(b.train > 0, b.n))
+                _, first = np.unique(keys[use], return_index=True)
+                count = np.concatenate([_unpack(x["counts"], "<u8") for x in sorted(batch.column("told")[i].as_py() or [], key=lambda x: x["shard"])] or [np.zeros(0, np.uint64)])
+                own = count > 0
+                at, count = use[first[own]], count[own].astype(np.int64)
+                lang = b.lang[np.searchsorted(np.cumsum(b.n.astype(np.int64)), at, "right")]
+                rows = []
+                for k in np.unique(lang):
+                    mine = lang == k
+                    c, a, w = count[mine], before[at[mine]], b.codes[at[mine]]
+                    sums = [np.bincount(a, x, len(b.vocabulary)) for x in (c, c == 1, c == 2, c > 2)] + [np.bincount(w, minlength=len(b.vocabulary))]
+                    stats = np.stack(sums, 1).astype(np.uint64)
+                    some = np.flatnonzero(stats.any(1))
+                    words, stats = b.vocabulary[some], stats[some]
+                    rows += [(s, b.langs[k], _pack_keys(words[x:y]), _pack(stats[x:y].ravel()), None, None, None, None) for s, x, y in _cut(words, word_bits, WORD_BITS)]
+                    rows.append((-1, b.langs[k], None, None, *[int((c == j).sum()) for j in (1, 2, 3, 4)]))
+                yield _table(rows, _STATS)
+
+    joined = held.join(told.groupBy("block").agg(F.collect_list(F.struct("shard", "counts")).alias("told")), "block")
+    return joined.select("block", "langs", "ids", "lang", "n", "train", "held", "vocabulary", "codes", "told").mapInArrow(run, _STATS)
+
+
+def words_summed(stats: DataFrame) -> DataFrame:
+    """One row (shard, lang, keys, stats) for each shard and language; c1..c4 are the counts of counts of followed words, and the sums over words in ``types`` and ``words``."""
+    schema = _STATS + ", types long, words long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (shard, lang), rows in _by_group(batches, ["shard", "lang"]):
+            keys, place = np.unique(np.concatenate([_unpack_keys(r["keys"]) for r in rows]), return_inverse=True)
+            parts = np.concatenate([_unpack(r["stats"], "<u8").reshape(-1, 5) for r in rows])
+            total = np.stack([np.bincount(place, parts[:, j], len(keys)) for j in range(5)], 1).astype(np.uint64)
+            types = total[:, 4]
+            yield _table([(shard, lang, _pack_keys(keys), _pack(total.ravel()), *[int((types == j).sum()) for j in (1, 2, 3, 4)], int(types.sum()), int((types > 0).sum()))], schema)
+
+    return stats.filter("shard >= 0").select("shard", "lang", "keys", "stats").repartition("shard", "lang").sortWithinPartitions("shard", "lang").mapInArrow(run, schema)
+
+
+def discounts(c1: int, c2: int, c3: int, c4: int) -> list[float]:
+    """The modified Kneser-Ney discounts D1, D2, D3+ from counts of counts."""
+    c = [c1, c2, c3, c4]
+    if not any(c):
+        return [0.5] * 3
+    y = c1 / (c1 + 2 * c2) if c1 + c2 else 0.5
+    d = [i - (i + 1) * y * c[i] / c[i - 1] if c[i - 1] else y * i for i in (1, 2, 3)]
+    return [min(max(x, 0.05), i - 0.05) for i, x in enumerate(d, 1)]
+
+
+def constants(stats: DataFrame, words: DataFrame) -> dict[str, tuple]:
+    """By language: discounts of bigrams, discounts of followed words, their number, the probability of a word that follows none, and the words.
+
+    One row for each language with trusted text, of which the languages of the world bound the number.
     """
-    bigrams = materialize(_bigram_counts(encoded, numbers.unknown, numbers.start), "quality-bigrams").withColumns(
-        {"context": F.shiftright("key", 32), "word": F.col("key").bitwiseAND(F.lit(SECOND))})
-    bigrams = _discounted(bigrams, "n")
-    contexts = materialize(bigrams.groupBy("context").agg((F.sum("cut") / F.sum("n")).alias("back"), F.sum("n").alias("total")), "quality-contexts")
-    follow = _discounted(materialize(bigrams.groupBy("word").agg(F.count("*").alias("types"), F.max("model").alias("model")), "quality-follow"), "types")
-
-    size = numbers.start - numbers.unknown  # known words and the unknown one
-    models = encoded.sparkSession.createDataFrame(
-        [(m, int(numbers.unknown[m]), int(size[m])) for m in range(len(numbers.langs))], "model int, unknown long, size long")
-    sums = follow.groupBy("model").agg(F.sum("types").alias("types_of_all"), F.sum("cut").alias("cut_of_all")).join(models, "model")
-    sums = materialize(sums.withColumn("spare", F.col("cut_of_all") / F.col("types_of_all") / F.col("size")), "quality-models")
-    low = follow.join(_small(sums.select("model", "types_of_all", "spare")), "model").select(
-        "word", ((F.col("types") - F.col("cut")) / F.col("types_of_all") + F.col("spare")).alias("p"))
-    never = sums.select(F.col("unknown").alias("word"), F.col("spare").alias("p")).join(follow.select("word"), "word", "left_anti")
-    low = materialize(low.union(never), "quality-lower")
-
-    p = (F.col("n") - F.col("cut")) / F.col("total") + F.col("back") * F.col("p")
-    milli = lambda x: F.round(F.log(x) * SCALE).cast("long").alias("milli")
-    seen = bigrams.join(contexts, "context").join(low, "word").select("key", milli(p))
-    lower = low.select(F.col("word").alias("key"), milli(F.col("p")))
-    return seen.union(lower).union(contexts.select(F.shiftleft("context", 32).alias("key"), milli(F.col("back"))))
-
-
-def _shard(context, word, shards: int):
-    return (context * 40_503 + word * 30_011) % 1_000_003 % shards
-
-
-def _answers(encoded: DataFrame, seen: DataFrame, numbers: Numbers, shards: int) -> DataFrame:
-    """Rows (block, keys, milli): for each block and shard the packed keys it asked for and what the model has for them."""
-    unknown, start = numbers.unknown, numbers.start
-    schema = "shard int, block int, key long, milli long, asked binary"
+    counts = [f"c{i}" for i in (1, 2, 3, 4)]
+    pairs = {r["lang"]: r for r in stats.filter("shard < 0").groupBy("lang").agg(*[F.sum(c).alias(c) for c in counts]).collect()}
+    found = {}
+    for r in words.groupBy("lang").agg(*[F.sum(c).alias(c) for c in (*counts, "types", "words")]).collect():
+        low = discounts(*[r[c] for c in counts])
+        cut = low[0] * r["c1"] + low[1] * r["c2"] + low[2] * (r["words"] - r["c1"] - r["c2"])
+        found[r["lang"]] = (np.array(discounts(*[pairs[r["lang"]][c] for c in counts])), np.array(low), r["types"], cut / r["types"] / (r["words"] + 1), r["words"])
+    return found
+
+
+_ASK = "kind int, shard int, block long, keys binary, held binary"
+_ANSWER = "block long, kind int, shard int, found binary"
+
+
+def answers(held: DataFrame, pairs: DataFrame, words: DataFrame, bits: int, word_bits: int) -> DataFrame:
+    """Rows (block, kind, shard, found): for all bigrams and words of each block, in order of key, what the shards hold of them."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            block = batch.column("block").to_numpy()
-            for own in np.unique(block):
-                rows = batch.filter(pa.array(block == own))
-                found = [np.unique(_bigrams(p.column("ids").to_pylist(), p.column("model").to_pylist(), unknown, start)[0]) for p in _runs(rows)]
-                keys = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-                if not len(keys):
-                    continue  # no words, nothing to ask
-                keys = np.concatenate([np.unique(keys & SECOND), np.unique(np.concatenate([keys, keys >> 32 << 32]))])  # in order, as words are below contexts
-                shard = _shard(keys >> 32, keys & SECOND, shards).astype(np.int32)
-                order = np.argsort(shard, kind="stable")
-                which, first = np.unique(shard[order], return_index=True)
-                blobs = [pack(np.diff(k, prepend=0).tobytes()) for k in np.split(keys[order], first[1:])]
-                none = pa.nulls(len(which), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(np.full(len(which), own, np.int32)), none, none, pa.array(blobs, pa.binary())], names=["shard", "block", "key", "milli", "asked"])
-
-    asked = encoded.select("block", "model", "n", "ids").mapInArrow(ask, schema)
-    shard = _shard(F.shiftright("key", 32), F.col("key").bitwiseAND(F.lit(SECOND)), shards).cast("int")
-    held = seen.select(shard.alias("shard"), F.lit(-1).alias("block"), "key", "milli", F.lit(None).cast("binary").alias("asked"))
+            for i in range(batch.num_rows):
+                b = Block.read(batch, i)
+                keys = np.unique(b.pairs()[0])
+                short = _short(keys, bits)
+                rows = [(PAIRS, s, b.block, _pack_keys(short[x:y]), None) for s, x, y in _cut(keys, bits, 64)]
+                yield _table(rows + [(WORDS, s, b.block, _pack_keys(b.vocabulary[x:y]), None) for s, x, y in _cut(b.vocabulary, word_bits, WORD_BITS)], _ASK)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Rows come by shard, its bigrams in key order before what is asked of it.
-        unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
-        now, parts = -1, []
-        key = value = np.zeros(0, np.int64)
+        # Rows come by kind and shard, what it holds before what is asked of it.
+        now, keys, values = None, None, None
         for batch in batches:
-            shard, block = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            edges = np.flatnonzero(np.diff(shard, prepend=shard[0] - 1) | (np.diff(block < 0, prepend=False)))
             out = []
-            for a, b in zip(edges, [*edges[1:], len(shard)], strict=True):
-                if shard[a] != now:
-                    now, parts, key, value = shard[a], [], np.zeros(0, np.int64), np.zeros(0, np.int64)
-                if block[a] < 0:
-                    parts.append((batch.column(2).slice(a, b - a).to_numpy(), batch.column(3).slice(a, b - a).to_numpy()))
-                    key, value = (np.concatenate(x) for x in zip(*parts, strict=True)) if len(parts) > 1 else parts[0]
+            for kind, shard, block, raw, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (kind, shard) != now:
+                    now, keys, values = (kind, shard), [], []
+                wide = 1 if kind == PAIRS else 5
+                if block < 0:
+                    keys.append(_unpack_keys(raw))
+                    values.append(_unpack(own, "<u8").reshape(-1, wide))
                     continue
-                for i in range(a, b):
-                    raw = batch.column(4)[i].as_py()
-                    want = np.cumsum(np.frombuffer(unpack(raw), np.int64))
-                    at = np.searchsorted(key, want)
-                    hit = at < len(key)
-                    hit[hit] = key[at[hit]] == want[hit]
-                    milli = np.full(len(want), MISSING, np.int16)
-                    milli[hit] = np.clip(value[at[hit]], -32768, 0)
-                    out.append((int(block[i]), raw, pack(milli.tobytes())))
-            columns = list(zip(*out, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "keys", "milli"])
-
-    both = asked.union(held)
-    return both.repartition("shard").sortWithinPartitions("shard", F.col("block") >= 0, "key").mapInArrow(answer, "block int, keys binary, milli binary")
-
-
-def perplexities(encoded: DataFrame, answers: DataFrame, numbers: Numbers, spread: np.ndarray) -> DataFrame:
-    """Rows (id, lang, held_out, n, nats): each document's words and negative log-probability.
-
-    ``spread`` is the log of the number of unknown words of each model.
-    """
-    unknown, start = numbers.unknown, numbers.start
-
-    def score(docs: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        unpack = zstandard.ZstdDecompressor().decompress
-        key = np.concatenate([np.cumsum(np.frombuffer(unpack(x), np.int64)) for x in got["keys"]] or [np.zeros(0, np.int64)])
-        milli = np.concatenate([np.frombuffer(unpack(x), np.int16) for x in got["milli"]] or [np.zeros(0, np.int16)])
-        order = np.argsort(key)
-        key, milli = key[order], milli[order].astype(np.float64)
-
-        def held(keys: np.ndarray) -> np.ndarray:
-            return milli[np.searchsorted(key, keys)]
-
-        nats = []
-        n, at = docs["n"].to_numpy(), 0
-        ends = np.cumsum(n)
-        while at < len(docs):
-            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 1_000_000, "right")))
-            want, size = _bigrams(docs["ids"].iloc[at:stop].tolist(), docs["model"].iloc[at:stop].tolist(), unknown, start)
-            cost = held(want) if len(want) else np.zeros(0)
-            unseen = np.flatnonzero(cost == MISSING)
-            if len(unseen):
-                weight, low = held(want[unseen] >> 32 << 32), held(want[unseen] & SECOND)
-                cost[unseen] = np.where(weight == MISSING, 0, weight) + np.where(low == MISSING, 0, low)
-            model = np.searchsorted(unknown, want & SECOND, "right") - 1
-            cost -= SCALE * spread[model] * (unknown[model] == (want & SECOND))
-            total = np.concatenate([[0.0], np.cumsum(cost)])
-            upto = np.concatenate([[0], np.cumsum(size)])
-            nats.append(-(total[upto[1:]] - total[upto[:-1]]) / SCALE)
-            at = stop
-        return pd.DataFrame({"id": docs["id"], "lang": docs["lang"], "held_out": docs["held_out"], "n": n, "nats": np.concatenate(nats) if nats else np.zeros(0)})
-
-    return encoded.select("block", "id", "lang", "model", "held_out", "n", "ids").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
-        score, "id long, lang string, held_out boolean, n long, nats double")
+                if isinstance(keys, list):  # all rows of the shard are there; languages have words of their own
+                    keys = np.concatenate(keys or [np.zeros(0, np.uint64)])
+                    values = np.concatenate(values or [np.zeros((0, wide), np.uint64)])
+                    order = np.argsort(keys, kind="stable")
+                    keys, values = keys[order], values[order]
+                want = _unpack_keys(raw)
+                found = np.zeros((len(want), wide), np.uint64)
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+                    hit = keys[at] == want
+                    found[hit] = values[at[hit]]
+                out.append((block, kind, shard, _pack(found.T.ravel())))
+            yield _table(out, _ANSWER)
+
+    asked = held.mapInArrow(ask, _ASK)
+    model = lambda kind, df, value: df.select(F.lit(kind).alias("kind"), "shard", F.lit(-1).cast("long").alias("block"), "keys", F.col(value).alias("held"))
+    every = asked.union(model(PAIRS, pairs, "counts")).union(model(WORDS, words, "stats"))
+    return every.repartition("kind", "shard").sortWithinPartitions("kind", "shard", "block").mapInArrow(answer, _ANSWER)
+
+
+def perplexities(held: DataFrame, answered: DataFrame, of: dict[str, tuple]) -> DataFrame:
+    """Rows (id, lang, held_out, n, nats): each document's words and negative log-probability."""
+    schema = "id long, lang string, held_out boolean, n long, nats double"
+    most = max((c[4] for c in of.values()), default=0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                b = Block.read(batch, i)
+                got = sorted(batch.column("got")[i].as_py() or [], key=lambda x: (x["kind"], x["shard"]))
+                told = lambda kind, wide: np.concatenate([_unpack(x["found"], "<u8").reshape(wide, -1) for x in got if x["kind"] == kind] or [np.zeros((wide, 0), np.uint64)], 1)  # noqa: B023, E731
+                keys, before = b.pairs()
+                place = np.unique(keys, return_inverse=True)[1]
+                count = told(PAIRS, 1)[0].astype(np.float64)[place]
+                total, one, two, more, types = told(WORDS, 5).astype(np.float64)
+                cost = np.empty(len(count))
+                lang = np.repeat(b.lang, b.n)
+                for k, name in enumerate(b.langs):
+                    mine = np.flatnonzero(lang == k)
+                    if name not in of:
+                        cost[mine] = np.log(most + 2.0)
+                        continue
+                    high, low, all_types, spare, _ = of[name]
+                    cut = lambda x, d: np.where(x > 0, x - np.where(x == 1, d[0], np.where(x == 2, d[1], d[2])), 0.0)
+                    a, w = before[mine], b.codes[mine]
+                    p = cut(types[w], low) / all_types + spare
+                    known = total[a] > 0
+                    weight = (high[0] * one[a] + high[1] * two[a] + high[2] * more[a]) / np.maximum(total[a], 1)
+                    cost[mine] = -np.log(np.where(known, cut(count[mine], high) / np.maximum(total[a], 1) + weight * p, p))
+                upto = np.concatenate([[0.0], np.cumsum(cost)])
+                end = np.cumsum(b.n.astype(np.int64))
+                names = np.array(b.langs, object)[b.lang]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(b.ids, pa.int64()), pa.array(names, pa.string()), pa.array(b.held > 0), pa.array(b.n.astype(np.int64)), pa.array(upto[end] - upto[end - b.n])],
+                    names=["id", "lang", "held_out", "n", "nats"])
+
+    got = answered.groupBy("block").agg(F.collect_list(F.struct("kind", "shard", "found")).alias("got"))
+    joined = held.join(got, "block").select("block", "langs", "ids", "lang", "n", "train", "held", "vocabulary", "codes", "got")
+    return joined.mapInArrow(run, schema)
 
 
 def thresholds(good: DataFrame, bad: DataFrame, loss: float = LOSS) -> DataFrame:
@@ -346,42 +419,46 @@ def _small(by_lang: DataFrame) -> DataFrame:
     return F.broadcast(by_lang) if by_lang.count() <= BROADCAST_LANGUAGES else by_lang
 
 
-def classify(docs: DataFrame, labels: DataFrame, loss: float = LOSS, prior_words: int = PRIOR_WORDS, id_col: str = "doc_id") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, loss: float = LOSS, prior_words: int = PRIOR_WORDS, id_col: str = "doc_id", block_words: int = BLOCK_WORDS, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """One row per document: ``id_col, lang, n_words, perplexity, threshold, kept``.
 
     Words are runs without ASCII white space, unchanged. The perplexity takes each
-    text to hold ``prior_words`` more words of its language's held-out average. A
+    text to hold ``prior_words`` more words of its language's held-out average. A word
+    that no trusted text of its language holds shares the rest of the probability. A
     document is kept up to its language's threshold, which loses at most about
     ``loss`` of the held-out good documents; where a language has none all its documents with words are
     kept (threshold null). A null, empty or blank text has no perplexity and is not
-    kept. A null language is ''. Rows without an id are left out; rows that repeat
-    an id are scored each. An empty table gives an empty result.
+    kept. A null language is ''. A document at the threshold is kept. Rows without an
+    id are left out; rows that repeat an id are scored each. Texts of any length are
+    read whole, one at least in a block. An empty table gives an empty result. Other
+    columns are ignored, whatever their names.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("id"), "text", F.coalesce("lang", F.lit("")).alias("lang")).filter("id is not null")
-    held_out = F.pmod(F.xxhash64("id"), F.lit(FOLDS)) == 0
-    trusted = materialize(trusted_ids(labels).withColumn("held_out", held_out), "quality-trusted")
-    side = F.broadcast(trusted) if trusted.count() <= BROADCAST_IDS else trusted
-    counted = materialize(_word_counts(base.join(side.filter("not held_out").select("id"), "id", "left_semi")).groupBy("lang", "word").agg(F.sum("n").alias("n")), "quality-words")
-    sizes = counted.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("types")).orderBy(F.desc("n"), "lang").collect()
-    langs = [r["lang"] for r in sizes]
-    spread = np.log(np.array([r["types"] for r in sizes] + [max([r["types"] for r in sizes], default=1)], float) + 1)
-    numbers = _numbers(counted, langs)
-
-    fold = F.col("held_out")
-    marked = base.join(side, "id", "left").select("id", "text", "lang", F.coalesce(~fold, F.lit(False)).alias("trusted"), F.coalesce(fold, F.lit(False)).alias("held_out"))
-    encoded = materialize(_encode(marked, numbers), "quality-encoded")
-    seen = materialize(train(encoded, numbers), "quality-model")
-    shards = int(min(4096, max(12, -(-seen.count() // SHARD_BIGRAMS))))
-    scored = materialize(perplexities(encoded, _answers(encoded, seen, numbers, shards), numbers, spread), "quality-scores")
-
-    held = scored.filter("held_out and n > 0")
-    average = materialize(held.groupBy("lang").agg((F.sum("nats") / F.sum("n")).alias("average")), "quality-averages")
-    rate = scored.join(_small(average), "lang", "left").withColumn(
-        "perplexity", F.when(F.col("n") > 0, F.exp((F.col("nats") + prior_words * F.coalesce("average", F.col("nats") / F.col("n"))) / (F.col("n") + prior_words))))
-    rate = materialize(rate, "quality-rates")
-    bad = materialize(bad_ids(labels).filter(held_out), "quality-bad")
-    bad = rate.filter("n > 0").join(F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad, "id", "left_semi").select("lang", "perplexity")
-    limits = materialize(thresholds(rate.filter("held_out and n > 0").select("lang", "perplexity"), bad, loss), "quality-limits")
-    return rate.join(_small(limits), "lang", "left").select(
-        F.col("id").alias(id_col), "lang", F.col("n").alias("n_words"), "perplexity", "threshold",
-        (F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))).alias("kept"))
+    with scratch(docs.sparkSession):
+        base = docs.select(F.col(id_col).cast("long").alias("id"), "text", F.coalesce("lang", F.lit("")).alias("lang")).filter("id is not null")
+        held_out = F.pmod(F.xxhash64("id"), F.lit(FOLDS)) == 0
+        trusted = materialize(trusted_ids(labels).withColumn("held_out", held_out), "quality-trusted")
+        side = F.broadcast(trusted) if trusted.count() <= BROADCAST_IDS else trusted
+        fold = F.col("held_out")
+        marked = base.join(side, "id", "left").select("id", "text", "lang", F.coalesce(~fold, F.lit(False)).alias("train"), F.coalesce(fold, F.lit(False)).alias("held"))
+        with _bucketed(blocks(marked, block_words)) as held:
+            # Distinct bigrams are planned as a quarter of the words, distinct words as a thirtieth.
+            size = held.agg(F.count("*")).first()[0] * block_words
+            bits, word_bits = (int(size // (every * shard_keys)).bit_length() for every in (4, 30))
+            told = materialize(summed(tally(held, bits)), "quality-pairs")
+            stats = materialize(word_stats(held, told.filter("block >= 0"), bits, word_bits), "quality-stats")
+            words = materialize(words_summed(stats), "quality-words")
+            of = constants(stats, words)
+            scored = perplexities(held, answers(held, told.filter("block < 0"), words, bits, word_bits), of)
+            scored = materialize(scored, "quality-scores")
+
+        known = scored.filter("held_out and n > 0")
+        average = materialize(known.groupBy("lang").agg((F.sum("nats") / F.sum("n")).alias("average")), "quality-averages")
+        rate = scored.join(_small(average), "lang", "left").withColumn(
+            "perplexity", F.when(F.col("n") > 0, F.exp((F.col("nats") + prior_words * F.coalesce("average", F.col("nats") / F.col("n"))) / (F.col("n") + prior_words))))
+        rate = materialize(rate, "quality-rates", keep=True)
+        bad = materialize(bad_ids(labels).filter(held_out), "quality-bad")
+        bad = rate.filter("n > 0").join(F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad, "id", "left_semi").select("lang", "perplexity")
+        limits = materialize(thresholds(rate.filter("held_out and n > 0").select("lang", "perplexity"), bad, loss), "quality-limits", keep=True)
+        return rate.join(_small(limits), "lang", "left").select(
+            F.col("id").alias(id_col), "lang", F.col("n").alias("n_words"), "perplexity", "threshold",
+            (F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))).alias("kept"))

@@ -70,12 +70,11 @@ def test_mixing_edges(spark):
 
 # Quality
 
-def plain_kneser_ney(trusted, known):
-    """Interpolated modified Kneser-Ney bigrams over the known words, unknown ones as one."""
+def plain_kneser_ney(trusted):
+    """Interpolated modified Kneser-Ney bigrams over all trusted words; any other word has what is left."""
     n, follow = Counter(), Counter()
-    code = lambda t: [w if w in known else None for w in words(t)]
     for t in trusted:
-        for a, b in zip(["<s>", *code(t)], code(t), strict=False):
+        for a, b in zip(["<s>", *words(t)], words(t), strict=False):
             n[a, b] += 1
     for _, b in n:
         follow[b] += 1
@@ -90,7 +89,7 @@ def plain_kneser_ney(trusted, known):
 
     d2, d1 = discounts(n.values()), discounts(follow.values())
     cut = lambda k, d: d[min(k, 3) - 1]
-    types, words_ = sum(follow.values()), len(known) + 1
+    types, words_ = sum(follow.values()), len(follow) + 1
     spare = sum(cut(k, d1) for k in follow.values()) / types
     low = lambda b: (follow[b] - cut(follow[b], d1)) / types + spare / words_ if follow[b] else spare / words_
     total, gamma = Counter(), Counter()
@@ -104,7 +103,7 @@ def plain_kneser_ney(trusted, known):
         own = (n[a, b] - cut(n[a, b], d2)) / total[a] if n[a, b] else 0.0
         return own + gamma[a] / total[a] * low(b)
 
-    return p, code
+    return p
 
 
 def test_quality_against_plain_model(spark):
@@ -114,21 +113,20 @@ def test_quality_against_plain_model(spark):
     rows = [(i, good(rng.randrange(5, 60)), "en") for i in range(200)] + [(500, " ".join(f"zz{i}" for i in range(50)), "en"), (501, None, "en"), (502, "  ", None), (503, "unseen tongue", "xx")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, 1, 0) for i in range(150)] + [(150, 0, 0), (151, 1, 1)], "doc_id long, quality int, toxic int")
+    small = {r.doc_id: r for r in quality.classify(docs.repartition(3), labels, block_words=200, shard_keys=10).collect()}
     got = {r.doc_id: r for r in quality.classify(docs, labels).collect()}
-    assert len(got) == len(rows)
+    assert len(got) == len(rows) and {i: (r.n_words, r.kept) for i, r in small.items()} == {i: (r.n_words, r.kept) for i, r in got.items()}
+    assert all(small[i].perplexity == pytest.approx(r.perplexity) for i, r in got.items() if r.perplexity)
     folds = {r.id: r.h for r in spark.range(150).selectExpr("id", "pmod(xxhash64(id), 5) = 0 as h").collect()}
     text = {i: t for i, t, _ in rows}
-    counts = Counter(w for i in range(150) if not folds[i] for w in words(text[i]))
-    known = {w for w, k in counts.items() if k >= quality.MIN_COUNT}
-    p, code = plain_kneser_ney([text[i] for i in range(150) if not folds[i]], known)
-    unknown = math.log(len(counts) + 1)
-    nats = lambda t: sum(-math.log(p(a, b)) + (unknown if b is None else 0) for a, b in zip(["<s>", *code(t)], code(t), strict=False))
+    p = plain_kneser_ney([text[i] for i in range(150) if not folds[i]])
+    nats = lambda t: sum(-math.log(p(a, b)) for a, b in zip(["<s>", *words(t)], words(t), strict=False))
     held = [i for i in range(150) if folds[i]]
     average = sum(nats(text[i]) for i in held) / sum(len(words(text[i])) for i in held)
     for i in [*range(0, 200, 7), 500]:
         w = len(words(text[i]))
         want = math.exp((nats(text[i]) + quality.PRIOR_WORDS * average) / (w + quality.PRIOR_WORDS))
-        assert got[i].perplexity == pytest.approx(want, rel=2e-3)
+        assert got[i].perplexity == pytest.approx(want, rel=1e-6)
     assert not got[500].kept and not got[501].kept and not got[502].kept and got[503].kept
     assert np.mean([got[i].kept for i in range(150, 200)]) > 0.95
 
