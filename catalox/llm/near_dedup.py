@@ -32,7 +32,9 @@ SIMILARITY = 80
 #: Signature coordinates, and the chance at which a pair of just the similarity may miss the collisions it must have.
 COORDINATES, MISS = 64, 5e-6
 #: Members of a block whose signatures are compared with another's, and members and shingles of a block of sets.
-BLOCK, SET_MEMBERS, SET_SHINGLES = 4096, 256, 1 << 18
+BLOCK, SET_MEMBERS, SET_SHINGLES = 2048, 256, 1 << 18
+#: Pairs that a task holds before it packs them.
+HELD_PAIRS = 500_000
 #: Long postings that are looked up before candidates are dropped again.
 SKIP = 8
 #: Members one task compares with a leader.
@@ -235,21 +237,26 @@ def colliding(lists: DataFrame, members: DataFrame, matches: int, block: int = B
                 fit = (comp[to] != comp[i]) & (np.maximum(low[to], low[i]) == band)
                 return fit & (own[to] != own[i]) if apart else fit
 
-            found = []
+            found, held = [], 0
             for i, to in merged(sig, matches, fits):
                 to = to[((sig[to] == sig[i]) @ bits) & mask[to] & mask[i] & below == 0]
-                if len(to):
-                    found.append(np.stack([np.full(len(to), i), to]))
-            if not found:
-                continue
-            a, b = np.concatenate(found, 1)
-            turn = home[a] > home[b]
-            a, b = np.where(turn, b, a), np.where(turn, a, b)
-            order = np.lexsort((home[b], home[a]))
-            a, b = a[order], b[order]
-            first = np.flatnonzero(np.concatenate([[True], (home[a][1:] != home[a][:-1]) | (home[b][1:] != home[b][:-1])]))
-            packed = [x.tobytes() for x in np.split(np.stack([rep[a], rep[b]], 1), first[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(home[a][first]), pa.array(home[b][first]), pa.array(packed, pa.binary())], names=["one", "two", "pairs"])
+                found.append(np.stack([np.full(len(to), i), to]))
+                held += len(to)
+                if held >= HELD_PAIRS:
+                    yield pack(rep, home, found)
+                    found, held = [], 0
+            if held:
+                yield pack(rep, home, found)
+
+    def pack(rep: np.ndarray, home: np.ndarray, found: list[np.ndarray]) -> pa.RecordBatch:
+        a, b = np.concatenate(found, 1)
+        turn = home[a] > home[b]
+        a, b = np.where(turn, b, a), np.where(turn, a, b)
+        order = np.lexsort((home[b], home[a]))
+        a, b = a[order], b[order]
+        first = np.flatnonzero(np.concatenate([[True], (home[a][1:] != home[a][:-1]) | (home[b][1:] != home[b][:-1])]))
+        packed = [x.tobytes() for x in np.split(np.stack([rep[a], rep[b]], 1), first[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(home[a][first]), pa.array(home[b][first]), pa.array(packed, pa.binary())], names=["one", "two", "pairs"])
 
     return dealt.repartition("key", "band", "p", "q").sortWithinPartitions("key", "band", "p", "q").mapInArrow(compare, "one long, two long, pairs binary")
 
