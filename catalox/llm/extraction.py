@@ -30,7 +30,7 @@ from catalox.llm.layouts import training_page
 #: Generated pages that the trees learn from, rounds and depth of the trees.
 TRAINING_PAGES, TREES, DEPTH, SEED = 1500, 60, 6, 3
 #: Log-odds that it costs to drop a child of a kept node.
-SWITCH = 2.0
+SWITCH = 1.0
 FITTED = Path(__file__).with_name("trees.json")
 #: HTML handled at a time.
 CHUNK = 2 << 20
