@@ -3,12 +3,12 @@
 The model is counted on the trusted documents, one model per language, over all
 their words. One trusted document in ``FOLDS`` is held out of the counts and sets the
 thresholds. Texts are read once, into blocks of documents whose words are numbers
-of the block's own vocabulary. Bigrams and words are known by hashes and live in shards, with
-no vocabulary anywhere: a block sends each shard the bigrams of its trusted documents,
-the shard sums them and tells one of the blocks that hold a bigram its count, and those blocks
-sum what the words need of it. To score, a block asks the shards for all its
-bigrams and words, and the answers come back as one row per block; the probability of
-a word is put together there. Blocks are stored in buckets by their number, so they
+of the block's own vocabulary. Bigrams and words are known by hashes, with no
+vocabulary anywhere. In one exchange a block sends each shard its bigrams with their
+counts in its trusted documents; the shard sums them and tells all the counts back, and
+names one block for each bigram. In a second exchange blocks send their words with what
+the bigrams named to them add to a word, and the sums come back. The probability of a
+word is put together in the block. Blocks and answers are stored in buckets by block, so they
 are not moved again. A language's threshold is the quantile of its held-out good
 documents' perplexity that loses a stated share of them, raised as far as that
 keeps no further held-out bad document.
@@ -41,13 +41,11 @@ PRIOR_WORDS = 20
 BROADCAST_IDS = 4_000_000
 #: Languages whose averages and thresholds may be broadcast.
 BROADCAST_LANGUAGES = 10_000
-#: Words of a block, one document at least; bigrams and words planned for a shard.
+#: Words of a block, one document at least; bigrams or words of all blocks planned for a shard.
 BLOCK_WORDS, SHARD_KEYS = 2_000_000, 1_000_000
-#: Bits of a word's number, and of a bigram's beside its shard's: a lookup meets another's entry with a chance of ``SHARD_KEYS`` / 2^40.
-WORD_BITS, PAIR_BITS = 48, 40
+#: Bits of a word's number, and of a bigram's beside its shard's: a bigram shares another's count with a chance below ``SHARD_KEYS`` / 2^32, one in 4000.
+WORD_BITS, PAIR_BITS = 44, 32
 MULT = multipliers(3, 41)
-#: What is asked of a shard.
-PAIRS, WORDS = 0, 1
 
 
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -112,7 +110,7 @@ def _start(lang: str) -> np.uint64:
 class Block:
     """Documents with their words as places in the block's vocabulary."""
 
-    SCHEMA = "block long, langs array<string>, ids binary, lang binary, n binary, train binary, held binary, vocabulary binary, codes binary"
+    SCHEMA = "block long, langs array<string>, ids binary, lang binary, n binary, train binary, held binary, vocabulary binary, often binary, codes binary"
 
     def __init__(self, block: int, langs: list[str], ids: np.ndarray, lang: np.ndarray, n: np.ndarray, train: np.ndarray, held: np.ndarray, vocabulary: np.ndarray, codes: np.ndarray):
         self.block, self.langs, self.ids, self.lang, self.n, self.train, self.held, self.vocabulary, self.codes = block, langs, ids, lang, n, train, held, vocabulary, codes
@@ -128,17 +126,41 @@ class Block:
         return cls(block, langs, ids, np.array([place[x] for x in names], np.uint32), n.astype(np.uint32), train, held, vocabulary, codes[: len(words)].astype(np.uint32))
 
     def row(self) -> tuple:
-        return (self.block, self.langs, _pack(self.ids.astype("<i8")), _pack(self.lang), _pack(self.n), _pack(self.train.astype("u1")), _pack(self.held.astype("u1")), _pack_keys(self.vocabulary), _pack(self.codes))
+        """Codes are stored by frequency: words that come several times first, the others in order of number."""
+        count = np.bincount(self.codes, minlength=len(self.vocabulary))
+        often = np.flatnonzero(count > 1)
+        often = often[np.argsort(-count[often], kind="stable")].astype(np.uint32)
+        rank = np.empty(len(count), np.uint32)
+        rank[self._order(often, len(count))] = np.arange(len(count), dtype=np.uint32)
+        return (self.block, self.langs, _pack(self.ids.astype("<i8")), _pack(self.lang), _pack(self.n), _pack(self.train.astype("u1")), _pack(self.held.astype("u1")), _pack_keys(self.vocabulary), _pack(often), _pack(rank[self.codes]))
+
+    @staticmethod
+    def _order(often: np.ndarray, size: int) -> np.ndarray:
+        rest = np.ones(size, bool)
+        rest[often] = False
+        return np.concatenate([often, np.flatnonzero(rest).astype(np.uint32)])
 
     @classmethod
     def read(cls, batch: pa.RecordBatch, i: int) -> Block:
-        raw = [batch.column(name)[i].as_py() for name in ("block", "langs", "ids", "lang", "n", "train", "held", "vocabulary", "codes")]
-        kinds = ("<i8", "<u4", "<u4", "u1", "u1")
-        return cls(*raw[:2], *[_unpack(x, k) for x, k in zip(raw[2:7], kinds, strict=True)], _unpack_keys(raw[7]), _unpack(raw[8], "<u4"))
+        raw = {name: batch.column(name)[i].as_py() for name in ("block", "langs", "ids", "lang", "n", "train", "held", "vocabulary", "often", "codes")}
+        vocabulary = _unpack_keys(raw["vocabulary"])
+        codes = cls._order(_unpack(raw["often"], "<u4"), len(vocabulary))[_unpack(raw["codes"], "<u4")]
+        return cls(raw["block"], raw["langs"], _unpack(raw["ids"], "<i8"), *[_unpack(raw[x], k) for x, k in (("lang", "<u4"), ("n", "<u4"), ("train", "u1"), ("held", "u1"))], vocabulary, codes)
+
+    def starts(self) -> np.ndarray:
+        """The place of each language's start in the vocabulary."""
+        return np.searchsorted(self.vocabulary, np.array([_start(x) for x in self.langs], np.uint64)).astype(np.uint32)
+
+    def lang_of_words(self) -> np.ndarray:
+        """The language of each word of the vocabulary; words of two languages have two numbers."""
+        of = np.zeros(len(self.vocabulary), np.uint32)
+        of[self.starts()] = np.arange(len(self.langs), dtype=np.uint32)
+        of[self.codes] = np.repeat(self.lang, self.n)
+        return of
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """The key of each word with the one before it, and the place of that one in the vocabulary."""
-        starts = np.searchsorted(self.vocabulary, np.array([_start(x) for x in self.langs], np.uint64)).astype(np.uint32)
+        starts = self.starts()
         before = np.concatenate([[0], self.codes[:-1]]).astype(np.uint32) if len(self.codes) else self.codes
         first = np.cumsum(self.n.astype(np.int64)) - self.n
         before[first[self.n > 0]] = starts[self.lang[self.n > 0]]
@@ -164,7 +186,7 @@ def blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
         if parts:
             yield _rows([Block.of(number, parts).row()])
 
-    kinds = (pa.int64(), pa.list_(pa.string()), *[pa.binary()] * 7)
+    kinds = (pa.int64(), pa.list_(pa.string()), *[pa.binary()] * 8)
     names = [x.split()[0] for x in Block.SCHEMA.split(", ")]
 
     def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -209,86 +231,94 @@ def _by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tu
         yield now, held
 
 
-_TALLY = "shard int, block long, keys binary, counts binary"
+_SENT = "shard int, lang string, block long, keys binary, own binary, c1 long, c2 long, c3 long, c4 long"
+_TOLD = "shard int, lang string, block long, found binary, c1 long, c2 long, c3 long, c4 long, types long, words long"
+_NONE = (None,) * 4
+#: Counts of a word: as a context; its bigrams of count 1, 2 and more as a context; the words it follows.
+STATS = 5
 
 
-def tally(held: DataFrame, bits: int) -> DataFrame:
-    """Rows (shard, block, keys, counts): the bigrams of each block's training documents."""
+def exchanged(sent: DataFrame, wide: int, name: bool) -> DataFrame:
+    """What shards tell: for each row sent the sums over all rows of its shard and language, key by key.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                b = Block.read(batch, i)
-                keys, n = np.unique(b.pairs()[0][np.repeat(b.train > 0, b.n)], return_counts=True)
-                short, n = _short(keys, bits), n.astype(np.uint64)
-                yield _table([(s, b.block, _pack_keys(short[x:y]), _pack(n[x:y])) for s, x, y in _cut(keys, bits, 64)], _TALLY)
-
-    return held.mapInArrow(run, _TALLY)
-
-
-def summed(tallied: DataFrame) -> DataFrame:
-    """The shards' bigrams with their counts (block -1), and for each block that sent some the counts of those it is to speak for, 0 for the others."""
+    ``own`` holds ``wide`` numbers for each key. With ``name`` a number is doubled and
+    one more in the row that speaks for the key. Rows (shard, lang, block -1) count the
+    keys by their last number: how many have 1, 2, 3 or 4, the sum and how many have any.
+    Rows of shard -1 only sum c1 to c4.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (shard,), rows in _by_group(batches, ["shard"]):
+        for (shard, lang), rows in _by_group(batches, ["shard", "lang"]):
+            if shard < 0:
+                yield _table([(-1, lang, -1, None, *[sum(r[c] for r in rows) for c in ("c1", "c2", "c3", "c4")], None, None)], _TOLD)
+                continue
             keys = [_unpack_keys(r["keys"]) for r in rows]
-            held, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-            total = np.bincount(place, np.concatenate([_unpack(r["counts"], "<u8") for r in rows])).astype(np.uint64)
-            told = np.zeros(len(place), np.uint64)
-            told[first] = total
+            _, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+            parts = np.concatenate([_unpack(r["own"], "<u8").reshape(-1, wide) for r in rows])
+            total = np.stack([np.bincount(place, parts[:, j], len(first)) for j in range(wide)], 1).astype(np.uint64)
+            told = total[place]
+            if name:
+                told *= np.uint64(2)
+                told[first[total[:, -1] > 0]] += np.uint64(1)
             at = np.cumsum([0, *map(len, keys)])
-            out = [(shard, r["block"], None, _pack(told[a:b])) for r, a, b in zip(rows, at[:-1], at[1:], strict=True)]
-            yield _table([(shard, -1, _pack_keys(held), _pack(total)), *out], _TALLY)
+            last = total[:, -1]
+            out = [(shard, lang, r["block"], _pack(told[a:b].T.ravel()), *_NONE, None, None) for r, a, b in zip(rows, at[:-1], at[1:], strict=True)]
+            yield _table([*out, (shard, lang, -1, None, *[int((last == j).sum()) for j in (1, 2, 3, 4)], int(last.sum()), int((last > 0).sum()))], _TOLD)
 
-    return tallied.repartition("shard").sortWithinPartitions("shard", "block").mapInArrow(run, _TALLY)
+    return sent.repartition("shard", "lang").sortWithinPartitions("shard", "lang", "block").mapInArrow(run, _TOLD)
 
 
-_STATS = "shard int, lang string, keys binary, stats binary, c1 long, c2 long, c3 long, c4 long"
+def _per_block(told: DataFrame, name: str) -> DataFrame:
+    return told.filter("block >= 0").groupBy("block").agg(F.collect_list(F.struct("shard", "lang", "found")).alias(name))
 
 
-def word_stats(held: DataFrame, told: DataFrame, bits: int, word_bits: int) -> DataFrame:
-    """Rows (shard, lang, keys, stats) of words: their count as a context, their bigrams of count 1, 2 and more as a context, and the words they follow; and (lang, c1..c4), the counts of counts of bigrams."""
+def _found(batch: pa.RecordBatch, name: str, i: int, wide: int, lang: str = "") -> np.ndarray:
+    """The numbers told to a block for its keys of a language, in order of key."""
+    rows = sorted((x for x in batch.column(name)[i].as_py() or [] if x["lang"] == lang), key=lambda x: x["shard"])
+    return np.concatenate([_unpack(x["found"], "<u8").reshape(wide, -1) for x in rows] or [np.zeros((wide, 0), np.uint64)], 1)
+
+
+def send_pairs(held: DataFrame, bits: int) -> DataFrame:
+    """The bigrams of each block, with their counts in its training documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 b = Block.read(batch, i)
-                keys, before = b.pairs()
-                use = np.flatnonzero(np.repeat(b.train > 0, b.n))
-                _, first = np.unique(keys[use], return_index=True)
-                count = np.concatenate([_unpack(x["counts"], "<u8") for x in sorted(batch.column("told")[i].as_py() or [], key=lambda x: x["shard"])] or [np.zeros(0, np.uint64)])
-                own = count > 0
-                at, count = use[first[own]], count[own].astype(np.int64)
-                lang = b.lang[np.searchsorted(np.cumsum(b.n.astype(np.int64)), at, "right")]
-                rows = []
-                for k in np.unique(lang):
-                    mine = lang == k
-                    c, a, w = count[mine], before[at[mine]], b.codes[at[mine]]
-                    sums = [np.bincount(a, x, len(b.vocabulary)) for x in (c, c == 1, c == 2, c > 2)] + [np.bincount(w, minlength=len(b.vocabulary))]
-                    stats = np.stack(sums, 1).astype(np.uint64)
-                    some = np.flatnonzero(stats.any(1))
-                    words, stats = b.vocabulary[some], stats[some]
-                    rows += [(s, b.langs[k], _pack_keys(words[x:y]), _pack(stats[x:y].ravel()), None, None, None, None) for s, x, y in _cut(words, word_bits, WORD_BITS)]
-                    rows.append((-1, b.langs[k], None, None, *[int((c == j).sum()) for j in (1, 2, 3, 4)]))
-                yield _table(rows, _STATS)
-
-    joined = held.join(told.groupBy("block").agg(F.collect_list(F.struct("shard", "counts")).alias("told")), "block")
-    return joined.select("block", "langs", "ids", "lang", "n", "train", "held", "vocabulary", "codes", "told").mapInArrow(run, _STATS)
-
-
-def words_summed(stats: DataFrame) -> DataFrame:
-    """One row (shard, lang, keys, stats) for each shard and language; c1..c4 are the counts of counts of followed words, and the sums over words in ``types`` and ``words``."""
-    schema = _STATS + ", types long, words long"
+                keys, place = np.unique(b.pairs()[0], return_inverse=True)
+                own = np.bincount(place, np.repeat(b.train, b.n), len(keys)).astype(np.uint64)
+                short = _short(keys, bits)
+                yield _table([(s, "", b.block, _pack_keys(short[x:y]), _pack(own[x:y]), *_NONE) for s, x, y in _cut(keys, bits, 64)], _SENT)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (shard, lang), rows in _by_group(batches, ["shard", "lang"]):
-            keys, place = np.unique(np.concatenate([_unpack_keys(r["keys"]) for r in rows]), return_inverse=True)
-            parts = np.concatenate([_unpack(r["stats"], "<u8").reshape(-1, 5) for r in rows])
-            total = np.stack([np.bincount(place, parts[:, j], len(keys)) for j in range(5)], 1).astype(np.uint64)
-            types = total[:, 4]
-            yield _table([(shard, lang, _pack_keys(keys), _pack(total.ravel()), *[int((types == j).sum()) for j in (1, 2, 3, 4)], int(types.sum()), int((types > 0).sum()))], schema)
+    return held.mapInArrow(run, _SENT)
+
+
+def send_words(joined: DataFrame, bits: int) -> DataFrame:
+    """The words of each block, with what the bigrams named to it add to their ``STATS``; and (shard -1) its bigrams by count.
 
-    return stats.filter("shard >= 0").select("shard", "lang", "keys", "stats").repartition("shard", "lang").sortWithinPartitions("shard", "lang").mapInArrow(run, schema)
+    ``joined`` has the blocks and what they were told of their bigrams in ``pairs``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                b = Block.read(batch, i)
+                keys, before = b.pairs()
+                first = np.unique(keys, return_index=True)[1]
+                told = _found(batch, "pairs", i, 1)[0]
+                own = (told & np.uint64(1)) > 0
+                at, count = first[own], (told[own] >> np.uint64(1)).astype(np.int64)
+                a, w, size = before[at], b.codes[at], len(b.vocabulary)
+                stats = np.stack([*[np.bincount(a, x, size) for x in (count, count == 1, count == 2, count > 2)], np.bincount(w, minlength=size)], 1).astype(np.uint64)
+                of, rows = b.lang_of_words(), []
+                for k, lang in enumerate(b.langs):
+                    mine = of == k
+                    words, own_stats, c = b.vocabulary[mine], stats[mine], count[of[w] == k]
+                    rows += [(s, lang, b.block, _pack_keys(words[x:y]), _pack(own_stats[x:y].ravel()), *_NONE) for s, x, y in _cut(words, bits, WORD_BITS)]
+                    rows.append((-1, lang, b.block, None, None, *[int((c == j).sum()) for j in (1, 2, 3, 4)]))
+                yield _table(rows, _SENT)
+
+    return joined.mapInArrow(run, _SENT)
 
 
 def discounts(c1: int, c2: int, c3: int, c4: int) -> list[float]:
@@ -301,99 +331,55 @@ def discounts(c1: int, c2: int, c3: int, c4: int) -> list[float]:
     return [min(max(x, 0.05), i - 0.05) for i, x in enumerate(d, 1)]
 
 
-def constants(stats: DataFrame, words: DataFrame) -> dict[str, tuple]:
+def constants(told: DataFrame) -> dict[str, tuple]:
     """By language: discounts of bigrams, discounts of followed words, their number, the probability of a word that follows none, and the words.
 
     One row for each language with trusted text, of which the languages of the world bound the number.
     """
     counts = [f"c{i}" for i in (1, 2, 3, 4)]
-    pairs = {r["lang"]: r for r in stats.filter("shard < 0").groupBy("lang").agg(*[F.sum(c).alias(c) for c in counts]).collect()}
+    sums = told.filter("block < 0").groupBy("lang", (F.col("shard") < 0).alias("of_pairs")).agg(*[F.sum(c).alias(c) for c in (*counts, "types", "words")]).collect()
+    pairs = {r["lang"]: discounts(*[r[c] for c in counts]) for r in sums if r["of_pairs"]}
     found = {}
-    for r in words.groupBy("lang").agg(*[F.sum(c).alias(c) for c in (*counts, "types", "words")]).collect():
+    for r in sums:
+        if r["of_pairs"] or not r["words"]:
+            continue
         low = discounts(*[r[c] for c in counts])
         cut = low[0] * r["c1"] + low[1] * r["c2"] + low[2] * (r["words"] - r["c1"] - r["c2"])
-        found[r["lang"]] = (np.array(discounts(*[pairs[r["lang"]][c] for c in counts])), np.array(low), r["types"], cut / r["types"] / (r["words"] + 1), r["words"])
+        found[r["lang"]] = (np.array(pairs[r["lang"]]), np.array(low), r["types"], cut / r["types"] / (r["words"] + 1), r["words"])
     return found
 
 
-_ASK = "kind int, shard int, block long, keys binary, held binary"
-_ANSWER = "block long, kind int, shard int, found binary"
-
-
-def answers(held: DataFrame, pairs: DataFrame, words: DataFrame, bits: int, word_bits: int) -> DataFrame:
-    """Rows (block, kind, shard, found): for all bigrams and words of each block, in order of key, what the shards hold of them."""
+def perplexities(joined: DataFrame, of: dict[str, tuple]) -> DataFrame:
+    """Rows (id, lang, held_out, n, nats): each document's words and negative log-probability.
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                b = Block.read(batch, i)
-                keys = np.unique(b.pairs()[0])
-                short = _short(keys, bits)
-                rows = [(PAIRS, s, b.block, _pack_keys(short[x:y]), None) for s, x, y in _cut(keys, bits, 64)]
-                yield _table(rows + [(WORDS, s, b.block, _pack_keys(b.vocabulary[x:y]), None) for s, x, y in _cut(b.vocabulary, word_bits, WORD_BITS)], _ASK)
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Rows come by kind and shard, what it holds before what is asked of it.
-        now, keys, values = None, None, None
-        for batch in batches:
-            out = []
-            for kind, shard, block, raw, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (kind, shard) != now:
-                    now, keys, values = (kind, shard), [], []
-                wide = 1 if kind == PAIRS else 5
-                if block < 0:
-                    keys.append(_unpack_keys(raw))
-                    values.append(_unpack(own, "<u8").reshape(-1, wide))
-                    continue
-                if isinstance(keys, list):  # all rows of the shard are there; languages have words of their own
-                    keys = np.concatenate(keys or [np.zeros(0, np.uint64)])
-                    values = np.concatenate(values or [np.zeros((0, wide), np.uint64)])
-                    order = np.argsort(keys, kind="stable")
-                    keys, values = keys[order], values[order]
-                want = _unpack_keys(raw)
-                found = np.zeros((len(want), wide), np.uint64)
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-                    hit = keys[at] == want
-                    found[hit] = values[at[hit]]
-                out.append((block, kind, shard, _pack(found.T.ravel())))
-            yield _table(out, _ANSWER)
-
-    asked = held.mapInArrow(ask, _ASK)
-    model = lambda kind, df, value: df.select(F.lit(kind).alias("kind"), "shard", F.lit(-1).cast("long").alias("block"), "keys", F.col(value).alias("held"))
-    every = asked.union(model(PAIRS, pairs, "counts")).union(model(WORDS, words, "stats"))
-    return every.repartition("kind", "shard").sortWithinPartitions("kind", "shard", "block").mapInArrow(answer, _ANSWER)
-
-
-def perplexities(held: DataFrame, answered: DataFrame, of: dict[str, tuple]) -> DataFrame:
-    """Rows (id, lang, held_out, n, nats): each document's words and negative log-probability."""
+    ``joined`` has the blocks and what they were told, in ``pairs`` and ``words``.
+    """
     schema = "id long, lang string, held_out boolean, n long, nats double"
     most = max((c[4] for c in of.values()), default=0)
 
+    def cut(x: np.ndarray, d: np.ndarray) -> np.ndarray:
+        return np.where(x > 0, x - np.where(x == 1, d[0], np.where(x == 2, d[1], d[2])), 0.0)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 b = Block.read(batch, i)
-                got = sorted(batch.column("got")[i].as_py() or [], key=lambda x: (x["kind"], x["shard"]))
-                told = lambda kind, wide: np.concatenate([_unpack(x["found"], "<u8").reshape(wide, -1) for x in got if x["kind"] == kind] or [np.zeros((wide, 0), np.uint64)], 1)  # noqa: B023, E731
                 keys, before = b.pairs()
-                place = np.unique(keys, return_inverse=True)[1]
-                count = told(PAIRS, 1)[0].astype(np.float64)[place]
-                total, one, two, more, types = told(WORDS, 5).astype(np.float64)
-                cost = np.empty(len(count))
-                lang = np.repeat(b.lang, b.n)
+                count = (_found(batch, "pairs", i, 1)[0] >> np.uint64(1)).astype(np.float64)[np.unique(keys, return_inverse=True)[1]]
+                cost, lang, of_word = np.empty(len(count)), np.repeat(b.lang, b.n), b.lang_of_words()
                 for k, name in enumerate(b.langs):
                     mine = np.flatnonzero(lang == k)
                     if name not in of:
                         cost[mine] = np.log(most + 2.0)
                         continue
                     high, low, all_types, spare, _ = of[name]
-                    cut = lambda x, d: np.where(x > 0, x - np.where(x == 1, d[0], np.where(x == 2, d[1], d[2])), 0.0)
-                    a, w = before[mine], b.codes[mine]
-                    p = cut(types[w], low) / all_types + spare
-                    known = total[a] > 0
-                    weight = (high[0] * one[a] + high[1] * two[a] + high[2] * more[a]) / np.maximum(total[a], 1)
-                    cost[mine] = -np.log(np.where(known, cut(count[mine], high) / np.maximum(total[a], 1) + weight * p, p))
+                    own = of_word == k
+                    at = np.cumsum(own) - 1
+                    total, one, two, more, types = _found(batch, "words", i, STATS, name).astype(np.float64)
+                    low_p = cut(types, low) / all_types + spare
+                    weight = (high[0] * one + high[1] * two + high[2] * more) / np.maximum(total, 1)
+                    a, p = at[before[mine]], low_p[at[b.codes[mine]]]
+                    cost[mine] = -np.log(np.where(total[a] > 0, cut(count[mine], high) / np.maximum(total[a], 1) + weight[a] * p, p))
                 upto = np.concatenate([[0.0], np.cumsum(cost)])
                 end = np.cumsum(b.n.astype(np.int64))
                 names = np.array(b.langs, object)[b.lang]
@@ -401,8 +387,6 @@ def perplexities(held: DataFrame, answered: DataFrame, of: dict[str, tuple]) ->
                     [pa.array(b.ids, pa.int64()), pa.array(names, pa.string()), pa.array(b.held > 0), pa.array(b.n.astype(np.int64)), pa.array(upto[end] - upto[end - b.n])],
                     names=["id", "lang", "held_out", "n", "nats"])
 
-    got = answered.groupBy("block").agg(F.collect_list(F.struct("kind", "shard", "found")).alias("got"))
-    joined = held.join(got, "block").select("block", "langs", "ids", "lang", "n", "train", "held", "vocabulary", "codes", "got")
     return joined.mapInArrow(run, schema)
 
 
@@ -441,15 +425,13 @@ def classify(docs: DataFrame, labels: DataFrame, loss: float = LOSS, prior_words
         fold = F.col("held_out")
         marked = base.join(side, "id", "left").select("id", "text", "lang", F.coalesce(~fold, F.lit(False)).alias("train"), F.coalesce(fold, F.lit(False)).alias("held"))
         with _bucketed(blocks(marked, block_words)) as held:
-            # Distinct bigrams are planned as a quarter of the words, distinct words as a thirtieth.
+            # Distinct bigrams of a block are planned as half of its words, distinct words as a tenth.
             size = held.agg(F.count("*")).first()[0] * block_words
-            bits, word_bits = (int(size // (every * shard_keys)).bit_length() for every in (4, 30))
-            told = materialize(summed(tally(held, bits)), "quality-pairs")
-            stats = materialize(word_stats(held, told.filter("block >= 0"), bits, word_bits), "quality-stats")
-            words = materialize(words_summed(stats), "quality-words")
-            of = constants(stats, words)
-            scored = perplexities(held, answers(held, told.filter("block < 0"), words, bits, word_bits), of)
-            scored = materialize(scored, "quality-scores")
+            bits, word_bits = (int(size // (every * shard_keys)).bit_length() for every in (2, 10))
+            with _bucketed(_per_block(exchanged(send_pairs(held, bits), 1, True), "pairs")) as pairs:
+                joined = held.join(pairs, "block", "left")  # a block of empty texts has nothing to ask
+                words = materialize(exchanged(send_words(joined, word_bits), STATS, False), "quality-words")
+                scored = materialize(perplexities(joined.join(_per_block(words, "words"), "block", "left"), constants(words)), "quality-scores")
 
         known = scored.filter("held_out and n > 0")
         average = materialize(known.groupBy("lang").agg((F.sum("nats") / F.sum("n")).alias("average")), "quality-averages")
