@@ -193,13 +193,18 @@ def merged(sig: np.ndarray, matches: int, fits) -> Iterator[tuple[int, np.ndarra
     rare = np.argsort(high - low, 1, kind="stable")
     for i in range(rows - 1):
         short, long = rare[i, : width - matches + 1], rare[i, width - matches + 1 :]
-        lists = [order[low[i, c] : high[i, c], c] for c in short if high[i, c] - low[i, c] > 1]
-        if not lists:
-            continue
-        lists = [x[np.searchsorted(x, i, "right") :] for x in lists]
-        found, count = np.unique(np.concatenate(lists), return_counts=True)
-        keep = fits(i, found)
-        found, count = found[keep], count[keep]
+        size = high[i, short] - low[i, short]
+        if size.sum() > rows - i:  # postings as long as the rows: count along them all
+            found = np.arange(i + 1, rows)
+            found = found[fits(i, found)]
+            count, long = np.zeros(len(found), np.int64), rare[i]
+        else:
+            lists = [order[low[i, c] : high[i, c], c] for c in short[size > 1]]
+            if not lists:
+                continue
+            found, count = np.unique(np.concatenate([x[np.searchsorted(x, i, "right") :] for x in lists]), return_counts=True)
+            keep = fits(i, found)
+            found, count = found[keep], count[keep]
         for a in range(0, len(long), SKIP):
             if not len(found):
                 break
