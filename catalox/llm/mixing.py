@@ -20,7 +20,8 @@ from catalox.llm.common import materialize
 LEVELS = ("domain", "lang", "source")
 #: Whole tokens that the mixture takes, as a share of all tokens of one epoch.
 BUDGET_SHARE = 0.8
-MAX_EPOCHS = 1
+#: Times that a leaf may be drawn whole; a leaf smaller than its share repeats, in another order each time.
+MAX_EPOCHS = 4
 SEED = 17
 #: Hexadecimal digits of the order key that make a segment; running sums are taken over segments first.
 SEGMENT_DIGITS = 3
@@ -95,17 +96,18 @@ def mix(docs: DataFrame, budget_share: float = BUDGET_SHARE, max_epochs: int = M
     ``taken`` how many of its tokens fall within the prefix: all of them but for the
     last document of a leaf. Null languages or sources are leaves named ''. Documents
     without tokens are never taken; rows without an id are left out. Rows that repeat
-    an id are each drawn. Ties in the seeded order go by id. An empty table gives an
-    empty result.
+    an id are each drawn. Ties in the seeded order go by id. Texts of any length
+    count whole. An empty table gives an empty result. Other columns are ignored,
+    whatever their names.
     """
     found = docs.select(
         F.col(id_col).cast("long").alias("id"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"),
         n_words(F.col("text")).alias("tokens")).filter("id is not null and tokens > 0").withColumn("domain", domain_of(F.col("source")))
-    found = materialize(found, "mix-tokens")
+    found = materialize(found, "mix-tokens", keep=True)
     leaves = found.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
     total = leaves.agg(F.sum("tokens")).first()[0] or 0
     parts = budgets(leaves, int(total * budget_share), max_epochs, domain_weights, lang_weights, source_weights)
-    parts = materialize(parts.select(*LEVELS, "part", F.col("tokens").alias("leaf_tokens")).filter("part > 0"), "mix-parts")
+    parts = materialize(parts.select(*LEVELS, "part", F.col("tokens").alias("leaf_tokens")).filter("part > 0"), "mix-parts", keep=True)
 
     epochs = F.explode(F.sequence(F.lit(0), F.floor((F.col("part") - 1) / F.col("leaf_tokens")).cast("int")))
     drawn = found.join(parts, list(LEVELS)).withColumn("epoch", epochs)

@@ -98,14 +98,14 @@ ORACLE_SQL: dict[str, str] = {
                    len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS tokens
             FROM documents),
         d AS (SELECT *, CASE WHEN regexp_matches(source, '^src[0-9]$') THEN 'core' ELSE 'tail' END AS domain FROM f WHERE tokens > 0),
-        l3 AS (SELECT domain, lang, source, sum(tokens)::DOUBLE AS cap, CASE source WHEN 'src0' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w
+        l3 AS (SELECT domain, lang, source, sum(tokens)::DOUBLE AS n, sum(tokens)::DOUBLE * 4 AS cap, CASE source WHEN 'src0' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w
                FROM d GROUP BY ALL),
         l2 AS (SELECT domain, lang, sum(cap) AS cap,
                       CASE lang WHEN 'en' THEN 5.0::DOUBLE WHEN 'de' THEN 2.0::DOUBLE WHEN 'fr' THEN 2.0::DOUBLE WHEN 'es' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w
                FROM l3 GROUP BY ALL),
         l1 AS (SELECT domain, sum(cap) AS cap, CASE domain WHEN 'core' THEN 3.0::DOUBLE WHEN 'tail' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w
                FROM l2 GROUP BY ALL),
-        b AS (SELECT floor(sum(cap) * 0.8) AS share FROM l1),
+        b AS (SELECT floor(sum(n)::DOUBLE * 0.8) AS share FROM l3),
         a1 AS (SELECT domain, cap, w, share,
                       (share - coalesce(sum(cap) OVER (ORDER BY cap / w, domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
                       / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY cap / w, domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS lv
@@ -116,21 +116,23 @@ ORACLE_SQL: dict[str, str] = {
                       / (sum(w) OVER (PARTITION BY domain) - coalesce(sum(w) OVER (PARTITION BY domain ORDER BY cap / w, lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS lv
                FROM l2 JOIN p1 USING (domain)),
         p2 AS (SELECT domain, lang, coalesce(least(cap, w * max(lv) FILTER (lv * w <= cap) OVER (PARTITION BY domain)), cap) AS share FROM a2),
-        a3 AS (SELECT domain, lang, source, cap, w,
+        a3 AS (SELECT domain, lang, source, n, cap, w,
                       (share - coalesce(sum(cap) OVER (PARTITION BY domain, lang ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
                       / (sum(w) OVER (PARTITION BY domain, lang) - coalesce(sum(w) OVER (PARTITION BY domain, lang ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS lv
                FROM l3 JOIN p2 USING (domain, lang)),
-        p3 AS (SELECT domain, lang, source, cap AS leaf_tokens,
+        p3 AS (SELECT domain, lang, source, n::BIGINT AS leaf_tokens,
                       floor(coalesce(least(cap, w * max(lv) FILTER (lv * w <= cap) OVER (PARTITION BY domain, lang)), cap) + 1e-6)::BIGINT AS part
                FROM a3),
-        o AS (SELECT d.doc_id, d.domain, d.lang, d.source, d.tokens, part, leaf_tokens,
-                     coalesce(sum(tokens) OVER (PARTITION BY d.domain, d.lang, d.source ORDER BY md5(concat('17|0|', d.doc_id)), d.doc_id
+        e AS (SELECT d.doc_id, d.domain, d.lang, d.source, d.tokens, part, leaf_tokens, unnest(range(0, (part - 1) // leaf_tokens + 1)) AS epoch
+              FROM d JOIN p3 ON d.domain = p3.domain AND d.lang = p3.lang AND d.source = p3.source WHERE part > 0),
+        o AS (SELECT *, part - epoch * leaf_tokens AS left_,
+                     coalesce(sum(tokens) OVER (PARTITION BY domain, lang, source, epoch ORDER BY md5(concat('17|', epoch, '|', doc_id)), doc_id
                                                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_token
-              FROM d JOIN p3 ON d.domain = p3.domain AND d.lang = p3.lang AND d.source = p3.source)
-        SELECT doc_id, domain, lang, source, 0 AS epoch, tokens,
-               CASE WHEN part < leaf_tokens THEN first_token END AS first_token,
-               CASE WHEN part < leaf_tokens THEN least(tokens, part - first_token) ELSE tokens END AS taken
-        FROM o WHERE part >= leaf_tokens OR first_token < part""",
+              FROM e)
+        SELECT doc_id, domain, lang, source, epoch::INT AS epoch, tokens,
+               CASE WHEN left_ < leaf_tokens THEN first_token END AS first_token,
+               CASE WHEN left_ < leaf_tokens THEN least(tokens, left_ - first_token) ELSE tokens END AS taken
+        FROM o WHERE left_ >= leaf_tokens OR first_token < left_""",
     "op3_line_dedup": r"""
         WITH lines AS (
             SELECT doc_id, i, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),

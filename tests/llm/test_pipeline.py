@@ -22,7 +22,7 @@ def test_stages_against_brute_force(spark):
         done = stage(spark, held, SF).cache()
         if name != "packing":
             after = read(done)
-            assert done.columns == pipeline.COLUMNS and done.count() == len(after)
+            assert done.columns == pipeline.COLUMNS and (name == "mixing" or done.count() == len(after))
         if name == "quality":
             kept = {r.doc_id for r in quality.classify(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect() if r.kept}
             assert set(after) == kept and all(after[i] == before[i] for i in kept)
@@ -34,12 +34,13 @@ def test_stages_against_brute_force(spark):
             want = plain_near([(i, r.text) for i, r in before.items()], 5)
             assert set(after) == {i for i, (_, c) in want.items() if c == i}
         elif name == "mixing":
-            taken = {r.doc_id: r for r in mixing.mix(held).collect()}
-            assert set(after) == set(taken)
-            for i, r in after.items():
-                w = words(before[i].text)
-                whole = taken[i].taken == taken[i].tokens == len(w)
-                assert r.text == (before[i].text if whole else " ".join(w[: taken[i].taken]))
+            taken = mixing.mix(held).collect()
+            assert mixing.MAX_EPOCHS > 1
+            want = []
+            for r in taken:
+                w = words(before[r.doc_id].text)
+                want.append((r.doc_id, before[r.doc_id].text if r.taken == r.tokens == len(w) else " ".join(w[: r.taken])))
+            assert sorted((r.doc_id, r.text) for r in done.collect()) == sorted(want)
         else:
             pieces = done.collect()
             assert {r.doc_id for r in pieces} == set(before)
