@@ -252,7 +252,7 @@ def test_nearest_edges(spark):
     # The size is that of most usable vectors, whichever row comes first; an id may come several times.
     rows = [(0, [0.0]), (0, [9.0]), (0, [1.0, 2.0]), (1, [1.0, 3.0]), (2, [4.0, 3.0]), (2, [4.0, 3.0]), (0, [1.0, 2.5])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
-    got = nearest(df, df.filter("vec_id % 100 = 0").filter("embedding[1] = 2.0")).collect()
+    got = nearest(df, df.filter("vec_id % 100 = 0").filter("get(embedding, 1) = 2.0")).collect()
     assert [(r["rank"], r.vec_id, r.score) for r in sorted(got)] == [(1, 1, 1.0), (2, 2, 10**0.5), (3, 2, 10**0.5)]
 
 
