@@ -16,6 +16,11 @@ def exif_date(*fields: Column) -> Column:
     return F.coalesce(*[F.try_to_timestamp(f, F.lit("yyyy:MM:dd HH:mm:ss")) for f in reversed(fields)])
 
 
+def sidecar_date(json: Column) -> Column:
+    """The time that a sidecar file tells in Unix seconds under ``photoTakenTime.timestamp``; null where it tells none."""
+    return F.timestamp_seconds(F.get_json_object(json, "$.photoTakenTime.timestamp").try_cast("long"))
+
+
 def month_group(ts: Column) -> Column:
     """[year, month name], or [Undated]."""
     return F.when(ts.isNull(), F.array(F.lit("Undated"))).otherwise(F.array(F.date_format(ts, "yyyy"), F.date_format(ts, "MMMM")))

@@ -6,10 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def natural_key(text: Column, width: int = 20) -> Column:
-    """Digit runs padded to ``width``, so names order by their numbers."""
+def natural_key(text: Column) -> Column:
+    """Names order by their numbers, of any length: each digit run follows its own length, without leading zeros."""
     parts = F.regexp_extract_all(text, F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, width, "0")).otherwise(p)), "")
+    plain = lambda p: F.regexp_replace(p, r"^0+(?=\d)", "")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.concat(F.lpad(F.length(plain(p)).cast("string"), 10, "0"), plain(p))).otherwise(p)), "")
 
 
 def string_key(text: Column) -> Column:

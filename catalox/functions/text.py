@@ -63,3 +63,8 @@ def pulled(values: Column, value: Column) -> Column:
 
 def moved_to_end(values: Column, value: Column) -> Column:
     return F.array_append(F.array_remove(values, value), value)
+
+
+def base64_of(raw: Column) -> Column:
+    """Base64 in one line, whatever the session breaks lines at."""
+    return F.regexp_replace(F.base64(raw), r"\s", "")

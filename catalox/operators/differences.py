@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,3 +48,11 @@ def differing_shards(a: DataFrame, b: DataFrame) -> list[int]:
     """Shards whose roots (shard, root) differ; a collection has a fixed number of shards."""
     joined = a.select("shard", F.col("root").alias("x")).join(b.select("shard", F.col("root").alias("y")), "shard", "full")
     return sorted(r["shard"] for r in joined.filter("not (x <=> y)").select("shard").collect())
+
+
+def without(leaves: DataFrame, name: str, prefixes: Sequence[str]) -> DataFrame:
+    """Leaves whose name is none of the prefixes nor below one."""
+    gone = F.lit(False)
+    for p in prefixes:
+        gone = gone | (F.col(name) == p) | F.col(name).startswith(p.rstrip("/") + "/")
+    return leaves.filter(~gone)

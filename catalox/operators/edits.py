@@ -84,6 +84,18 @@ def apply_ops(records: DataFrame, ops: DataFrame, key: str, scalar: Sequence[str
     return joined.select(*columns)
 
 
+def apply_routed(records: DataFrame, ops: DataFrame, database: str, collection: str, supported: str, key: str, scalar: Sequence[str], array: str) -> DataFrame:
+    """Records of many databases after a log whose entries name their database and collection.
+
+    An entry goes to the record of its key in its own database; one for another
+    collection than ``supported`` raises before anything is applied.
+    """
+    check_complete(ops.filter(~F.coalesce(F.col(collection) == supported, F.lit(False))).select(collection), "a collection that takes no edits")
+    named = lambda df: df.withColumn("target", F.struct(database, key)).drop(database, key)
+    done = apply_ops(named(records), named(ops.drop(collection)), "target", scalar, array)
+    return done.select(f"target.{database}", f"target.{key}", *[c for c in done.columns if c != "target"])
+
+
 def latest_per_key(log: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
     """The last entry of each key in a change log."""
     w = Window.partitionBy(key).orderBy(*order)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from catalox.sources.scratch import materialize
+from catalox.sources.scratch import delete, materialize
 
 PAGE = 1000
+#: Pages that lie together in one part of a kept index.
+LEAF_PAGES = 16
 
 
 def find_by_value(df: DataFrame, field: str, value) -> DataFrame:
@@ -60,3 +62,44 @@ def page_after(df: DataFrame, order: Sequence[Column], after: Column | None, siz
 def page_stats(df: DataFrame, order: Sequence[Column], size: int = PAGE) -> DataFrame:
     pages = numbered(df, order).groupBy(F.floor(F.col("position") / size).alias("page")).agg(F.count("*").alias("n"))
     return pages.agg(F.count("*").alias("pages"), F.min("n").alias("smallest"), F.max("n").alias("largest"), F.round(F.avg("n"), 6).alias("average"))
+
+
+def build(df: DataFrame, path: str, name: str, order: Sequence[Column], size: int = PAGE, leaf_pages: int = LEAF_PAGES) -> None:
+    """Keep ``df`` in an order as Parquet below ``path``, in place of an index of that name: a page is read without the others."""
+    placed = numbered(df, order).withColumn("page", F.floor(F.col("position") / size).cast("long"))
+    leaf = F.floor(F.col("page") / leaf_pages).cast("long")
+    placed = placed.withColumn("leaf", leaf).repartitionByRange("leaf").sortWithinPartitions("leaf", "position")
+    placed.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("leaf").parquet(f"{path}/{name}/entries")
+    kept = df.sparkSession.read.schema(placed.schema).parquet(f"{path}/{name}/entries")
+    total = kept.agg(F.count("*").alias("total_entries")).select("total_entries", F.ceil(F.col("total_entries") / size).cast("long").alias("total_pages"), F.lit(leaf_pages).alias("leaf_pages"))
+    total.coalesce(1).write.mode("overwrite").json(f"{path}/{name}/totals")
+
+
+def read_page(spark: SparkSession, path: str, name: str, number: int) -> DataFrame:
+    """One page of a kept index in its order, with the totals; only the leaf that holds it is scanned."""
+    totals = spark.read.schema("total_entries long, total_pages long, leaf_pages int").json(f"{path}/{name}/totals").first()
+    entries = spark.read.parquet(f"{path}/{name}/entries") if totals["total_entries"] else None
+    if entries is None:
+        raise ValueError(f"the index {name} has no entries")
+    found = entries.filter((F.col("leaf") == number // totals["leaf_pages"]) & (F.col("page") == number))
+    return found.withColumns({c: F.lit(totals[c]).cast("long") for c in ("total_entries", "total_pages")})
+
+
+def pages(spark: SparkSession, path: str, name: str, token: int | None = None, leaves: int = 1) -> tuple[DataFrame, int | None]:
+    """The entries of the next ``leaves`` leaves from a token (none at first), and the token to go on with; none at the end."""
+    totals = spark.read.schema("total_entries long, total_pages long, leaf_pages int").json(f"{path}/{name}/totals").first()
+    start = token or 0
+    stop = start + leaves
+    entries = spark.read.parquet(f"{path}/{name}/entries").filter(F.col("leaf").between(start, stop - 1))
+    return entries, stop if stop * totals["leaf_pages"] < totals["total_pages"] else None
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """The indexes kept below ``path``, in order of name."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def drop(spark: SparkSession, path: str, name: str) -> None:
+    delete(spark, f"{path}/{name}")

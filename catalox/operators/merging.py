@@ -32,6 +32,58 @@ def merge(source: DataFrame, target: DataFrame, key: str, fields: Sequence[str],
     return joined.select(F.coalesce(f"s.{key}", f"t.{key}").alias(key), *merged, F.least(f"s.{ts}", f"t.{ts}").alias(ts))
 
 
+def merge_fields(source: DataFrame, target: DataFrame, key: str) -> DataFrame:
+    """Records ``(key, fields, times, ts)`` merged field by field, each field by its own time.
+
+    ``fields`` and ``times`` are maps by field name; a field without a time has its
+    record's ``ts``. The later value wins, a tie leaves the target's, and a field that one
+    side lacks comes from the other whatever its time. A name that only has a time
+    was deleted. The merged ``ts`` is the smaller one, so ``times`` keeps what is later than that.
+    Records of one side stay as they are.
+    """
+    joined = source.select(key, F.struct("fields", "times", "ts").alias("s")).join(target.select(key, F.struct("fields", "times", "ts").alias("t")), key, "full")
+    none = {"fields": F.create_map().cast("map<string,string>"), "times": F.create_map().cast("map<string,bigint>")}
+    part = lambda side, name: F.coalesce(F.col(f"{side}.{name}"), none[name])
+    names = F.array_distinct(F.flatten(F.array(*[F.map_keys(part(side, name)) for side in "st" for name in ("fields", "times")])))
+
+    def one(name: Column) -> Column:
+        value, time = ({x: F.try_element_at(part(x, kind), name) for x in "st"} for kind in ("fields", "times"))
+        time = {x: F.coalesce(time[x], F.col(f"{x}.ts"), F.lit(0)) for x in "st"}
+        mine = value["s"].isNotNull() & (value["t"].isNull() | (time["s"] > time["t"]))
+        return F.struct(name.alias("name"), F.when(mine, value["s"]).otherwise(value["t"]).alias("value"), F.when(mine, time["s"]).otherwise(time["t"]).alias("time"))
+
+    ts = F.least(F.coalesce("s.ts", F.lit(0)), F.coalesce("t.ts", F.lit(0)))
+    as_map = lambda items, field: F.map_from_entries(F.transform(items, lambda x: F.struct(x["name"], x[field])))
+    merged = joined.filter("s is not null and t is not null").withColumn("m", F.transform(names, one)).select(
+        key,
+        as_map(F.filter("m", lambda x: x["value"].isNotNull()), "value").alias("fields"),
+        as_map(F.filter("m", lambda x: x["time"] > ts), "time").alias("times"),
+        ts.alias("ts"))
+    single = joined.filter("s is null or t is null").select(key, *[F.coalesce(f"s.{n}", f"t.{n}").alias(n) for n in ("fields", "times", "ts")])
+    return merged.unionByName(single)
+
+
+def synced(one: DataFrame, two: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides after a pull of ``two`` into ``one`` and a push back; where two values have one time each side keeps its own."""
+    pulled = merge_fields(two, one, key)
+    return pulled, merge_fields(pulled, two, key)
+
+
+def update_times(ts: Column, times: Column, before: Column, changes: Column, at: Column) -> Column:
+    """``times`` by dotted path after ``changes`` (path to new value, null for a deletion) at time ``at``.
+
+    A changed path takes the time ``at`` in place of those below it, unless its record
+    or a path above it bears that time or a later one. Values that do not change leave theirs.
+    """
+    held = F.coalesce(times, F.create_map().cast("map<string,bigint>"))
+    above = lambda path: F.transform(F.sequence(F.lit(1), F.greatest(F.size(F.split(path, r"\.")) - 1, F.lit(1))), lambda n: F.array_join(F.slice(F.split(path, r"\."), F.lit(1), n), "."))
+    blocked = lambda path: F.exists(above(path), lambda p: (p != path) & F.coalesce(F.try_element_at(held, p) >= at, F.lit(False)))
+    fresh = F.map_filter(changes, lambda p, v: (v.isNull() | ~v.eqNullSafe(F.try_element_at(before, p))) & ~blocked(p))
+    names = F.map_keys(fresh)
+    kept = F.map_filter(held, lambda p, t: ~F.exists(names, lambda n: (p == n) | p.startswith(F.concat(n, F.lit(".")))))
+    return F.when((ts >= at) | (F.size(changes) == 0), held).otherwise(F.map_concat(kept, F.transform_values(fresh, lambda p, v: at)))
+
+
 def changes(before: DataFrame, after: DataFrame, key: str, hash_: str) -> DataFrame:
     """Records of ``after`` that are new or differ, for writing."""
     return after.join(before.select(key, F.col(hash_).alias("own")), key, "left").filter(f"not (own <=> {hash_})").drop("own")

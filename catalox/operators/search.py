@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 # Fields that a search without a field name covers.
 DEFAULT_FIELDS = ["_id", "hash", "location", "description", "labels", "origFileName", "origPath", "contentType"]
-TERM = re.compile(r'(?:"[^"]*"?|[^\s"])+')
+TERM = re.compile(r'(?:"[^"]*"?|[^ "])+')
 
 
 def _any(conditions: Sequence[Column]) -> Column:
@@ -37,25 +37,35 @@ def label_matches(labels: Column, pattern: str) -> Column:
     """``-``: no labels; ``a&b``: each pattern is within some label; ``a|b``: one of them is. ``&`` comes first."""
     if pattern == "-":
         return labels.isNull() | (F.size(labels) == 0)
-    within = lambda p: F.coalesce(F.exists(labels, lambda x: F.lower(x).contains(p.strip().lower())), F.lit(False))
+    within = lambda p: F.coalesce(F.exists(labels, lambda x: F.lower(x).contains(p.strip().strip('"').lower())), F.lit(False))
     if "&" in pattern:
         return _all([within(p) for p in pattern.split("&")])
     return _any([within(p) for p in pattern.split("|")])
 
 
 def text_filter(df: DataFrame, query: str, fields: Sequence[str] = DEFAULT_FIELDS, labels: str = "labels") -> Column:
-    """All terms must match. ``.name=value`` looks in fields whose name holds ``name``; quotes protect spaces."""
-    conditions = []
-    for term in TERM.findall(query):
+    """All terms must match; quotes protect spaces.
+
+    ``.name=value`` looks in the fields whose names hold ``name``, and so do the plain
+    terms after it until another scope is set. ``.labels=value`` has the patterns of
+    :func:`label_matches` and sets the scope back to ``fields``. A scope without
+    exactly one ``=`` says nothing and changes nothing; an empty value is part of any text.
+    """
+    conditions, scope = [], list(fields)
+    for term in (t.strip() for t in TERM.findall(query.strip())):
         if term.startswith("."):
-            name, sign, value = term[1:].partition("=")
-            value = value.strip('"')
-            if not sign or not name or not value:
-                continue  # a malformed term says nothing
-            chosen = [c for c in df.columns if name.lower() in c.lower()]
-            conditions.append(_any([label_matches(F.col(c), value) if c == labels else value_matches(df, c, value) for c in chosen]))
-        else:
-            conditions.append(_any([value_matches(df, c, term.strip('"')) for c in fields if c in df.columns]))
+            parts = [x.strip() for x in term[1:].split("=")]
+            if len(parts) != 2:
+                continue
+            name, term = parts
+            if name.lower() == labels.lower():
+                conditions.append(label_matches(F.col(labels), term) if labels in df.columns else F.lit(term == "-"))
+                scope = list(fields)
+                continue
+            scope = [name]
+        if term or scope != list(fields):
+            chosen = [c for c in df.columns if any(f.lower() in c.lower() for f in scope)]
+            conditions.append(_any([value_matches(df, c, term.strip('"')) for c in chosen]))
     return _all(conditions)
 
 

@@ -55,7 +55,18 @@ def top_n_per_group(spark, sf_dir):
     return listing.top_n_per_group(assets(spark, sf_dir), ["content_type"], [F.desc("size"), F.col("asset_id")], 10).select("content_type", "asset_id", "rank")
 
 
-@query()
+@query(f"""WITH RECURSIVE {ASSETS},
+    t AS (SELECT asset_id, strftime(photo_date, '%B %Y') AS "group", 640 + size % 1280 AS w, 480 + size % 720 AS h, photo_date FROM assets),
+    i AS (SELECT asset_id, "group", w::DOUBLE / h AS a, row_number() OVER (PARTITION BY "group" ORDER BY photo_date, asset_id) AS k FROM t),
+    r AS (
+        SELECT "group", k, asset_id, a, 0 AS row, 200 * a + 4 AS used FROM i WHERE k = 1
+        UNION ALL
+        SELECT i."group", i.k, i.asset_id, i.a, CASE WHEN r.used + 200 * i.a > 1200 THEN r.row + 1 ELSE r.row END,
+               CASE WHEN r.used + 200 * i.a > 1200 THEN 200 * i.a + 4 ELSE r.used + 200 * i.a + 4 END
+        FROM r JOIN i ON i."group" = r."group" AND i.k = r.k + 1),
+    s AS (SELECT *, sum(a) OVER (PARTITION BY "group", row) AS wide, count(*) OVER (PARTITION BY "group", row) AS n, max(row) OVER (PARTITION BY "group") AS last FROM r),
+    x AS (SELECT *, CASE WHEN row = last THEN 200.0::DOUBLE ELSE (1200 - 4 * (n - 1)) / wide END AS tall FROM s)
+    SELECT asset_id, "group", row::INT AS row, round(tall, 6) AS row_height, round(tall * a, 6) AS thumb_width FROM x""")
 def row_packing(spark, sf_dir):
     a = assets(spark, sf_dir).withColumn("heading", F.array_join(F.reverse(month_group(F.col("photo_date"))), " "))
     shaped = a.withColumns({"width": F.lit(640) + F.col("size") % 1280, "height": F.lit(480) + F.col("size") % 720})

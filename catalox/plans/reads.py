@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalox.functions.ordering import natural_key, number_key, place_key, string_key
@@ -11,6 +13,7 @@ from catalox.functions.text import custom_labels
 from catalox.operators import edits, index, search
 from catalox.plans.registry import ASSETS, PLACES, SNAPSHOTS, query
 from catalox.sources.files import is_media, media_type
+from catalox.sources.scratch import tables_dir
 from catalox.sources.store import point_lookup as lookup
 from catalox.sources.store import shard_page
 from catalox.sources.tables import assets, load, places, snapshots
@@ -101,6 +104,12 @@ def search_field(spark, sf_dir):
     return _text(spark, sf_dir, '.labels="1-URGENT" .content=png')
 
 
+@query(_text_sql(f"contains(file_name, '2') AND contains(file_name, 'png') AND {_SOME.format('urgent')} AND contains(content_type, 'image') AND contains(content_type, 'p')"))
+def search_scope(spark, sf_dir):
+    """Plain terms look where the scope before them says; a scope with two ``=`` says nothing."""
+    return _text(spark, sf_dir, ".FileName=2 png .a=b=c .labels=URGENT .content=image p")
+
+
 @query(_text_sql("labels IS NULL OR len(labels) = 0"))
 def labels_none(spark, sf_dir):
     return _text(spark, sf_dir, ".labels=-")
@@ -171,11 +180,47 @@ def find_by_range_open(spark, sf_dir):
     return index.find_by_range(load(spark, sf_dir, "lineitem"), "l_quantity", 10.0, 13.0, low_in=False, high_in=False).select("l_orderkey", "l_linenumber", "l_quantity")
 
 
+def _kept_index(spark, sf_dir):
+    at = f"{tables_dir(spark)}/indexes-{uuid.uuid4().hex}"
+    index.build(assets(spark, sf_dir).select("asset_id", "photo_date"), at, "photo_date", [F.desc("photo_date"), F.col("asset_id")])
+    return at
+
+
 @query(f"""WITH {ASSETS}, n AS (SELECT asset_id, row_number() OVER (ORDER BY photo_date DESC, asset_id) - 1 AS position, count(*) OVER () AS total_entries FROM assets)
     SELECT asset_id, position, total_entries, ((total_entries + 999) // 1000)::BIGINT AS total_pages FROM n WHERE position // 1000 = 1""")
 def index_page(spark, sf_dir):
-    a = assets(spark, sf_dir).select("asset_id", "photo_date")
-    return index.page(a, [F.desc("photo_date"), F.col("asset_id")], 1).select("asset_id", "position", "total_entries", "total_pages")
+    """A page of a kept index: only the leaf with that page is read."""
+    at = _kept_index(spark, sf_dir)
+    return index.read_page(spark, at, "photo_date", 1).select("asset_id", "position", "total_entries", "total_pages")
+
+
+@query(f"""WITH {ASSETS}, n AS (SELECT asset_id, row_number() OVER (ORDER BY photo_date DESC, asset_id) - 1 AS position FROM assets)
+    SELECT asset_id, position, (position // 16000)::BIGINT AS token FROM n""")
+def paged_scan(spark, sf_dir):
+    """All entries in order, leaf by leaf, each call going on from the token that the one before returned."""
+    at, token, found = _kept_index(spark, sf_dir), None, None
+    while True:
+        part, following = index.pages(spark, at, "photo_date", token)
+        part = part.select("asset_id", "position", F.lit(token or 0).cast("long").alias("token"))
+        found, token = part if found is None else found.union(part), following
+        if token is None:
+            return found
+
+
+@query("SELECT * FROM (VALUES ('by_name'), ('by_size')) t(name)")
+def list_indexes(spark, sf_dir):
+    """Two indexes are built, one of them twice, and a third one is dropped again."""
+    a = assets(spark, sf_dir).select("asset_id", "file_name", "size")
+    at = f"{tables_dir(spark)}/indexes-{uuid.uuid4().hex}"
+    for name, field in (("by_size", "size"), ("by_name", "file_name"), ("by_size", "size"), ("gone", "size")):
+        index.build(a, at, name, [F.col(field), F.col("asset_id")])
+    index.drop(spark, at, "gone")
+    return spark.createDataFrame([(n,) for n in index.names(spark, at)], "name string")
+
+
+@query(f"WITH {ASSETS} SELECT DISTINCT ({SHARD})::INT AS shard FROM assets")
+def list_shards(spark, sf_dir):
+    return _sharded(spark, sf_dir).select("shard").distinct()
 
 
 @query(f"WITH {ASSETS} SELECT asset_id, file_name FROM assets ORDER BY photo_date DESC, asset_id LIMIT 20 OFFSET 40")

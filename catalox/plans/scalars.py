@@ -113,3 +113,25 @@ def encrypt_round_trip(spark, sf_dir):
     key = F.unhex(F.sha2(F.lit("a key for tests"), 256))
     c = load(spark, sf_dir, "customer").select("c_custkey", "c_name")
     return media.decrypted(media.encrypted(c, key, "c_name"), key, "c_name")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 > 0 THEN strftime(to_timestamp(1500000000 + event_id * 3600), '%Y-%m-%d %H:%M') END AS taken FROM events")
+def sidecar_dates(spark, sf_dir):
+    """Times in Unix seconds of sidecar files; some files tell none."""
+    seconds = (F.lit(1_500_000_000) + F.col("event_id") * 3600).cast("string")
+    json = F.when(F.col("event_id") % 4 == 0, F.lit('{"title": "x"}')).otherwise(F.format_string('{"photoTakenTime": {"timestamp": "%s"}}', seconds))
+    return load(spark, sf_dir, "events").select("event_id", F.date_format(dates.sidecar_date(json), "yyyy-MM-dd HH:mm").alias("taken"))
+
+
+@query("SELECT doc_id, base64(encode(substr(text, 1, 100))) AS coded, substr(text, 1, 100) AS plain FROM documents")
+def base64_round_trip(spark, sf_dir):
+    d = load(spark, sf_dir, "documents").select("doc_id", text.base64_of(F.encode(F.substring("text", 1, 100), "UTF-8")).alias("coded"))
+    return d.withColumn("plain", F.decode(F.unbase64("coded"), "UTF-8"))
+
+
+@query("SELECT event_id, value * 2 AS inner_value, event_type AS kept, 'added' AS fresh FROM events")
+def nested_set(spark, sf_dir):
+    """Fields of nested records set by dotted path; the others stay."""
+    e = load(spark, sf_dir, "events").select("event_id", F.struct(F.struct(F.col("value").alias("x"), F.col("event_type").alias("y")).alias("inner")).alias("r"))
+    done = e.withColumn("r", F.col("r").withField("inner.x", F.col("r.inner.x") * 2).withField("inner.z", F.lit("added")))
+    return done.select("event_id", F.col("r.inner.x").alias("inner_value"), F.col("r.inner.y").alias("kept"), F.col("r.inner.z").alias("fresh"))

@@ -11,10 +11,12 @@ from catalox.functions.records import shard_of
 from catalox.functions.text import pulled, pushed
 from catalox.operators import differences, digests, edits, merging
 from catalox.plans.registry import ASSETS, ORACLE_SQL, SNAPSHOTS, query
-from catalox.sources.scratch import shared_dir
+from catalox.sources import store
+from catalox.sources.assets import copy_assets, move_assets, write_assets
+from catalox.sources.scratch import tables_dir
 from catalox.sources.store import read_version, write_version
 from catalox.sources.tables import as_assets, assets, load, snapshots
-from catalox.streaming.ingest import change_stream, import_stream
+from catalox.streaming.ingest import change_stream, import_stream, view_stream
 
 FIELDS = ["status", "priority", "price"]
 
@@ -45,7 +47,22 @@ def merkle_root(spark, sf_dir):
     return digests.shard_roots(local, "shard", "key", "hash")
 
 
-@query()
+def _tree_sql(leaves: str, name: str) -> str:
+    """CTEs that fold ``leaves`` (i, d), numbered from 0, to ``name`` (root): pairs join level by level and what stays alone joins from the left at the end."""
+    return f"""{name}_lv AS (
+        SELECT 0 AS h, i, d FROM {leaves}
+        UNION ALL
+        SELECT h + 1, i // 2, sha256(unhex(d) || unhex(nd)) FROM (SELECT h, i, d, lead(d) OVER (ORDER BY i) AS nd FROM {name}_lv) WHERE i % 2 = 0 AND nd IS NOT NULL),
+    {name}_peaks AS (SELECT h, d FROM (SELECT *, max(i) OVER (PARTITION BY h) AS last FROM {name}_lv) WHERE i = last AND i % 2 = 0),
+    {name} AS (SELECT list_reduce(list(d ORDER BY h DESC), lambda a, b: sha256(unhex(a) || unhex(b))) AS root FROM {name}_peaks)"""
+
+
+@query(f"""WITH RECURSIVE {SNAPSHOTS},
+    all_leaves AS (SELECT row_number() OVER (ORDER BY key) - 1 AS i, hash AS d FROM local_),
+    {_tree_sql("all_leaves", "whole")},
+    shard_leaves AS (SELECT row_number() OVER (ORDER BY shard) - 1 AS i, root AS d FROM ({ORACLE_SQL["merkle_root"].replace(SNAPSHOTS + ",", "")})),
+    {_tree_sql("shard_leaves", "sharded")}
+    SELECT whole.root, sharded.root AS collection_root FROM whole, sharded""")
 def merkle_tree_root(spark, sf_dir):
     """One digest over all records in order of key, and the digest of the collection's shards."""
     local = snapshots(spark, sf_dir)[0].withColumn("shard", shard_of(F.col("key")))
@@ -54,6 +71,69 @@ def merkle_tree_root(spark, sf_dir):
     return spark.createDataFrame([(whole, sharded)], "root string, collection_root string")
 
 
+@query(f"""WITH RECURSIVE {SNAPSHOTS},
+    kept_leaves AS (SELECT row_number() OVER (ORDER BY name) - 1 AS i, hash AS d FROM (SELECT priority || '/' || key AS name, hash FROM local_ WHERE priority NOT IN ('1-URGENT', '5-LOW'))),
+    {_tree_sql("kept_leaves", "kept")}
+    SELECT (SELECT count(*) FROM kept_leaves) AS n, kept.root FROM kept""")
+def rebuild_without(spark, sf_dir):
+    """The tree over all names but those below two folders."""
+    named = snapshots(spark, sf_dir)[0].select(F.concat_ws("/", "priority", F.col("key").cast("string")).alias("name"), "hash")
+    kept = differences.without(named, "name", ["1-URGENT", "5-LOW"])
+    return spark.createDataFrame([(kept.count(), digests.merkle_root(kept, [F.col("name")], "hash"))], "n long, root string")
+
+
+def _page_files(spark, sf_dir):
+    p = load(spark, sf_dir, "pages")
+    return p.select(F.concat(F.lit("asset/"), (F.col("page_id") % 7).cast("string"), F.lit("/"), F.col("page_id").cast("string")).alias("name"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("content"))
+
+
+_FILES_SQL = "SELECT 'asset/' || (page_id % 7) || '/' || page_id AS name, octet_length(encode(coalesce(html, ''))) AS length, sha256(coalesce(html, '')) AS hash FROM pages"
+
+
+@query(_FILES_SQL)
+def write_verified(spark, sf_dir):
+    """Pages as stored files, each read again and compared."""
+    return write_assets(_page_files(spark, sf_dir), _folder(spark, "files"))
+
+
+@query(f"SELECT * FROM ({_FILES_SQL}) WHERE name LIKE 'asset/3/%'")
+def replicate_files(spark, sf_dir):
+    """A verified copy of the files that a filter names, then moved to another folder."""
+    at, copy, last = (_folder(spark, x) for x in ("files", "copy", "moved"))
+    written = write_assets(_page_files(spark, sf_dir), at)
+    copy_assets(spark, at, copy, written.filter("name like 'asset/3/%'").select("name"))
+    return move_assets(spark, copy, last)
+
+
+@query("SELECT * FROM (VALUES ('metadata'), ('places')) t(name)")
+def list_collections(spark, sf_dir):
+    """Collections of a database after one of three was dropped."""
+    at = _folder(spark, "database")
+    for name in ("metadata", "places", "gone"):
+        write_version(load(spark, sf_dir, "nation"), f"{at}/{name}", 0, "n_nationkey", 4)
+    store.drop(spark, f"{at}/gone")
+    return spark.createDataFrame([(n,) for n in store.collections(spark, at)], "name string")
+
+
+@query(f"WITH {ASSETS} SELECT hash, count(*) AS n, min(asset_id) AS first_id FROM assets GROUP BY hash HAVING count(*) > 1")
+def collisions_json(spark, sf_dir):
+    """Repeated contents as a JSON report, read again."""
+    at = _folder(spark, "report")
+    found = assets(spark, sf_dir).groupBy("hash").agg(F.count("*").alias("n"), F.min("asset_id").alias("first_id")).filter("n > 1")
+    found.write.json(at)
+    return spark.read.schema(found.schema).json(at)
+
+
+@query(f"WITH {ASSETS} SELECT asset_id, file_name FROM assets WHERE contains(file_name, '7') ORDER BY photo_date DESC, asset_id LIMIT 40")
+def stream_view(spark, sf_dir):
+    """A searched and sorted view that grows by batches: each batch is sorted alone, and the first entries come from all of them."""
+    at = _folder(spark, "view")
+    order = [F.desc("photo_date"), F.col("asset_id")]
+    records = as_assets(_stream(spark, sf_dir, "orders")).filter(F.col("file_name").contains("7"))
+    view_stream(records, at, f"{at}-state", order).awaitTermination()
+    return spark.read.parquet(at).orderBy(*order).limit(40).select("asset_id", "file_name")
+
+
 def _sides(spark, sf_dir):
     """Two collections of names and content hashes, with repeated contents."""
     o = assets(spark, sf_dir)
@@ -117,6 +197,80 @@ def sync_merge(spark, sf_dir):
     return merging.merge(origin, local, "key", FIELDS, tombstones=dead)
 
 
+def _by_field(df, late):
+    """Records as maps: the price is stamped where ``late`` holds, the priority is deleted for high ones of the origin."""
+    names = F.array(F.lit("status"), F.lit("priority"), F.lit("price"))
+    held = F.map_filter(F.map_from_arrays(names, F.array("status", "priority", F.col("price").cast("string"))), lambda k, v: (k != "priority") | ~F.col("gone"))
+    times = F.map_filter(F.map_from_arrays(names, F.array(F.lit(None).cast("long"), F.when(F.col("gone"), F.col("ts") + 500), F.when(late, F.col("ts") + 90))), lambda k, v: v.isNotNull())
+    return df.select("key", held.alias("fields"), times.alias("times"), "ts")
+
+
+def _field_sides(spark, sf_dir):
+    local, origin = snapshots(spark, sf_dir)
+    return (_by_field(local.withColumn("gone", F.lit(False)), F.col("key") % 3 == 0),
+            _by_field(origin.withColumn("gone", F.col("priority") == "2-HIGH").withColumn("price", F.col("price") + 1), F.col("key") % 2 == 0))
+
+
+def _flat(df):
+    get = lambda m, n: F.try_element_at(m, F.lit(n))
+    return df.select("key", get("fields", "status").alias("status"), get("fields", "priority").alias("priority"), get("fields", "price").cast("long").alias("price"),
+                     get("times", "status").alias("status_ts"), get("times", "priority").alias("priority_ts"), get("times", "price").alias("price_ts"), "ts")
+
+
+_FIELDS_SQL = f"""{SNAPSHOTS},
+    l AS (SELECT key, status, priority, price, ts, NULL::BIGINT AS priority_at, CASE WHEN key % 3 = 0 THEN ts + 90 END AS price_at FROM local_),
+    o AS (SELECT key, status, CASE WHEN priority <> '2-HIGH' THEN priority END AS priority, price + 1 AS price, ts,
+                 CASE WHEN priority = '2-HIGH' THEN ts + 500 END AS priority_at, CASE WHEN key % 2 = 0 THEN ts + 90 END AS price_at FROM origin),
+    both_ AS (SELECT l.key, least(l.ts, o.ts) AS ts,
+                     CASE WHEN o.ts > l.ts THEN o.status ELSE l.status END AS status, greatest(o.ts, l.ts) AS status_t,
+                     l.priority, l.ts AS priority_t,
+                     CASE WHEN coalesce(o.price_at, o.ts) > coalesce(l.price_at, l.ts) THEN o.price ELSE l.price END AS price, greatest(coalesce(o.price_at, o.ts), coalesce(l.price_at, l.ts)) AS price_t,
+                     CASE WHEN o.priority IS NOT NULL AND o.ts > l.ts THEN o.ts ELSE l.ts END AS kept_t
+              FROM l JOIN o ON l.key = o.key)
+    SELECT key, status, priority, price, CASE WHEN status_t > ts THEN status_t END AS status_ts, CASE WHEN kept_t > ts THEN kept_t END AS priority_ts,
+           CASE WHEN price_t > ts THEN price_t END AS price_ts, ts FROM both_
+    UNION ALL SELECT key, status, priority, price, NULL, priority_at, price_at, ts FROM l WHERE key NOT IN (SELECT key FROM o)
+    UNION ALL SELECT key, status, priority, price, NULL, priority_at, price_at, ts FROM o WHERE key NOT IN (SELECT key FROM l)"""
+
+
+@query(f"WITH {_FIELDS_SQL}")
+def merge_fields(spark, sf_dir):
+    """Each field by its own time; a field that one side has deleted comes from the other."""
+    local, origin = _field_sides(spark, sf_dir)
+    return _flat(merging.merge_fields(origin, local, "key"))
+
+
+_PUSHED_SQL = _FIELDS_SQL.replace("CASE WHEN coalesce(o.price_at, o.ts) > coalesce(l.price_at, l.ts) THEN o.price ELSE l.price END", "CASE WHEN coalesce(l.price_at, l.ts) > coalesce(o.price_at, o.ts) THEN l.price ELSE o.price END")
+
+
+@query(f"""SELECT 'local' AS side, count(*) AS n, sum(price)::BIGINT AS price, sum(ts)::BIGINT AS ts, count(priority) AS with_priority FROM (WITH {_FIELDS_SQL})
+    UNION ALL SELECT 'origin', count(*), sum(price)::BIGINT, sum(ts)::BIGINT, count(priority) FROM (WITH {_PUSHED_SQL})""")
+def sync_two_ways(spark, sf_dir):
+    """A pull and a push: both sides end with the same records, but that of two values of one time each keeps its own."""
+    local, origin = _field_sides(spark, sf_dir)
+    sides = zip(("local", "origin"), merging.synced(local, origin, "key"), strict=True)
+    one, two = (_flat(df).agg(F.count("*").alias("n"), F.sum("price").alias("price"), F.sum("ts").alias("ts"), F.count("priority").alias("with_priority")).select(F.lit(side).alias("side"), "*") for side, df in sides)
+    return one.unionByName(two)
+
+
+@query("""SELECT event_id,
+           CASE WHEN event_id % 5 = 0 THEN 100 END AS whole_ts,
+           CASE WHEN event_id % 5 = 0 THEN 50 WHEN event_id % 2 = 0 THEN 100 ELSE 50 END AS a_ts,
+           CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 3 = 0 THEN 200 ELSE 100 END AS b_ts
+    FROM events""")
+def update_metadata(spark, sf_dir):
+    """Times by path after an update at time 100: changed paths are stamped, but not below a later time nor in a later record."""
+    e = load(spark, sf_dir, "events").select("event_id")
+    later, whole = F.col("event_id") % 3 == 0, F.col("event_id") % 5 == 0
+    texts = lambda *pairs: F.create_map(*[x if not isinstance(x, str) else F.lit(x) for p in pairs for x in p])
+    times = texts(("a.x", F.lit(50).cast("long")), ("b", F.when(later, F.lit(200).cast("long")).otherwise(F.lit(10).cast("long"))))
+    before = texts(("a.x", "old"), ("b.y", "old"), ("c", "same"))
+    change = F.when(F.col("event_id") % 2 == 0, F.lit("new")).otherwise(F.lit("old"))
+    changes = texts(("a.x", change), ("b.y", F.lit(None).cast("string")), ("c", "same"))
+    done = merging.update_times(F.when(whole, F.lit(100)).otherwise(F.lit(5)), times, before, changes, F.lit(100).cast("long"))
+    return e.select("event_id", F.when(whole, F.lit(100)).alias("whole_ts"), F.try_element_at(done, F.lit("a.x")).alias("a_ts"), F.when(~whole, F.greatest(F.try_element_at(done, F.lit("b")), F.coalesce(F.try_element_at(done, F.lit("b.y")), F.lit(0)))).alias("b_ts"))
+
+
 @query(f"WITH {SNAPSHOTS} SELECT key, status FROM local_ UNION ALL SELECT key, status FROM origin WHERE key NOT IN (SELECT key FROM local_)")
 def insert_new(spark, sf_dir):
     local, origin = (d.select("key", "status") for d in snapshots(spark, sf_dir))
@@ -156,6 +310,16 @@ def apply_ops(spark, sf_dir):
     return _shown(edits.apply_ops(users_of(e), ops_of(e), "user_id", ["score"], "labels"))
 
 
+@query("WITH a AS (" + ORACLE_SQL["apply_ops"].replace("WITH e AS", "WITH RECURSIVE e AS", 1) + ") SELECT 'db' || (user_id % 3) AS database_id, user_id, score, labels FROM a")
+def apply_ops_routed(spark, sf_dir):
+    """The same log over three databases: each entry names its own."""
+    e = load(spark, sf_dir, "events")
+    named = lambda df: df.withColumn("database_id", F.concat(F.lit("db"), (F.col("user_id") % 3).cast("string")))
+    log = named(ops_of(e)).withColumn("collection", F.lit("metadata"))
+    done = edits.apply_routed(named(users_of(e)), log, "database_id", "collection", "metadata", "user_id", ["score"], "labels")
+    return done.select("database_id", "user_id", "score", F.coalesce(F.array_join("labels", ","), F.lit("")).alias("labels"))
+
+
 def ops_of(e):
     view, error = F.col("event_type") == "view", F.col("event_type") == "error"
     return e.select(
@@ -177,7 +341,7 @@ def _stream(spark, sf_dir, table):
 
 
 def _folder(spark, name):
-    return f"{shared_dir(spark)}/catalox/{name}-{uuid.uuid4().hex}"
+    return f"{tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query(f"WITH {ASSETS} SELECT hash, min(asset_id) AS asset_id FROM assets GROUP BY hash")

@@ -61,15 +61,18 @@ def hashed(files: DataFrame, cache: DataFrame | None = None) -> DataFrame:
     return files.join(known, ["path", "length", "modified"], "left").withColumn("hash", F.coalesce("known", own)).drop("content", "known")
 
 
-def expand_archives(files: DataFrame, depth: int = 8) -> DataFrame:
+def expand_archives(files: DataFrame, depth: int = 100) -> DataFrame:
     """One row (path, length, hash, content) per entry of ``files(path, content)``, with archives in archives opened.
 
     The logical path is the archive's path and the entry's. Anything that is no
-    archive is itself one row; a broken archive too.
+    archive is itself one row; a broken archive too. Archives nested deeper than
+    ``depth``, as those that hold themselves, raise.
     """
 
     def entries(path: str, data: bytes, left: int) -> Iterator[tuple[str, bytes]]:
-        if left and path.lower().endswith(".zip"):
+        if path.lower().endswith(".zip"):
+            if not left:
+                raise ValueError(f"{path[:200]} is nested too deep")
             try:
                 with zipfile.ZipFile(io.BytesIO(data)) as archive:
                     for name in archive.namelist():

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalox.functions.records import SHARDS, shard_of
+from catalox.sources.scratch import delete
 
 
 def write_version(records: DataFrame, path: str, version: int, key: str, shards: int = SHARDS) -> None:
@@ -47,3 +48,16 @@ def shard_page(records: DataFrame, shard: int) -> DataFrame:
 def replace_shards(changed: DataFrame, path: str, version: int, key: str) -> None:
     """Overwrite only the shards that ``changed`` holds, each with all its records."""
     changed.repartitionByRange("shard", key).sortWithinPartitions("shard", key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(f"{path}/v{version}")
+
+
+def collections(spark: SparkSession, path: str) -> list[str]:
+    """Names of the collections in a database's folder that have a complete version."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(where)] if fs.exists(where) else []
+    return sorted(n for n in names if latest(spark, f"{path}/{n}") is not None)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a collection with all its versions."""
+    delete(spark, path)

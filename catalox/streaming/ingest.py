@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -57,3 +57,16 @@ def change_stream(ops: DataFrame, path: str, checkpoint: str, key: str, scalar:
         write_version(apply_ops(before, batch, key, scalar, array), path, number + 1, key)
 
     return ops.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def view_stream(records: DataFrame, path: str, checkpoint: str, order: Sequence[Column], trigger: dict | None = None) -> StreamingQuery:
+    """Append a stream to a sorted view: each micro-batch is one sorted run, and what is there is not sorted again.
+
+    Files of a run hold ranges of the order, so a reader of the first entries skips
+    most files by their bounds. A replay overwrites its run.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/run={number}")
+
+    return records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -57,6 +57,8 @@ def test_orders(spark):
     names = ["img10", "img9", "img1a", "Img2", "b"]
     df = spark.createDataFrame([(n,) for n in names], "n string")
     assert [r.n for r in df.orderBy(ordering.string_key(ordering.natural_key(F.col("n")))).collect()] == ["b", "img1a", "Img2", "img9", "img10"]
+    long = spark.createDataFrame([("x" + "9" * 30,), ("x1" + "0" * 30,), ("x007",), ("x10",)], "n string")
+    assert [r.n for r in long.orderBy(ordering.string_key(ordering.natural_key(F.col("n")))).collect()] == ["x007", "x10", "x" + "9" * 30, "x1" + "0" * 30]
     df = spark.createDataFrame([(2.0,), (float("nan"),), (None,), (-1.0,)], "v double")
     assert str([r.v for r in df.orderBy(*ordering.number_key(F.col("v"))).collect()]) == "[nan, -1.0, None, 2.0]"
     assert one(spark, ordering.place_key(F.lit("1 Oak, Noosa,  QLD, Australia"))) == ["Australia", "QLD", "Noosa"]

@@ -204,3 +204,58 @@ def test_list_edits_like_a_fold(spark):
     records = spark.createDataFrame([(k, "n", v) for k, v in start.items()], "id string, name string, labels array<string>")
     ops = spark.createDataFrame(log, "id string, seq int, kind string, field string, value string")
     assert {r.id: r.labels for r in edits.apply_ops(records, ops, "id", ["name"], "labels").collect()} == want
+
+
+def test_merge_fields(spark):
+    """Field by field: the later one, absent ones from the other side, ties from the target, and only times that are later than the record's."""
+    schema = "k int, fields map<string,string>, times map<string,bigint>, ts bigint"
+    one = spark.createDataFrame([(1, {"a": "1", "b": "1", "c": "1"}, {"a": 50, "d": 99}, 10), (2, {"x": "1"}, None, 5)], schema)
+    two = spark.createDataFrame([(1, {"a": "2", "b": "2", "d": "2"}, {"c": 70, "b": 10}, 20), (3, None, None, None)], schema)
+    got = {r.k: (r.fields, r.times, r.ts) for r in merging.merge_fields(one, two, "k").collect()}
+    assert got[1] == ({"a": "1", "b": "2", "c": "1", "d": "2"}, {"a": 50, "d": 20}, 10)
+    assert got[2] == ({"x": "1"}, None, 5) and got[3] == (None, None, None)
+
+
+def test_kept_index(spark, tmp_path):
+    """Pages of a kept index: only the leaf of a page is scanned; a rebuild replaces it and a dropped one is gone."""
+    df = spark.range(1000).select("id", (F.col("id") * 7 % 100).alias("v"))
+    order = [F.col("v"), F.col("id")]
+    want = [r.id for r in df.orderBy(*order).collect()]
+    index.build(df.limit(10), str(tmp_path), "by_v", order, 20, 3)
+    index.build(df, str(tmp_path), "by_v", order, 20, 3)
+    page = index.read_page(spark, str(tmp_path), "by_v", 11)
+    assert [r.id for r in page.orderBy("position").collect()] == want[220:240] and page.first().total_pages == 50
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(leaf" in plan and "(leaf" in plan.split("PartitionFilters")[1]
+    token, seen = None, []
+    while True:
+        part, token = index.pages(spark, str(tmp_path), "by_v", token, leaves=5)
+        seen += [r.id for r in part.orderBy("position").collect()]
+        if token is None:
+            break
+    assert seen == want
+    assert index.names(spark, str(tmp_path)) == ["by_v"]
+    index.drop(spark, str(tmp_path), "by_v")
+    assert index.names(spark, str(tmp_path)) == []
+
+
+def test_edits_of_another_collection_raise(spark):
+    records = spark.createDataFrame([("d", 1, None, [])], "db string, k int, score double, labels array<string>")
+    ops = spark.createDataFrame([("d", "other", 1, 1, "set", "score", "2")], "db string, collection string, k int, seq int, kind string, field string, value string")
+    with pytest.raises(ValueError, match="takes no edits"):
+        edits.apply_routed(records, ops, "db", "collection", "metadata", "k", ["score"], "labels")
+
+
+def test_stored_files_are_verified(spark, tmp_path):
+    from catalox.sources import assets
+
+    rows = spark.createDataFrame([("a/1", b"one"), ("a/2", None), ("b/c/3", b"three")], "name string, content binary")
+    sent = assets.write_assets(rows, str(tmp_path / "x"))
+    assert sorted((r.name, r.length) for r in sent.collect()) == [("a/1", 3), ("a/2", 0), ("b/c/3", 5)]
+    with pytest.raises(ValueError, match="without bytes"):
+        assets.move_assets(spark, str(tmp_path / "x"), str(tmp_path / "z"))
+    (tmp_path / "x" / "a" / "2").unlink()
+    assets.move_assets(spark, str(tmp_path / "x"), str(tmp_path / "y"))
+    assert not (tmp_path / "x").exists() and (tmp_path / "y" / "b" / "c" / "3").read_bytes() == b"three"
+    (tmp_path / "y" / "a" / "1").write_bytes(b"two")
+    assert sorted(r.hash for r in assets.stored(spark, str(tmp_path / "y")).collect()) != sorted(r.hash for r in sent.collect())

@@ -16,7 +16,8 @@ def items(spark):
 
 
 @pytest.mark.parametrize(("query", "want"), [
-    ("", "1234"), ("   ", "1234"), ("beach", "124"), ("BEACH jpeg", "14"), ('"beach house"', "2"), (".location=australia", "12"), (".location=australia png", "2"),
+    ("", "1234"), ("   ", "1234"), ("beach", "124"), ("BEACH jpeg", "14"), ('"beach house"', "2"), (".location=australia", "12"), (".location=australia png", ""), (".location=australia noosa", "1"), (".location=beach dog", ""), (".labels=holiday dog", "4"), (".location=australia .labels=holiday jpg", "1"),
+    (".a=b=c", "1234"), (".location=australia .a=b=c noosa", "1"), (".location=", "124"), (".label=holiday&starred", ""), (".LABELS=starred", "1"), ("photo", ""), (".=noosa", "1"),
     (".labels=-", "23"), (".labels=holiday", "14"), (".labels=holiday&starred", "1"), (".labels=starred|pets", "14"), (".labels=nothing", ""), (".date=2023", "2"),
     (".broken beach", "124"), (".nofield=x", ""), ('.labels="my holiday"', "4"), ("nothing", ""), ("australia beach", "12"),
 ])
