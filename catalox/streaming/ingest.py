@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from catalox.functions.records import SHARDS, shard_of
 from catalox.operators.edits import apply_ops
-from catalox.sources.store import read_version, write_version
+from catalox.sources.store import read_version, write_shards, write_version
+
+#: Every so many versions a whole one is written, so that a reader follows few folders.
+WHOLE_EVERY = 20
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 100) -> DataFrame:
@@ -49,12 +53,18 @@ def change_stream(ops: DataFrame, path: str, checkpoint: str, key: str, scalar:
     """Fold a stream ``ops(key, seq, kind, field, value)`` into the versioned store at ``path``.
 
     Version 0 is where the log starts; batch n makes version n + 1 from version n, and
-    a replay makes it again.
+    a replay makes it again. Only the shards of the batch's keys are read and written.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        before = read_version(batch.sparkSession, path, number).drop("shard")
-        write_version(apply_ops(before, batch, key, scalar, array), path, number + 1, key)
+        spark = batch.sparkSession
+        touched = [r[0] for r in batch.select(shard_of(F.col(key))).distinct().collect()]  # SHARDS at most
+        before = read_version(spark, path, number)
+        after = apply_ops(before.filter(F.col("shard").isin(touched)).drop("shard"), batch, key, scalar, array)
+        if (number + 1) % WHOLE_EVERY:
+            write_shards(after.withColumn("shard", shard_of(F.col(key), SHARDS)), path, number + 1, key)
+        else:
+            write_version(after.unionByName(before.filter(~F.col("shard").isin(touched)).drop("shard")), path, number + 1, key)
 
     return ops.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

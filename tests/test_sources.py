@@ -18,7 +18,7 @@ def test_store(spark, tmp_path):
     assert [tuple(r)[:2] for r in found.collect()] == [(17, 34)]
     assert "PartitionFilters: [isnotnull(shard" in found._jdf.queryExecution().toString()
     changed = store.read_version(spark, at).filter("shard < 3").withColumn("v", F.lit(0).cast("long"))
-    store.replace_shards(spark.createDataFrame(changed.collect(), changed.schema), at, 0, "id")
+    store.write_shards(changed, at, 1, "id")
     back = store.read_version(spark, at)
     assert back.count() == 200 and back.filter("shard < 3 and v <> 0").count() == 0
     with pytest.raises(ValueError, match="no complete version"):
