@@ -43,8 +43,9 @@ BROADCAST_IDS = 4_000_000
 BROADCAST_LANGUAGES = 10_000
 #: Words of a block, one document at least; bigrams or words of all blocks planned for a shard.
 BLOCK_WORDS, SHARD_KEYS = 2_000_000, 1_000_000
-#: Bits of a word's number, and of a bigram's beside its shard's: a bigram shares another's count with a chance below ``SHARD_KEYS`` / 2^32, one in 4000.
-WORD_BITS, PAIR_BITS = 44, 32
+#: Bits of a word's number, and of a bigram's beside its shard's. A bigram that no trusted text holds passes for one that
+#: does with a chance of the shard's trusted bigrams / 2^28, at any size: of 156,000 in a shard over 0.5 GB, one in 1,700.
+WORD_BITS, PAIR_BITS = 40, 28
 MULT = multipliers(3, 41)
 
 
@@ -62,8 +63,8 @@ def bad_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 # Arrays as bytes: planes of bytes, so that what is small or alike packs well; sorted keys as differences.
 
-def _pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()) if x.size else b""
+def _pack(x: np.ndarray, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()) if x.size else b""
 
 
 def _unpack(raw: bytes, kind: str) -> np.ndarray:
@@ -73,6 +74,22 @@ def _unpack(raw: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
+def _pack_codes(x: np.ndarray) -> bytes:
+    """Ranks of words: what is above a byte, then the low bytes of frequent words and those of the others, each for itself."""
+    high, low = x >> np.uint32(8), x.astype(np.uint8)
+    packed = _pack(high, 9)
+    return len(packed).to_bytes(8, "little") + packed + _pack(np.concatenate([low[high == 0], low[high > 0]]), 9)
+
+
+def _unpack_codes(raw: bytes) -> np.ndarray:
+    size = int.from_bytes(raw[:8], "little")
+    high, low = _unpack(raw[8 : 8 + size], "<u4"), _unpack(raw[8 + size :], "u1").astype(np.uint32)
+    out = high << np.uint32(8)
+    often = high == 0
+    out[often], out[~often] = low[: often.sum()], out[~often] | low[often.sum() :]
+    return out
+
+
 def _pack_keys(x: np.ndarray) -> bytes:
     return _pack(np.diff(x, prepend=np.uint64(0)))
 
@@ -132,7 +149,7 @@ class Block:
         often = often[np.argsort(-count[often], kind="stable")].astype(np.uint32)
         rank = np.empty(len(count), np.uint32)
         rank[self._order(often, len(count))] = np.arange(len(count), dtype=np.uint32)
-        return (self.block, self.langs, _pack(self.ids.astype("<i8")), _pack(self.lang), _pack(self.n), _pack(self.train.astype("u1")), _pack(self.held.astype("u1")), _pack_keys(self.vocabulary), _pack(often), _pack(rank[self.codes]))
+        return (self.block, self.langs, _pack(self.ids.astype("<i8")), _pack(self.lang), _pack(self.n), _pack(self.train.astype("u1")), _pack(self.held.astype("u1")), _pack_keys(self.vocabulary), _pack(often), _pack_codes(rank[self.codes]))
 
     @staticmethod
     def _order(often: np.ndarray, size: int) -> np.ndarray:
@@ -144,7 +161,7 @@ class Block:
     def read(cls, batch: pa.RecordBatch, i: int) -> Block:
         raw = {name: batch.column(name)[i].as_py() for name in ("block", "langs", "ids", "lang", "n", "train", "held", "vocabulary", "often", "codes")}
         vocabulary = _unpack_keys(raw["vocabulary"])
-        codes = cls._order(_unpack(raw["often"], "<u4"), len(vocabulary))[_unpack(raw["codes"], "<u4")]
+        codes = cls._order(_unpack(raw["often"], "<u4"), len(vocabulary))[_unpack_codes(raw["codes"])]
         return cls(raw["block"], raw["langs"], _unpack(raw["ids"], "<i8"), *[_unpack(raw[x], k) for x, k in (("lang", "<u4"), ("n", "<u4"), ("train", "u1"), ("held", "u1"))], vocabulary, codes)
 
     def starts(self) -> np.ndarray:
@@ -254,7 +271,7 @@ def exchanged(sent: DataFrame, wide: int, name: bool) -> DataFrame:
                 continue
             keys = [_unpack_keys(r["keys"]) for r in rows]
             _, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-            parts = np.concatenate([_unpack(r["own"], "<u8").reshape(-1, wide) for r in rows])
+            parts = np.concatenate([_unpack(r["own"], "<u8").reshape(wide, -1).T for r in rows])
             total = np.stack([np.bincount(place, parts[:, j], len(first)) for j in range(wide)], 1).astype(np.uint64)
             told = total[place]
             if name:
@@ -314,7 +331,7 @@ def send_words(joined: DataFrame, bits: int) -> DataFrame:
                 for k, lang in enumerate(b.langs):
                     mine = of == k
                     words, own_stats, c = b.vocabulary[mine], stats[mine], count[of[w] == k]
-                    rows += [(s, lang, b.block, _pack_keys(words[x:y]), _pack(own_stats[x:y].ravel()), *_NONE) for s, x, y in _cut(words, bits, WORD_BITS)]
+                    rows += [(s, lang, b.block, _pack_keys(words[x:y]), _pack(own_stats[x:y].T.ravel()), *_NONE) for s, x, y in _cut(words, bits, WORD_BITS)]
                     rows.append((-1, lang, b.block, None, None, *[int((c == j).sum()) for j in (1, 2, 3, 4)]))
                 yield _table(rows, _SENT)
 
