@@ -171,6 +171,15 @@ def places(chosen: list[tuple[int, dict[int, int]]]) -> list[tuple[int, int, int
     return rows
 
 
+def bucketed(slots: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+    """The rows of :func:`places` by buckets of ranks, (bucket, *row), and (length, ranks of a bucket): as many buckets as a length has rows, so a piece meets a few rows only."""
+    most, count = {}, {}
+    for size, _, to, *_ in slots:
+        most[size], count[size] = max(to, most.get(size, 0)), count.get(size, 0) + 1
+    width = {size: -(-most[size] // count[size]) for size in most}
+    return [(b, *row) for row in slots for b in range(row[1] // width[row[0]], (row[2] - 1) // width[row[0]] + 1)], sorted(width.items())
+
+
 def ranked(found: DataFrame, rank_rows: int = RANK_ROWS) -> DataFrame:
     """``found`` with the rank of each piece within its length; a frequent length is ranked in parts of as many rows as it has parts."""
     counts = found.groupBy("length").agg(F.count("*").alias("n"))
@@ -190,17 +199,20 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     offset``. A null or empty text is the closing 0 alone. Only documents longer
     than ``capacity`` are cut. Rows without an id are left out; rows that repeat an
     id are packed each. An empty table gives an empty result. Equal lengths
-    are placed by a hash of id and piece.
+    are placed by a hash of id and piece. Texts of any length are encoded whole. Other
+    columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     found = materialize(pieces(docs, tokenizer or default_tokenizer(), capacity, id_col, text_col), "packing-pieces")
     histogram = {r["length"]: r["count"] for r in found.groupBy("length").count().collect()}
     whole = histogram.pop(capacity, 0)
     chosen = ([(whole, {capacity: 1})] if whole else []) + solve(histogram, capacity)
-    schema = "length long, from_rank long, to_rank long, each long, first_sequence long, first_offset long"
-    slots = spark.createDataFrame(places(chosen), schema)  # as many rows as configurations have lengths
+    rows, widths = bucketed(places(chosen))  # as many rows as configurations have lengths, twice at most
+    slots = spark.createDataFrame(rows, "bucket long, length long, from_rank long, to_rank long, each long, first_sequence long, first_offset long")
+    widths = spark.createDataFrame(widths, "length long, width long")  # lengths are at most the capacity
     at = F.col("rank") - F.col("from_rank")
-    return ranked(found).join(slots, "length").filter("rank >= from_rank and rank < to_rank").select(
+    placed = ranked(found).join(F.broadcast(widths), "length").withColumn("bucket", F.floor(F.col("rank") / F.col("width")))
+    return placed.join(slots, ["length", "bucket"]).filter("rank >= from_rank and rank < to_rank").select(
         "doc_id", "piece", "start", "length", "ids_crc32",
         (F.col("first_sequence") + F.floor(at / F.col("each"))).cast("long").alias("sequence_id"),
         (F.col("first_offset") + (at % F.col("each")) * F.col("length")).cast("long").alias("offset"),

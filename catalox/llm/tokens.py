@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import string
 import unicodedata
 from array import array
@@ -15,6 +16,8 @@ from tokenizers import Tokenizer
 MEMO_CHUNKS = 1_000_000
 #: New chunks that go to the tokenizer in one text.
 RUN = 4096
+# Fixed value: how a lower-casing tokenizer with word ends splits texts, for which chunks are known to be apart.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: ASCII marks; an apostrophe may begin a part with letters.
 MARKS = string.punctuation.replace("'", "")
 
@@ -44,6 +47,7 @@ class ChunkTokenizer:
     white space, so a text's ids are those of its chunks in a row. Texts that hold
     the start of a special token are encoded whole. A word's last token bears the
     word-end suffix, so many new words are encoded as one text and told apart again.
+    A tokenizer that does not lower-case or mark word ends encodes each text whole.
     """
 
     def __init__(self, path: str):
@@ -52,6 +56,13 @@ class ChunkTokenizer:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.memo: dict[str, bytes] = {}
+        about = json.loads(self.whole.to_str())
+        steps = (about["normalizer"] or {}).get("normalizers", [about["normalizer"] or {}])
+        #: Other tokenizers than lower-casing ones with word ends get whole texts.
+        splits = (about["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.by_chunk = (
+            any(x.get("type") == "Lowercase" for x in steps) and about["model"].get("end_of_word_suffix") == "</w>"
+            and any(x.get("pattern") == {"Regex": PARTS} for x in splits))
 
     def _full(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
@@ -104,6 +115,8 @@ class ChunkTokenizer:
     def encode(self, texts: pa.Array) -> list[bytes]:
         """``texts`` is an Arrow array of strings; null counts as empty."""
         texts = pc.fill_null(texts, "")
+        if not self.by_chunk:
+            return self._full(texts.to_pylist())
         special = np.asarray(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False), bool)
         plain = pc.if_else(pa.array(special), "", texts)
         plain = pc.if_else(pc.string_is_ascii(plain), pc.ascii_lower(plain), plain)

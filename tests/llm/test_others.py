@@ -15,7 +15,7 @@ from helpers import awkward, frame, words
 
 from catalox.llm import mixing, quality, warc
 from catalox.llm.ann import nearest
-from catalox.llm.packing import default_tokenizer, pack, solve
+from catalox.llm.packing import bucketed, default_tokenizer, pack, places, solve
 
 
 # Mixing
@@ -66,6 +66,10 @@ def test_mixing_edges(spark):
     assert mixing.mix(docs).count() == 0
     docs = spark.createDataFrame([(1, None, "en", "src0", 1), (None, "a b", "en", "src0", 1), (2, "a b c d", None, None, 1)], "doc_id long, text string, lang string, source string, part long")
     assert [(r.doc_id, r.taken) for r in mixing.mix(docs).collect()] == [(2, 3)]
+    # Rows that repeat an id are drawn each; a very long text is cut where its leaf's part ends.
+    docs = spark.createDataFrame([(1, "a b", "en", "src0"), (1, "a b", "en", "src0"), (2, "w " * 300_000, "en", "src0")], "doc_id long, text string, lang string, source string")
+    got = mixing.mix(docs, budget_share=0.5).collect()
+    assert sum(r.taken for r in got) == 150_002 and {r.epoch for r in got} == {0}
 
 
 # Quality
@@ -308,6 +312,27 @@ def test_packing(spark, capacity):
     assert used <= math.ceil(least * 1.05) + 1
 
 
+def test_packing_with_another_tokenizer(spark, tmp_path):
+    """One that keeps capitals: whole texts are encoded, nothing is lower-cased before."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    tok = Tokenizer(models.WordLevel({"[UNK]": 0, "a": 1, "A": 2, "b": 3}, unk_token="[UNK]"))
+    tok.pre_tokenizer = pre_tokenizers.Whitespace()
+    tok.save(path := str(tmp_path / "cased.json"))
+    got = pack(frame(spark, [(1, "A a b"), (2, "a a b"), (1, "b")]), tokenizer=path).collect()
+    crc = lambda *ids: zlib.crc32(np.array([*ids, 0], "<u4").tobytes())
+    assert sorted((r.doc_id, r.length, r.ids_crc32) for r in got) == sorted([(1, 4, crc(2, 1, 3)), (2, 4, crc(1, 1, 3)), (1, 2, crc(3))])
+
+
+def test_rank_buckets():
+    rows = places([(5, {10: 3, 7: 1}), (90, {10: 1}), (1, {7: 2, 10: 1})])
+    slots, widths = bucketed(rows)
+    assert {r[1:] for r in slots} == set(rows) and len(slots) <= 2 * len(rows)
+    for size, width in widths:
+        for rank in range(max(r[2] for r in rows if r[0] == size)):
+            assert sum(r[1] == size and r[0] == rank // width and r[2] <= rank < r[3] for r in slots) == 1
+
+
 def test_packing_edges(spark):
     assert pack(frame(spark, [], extra=False)).count() == 0
     assert [(r.length, r.offset) for r in pack(frame(spark, [(1, None)])).collect()] == [(1, 0)]
