@@ -1,7 +1,12 @@
 """A training corpus from ``documents``: quality, repeated lines, near-duplicates, source mixture, packed sequences.
 
 Each stage is one operator; its rows are written as Parquet and read again by the
-next. All stages but the last return the columns of ``documents``.
+next. All stages but the last return the columns of ``documents``; further columns of
+the input are left out. Null, empty and blank texts go in the first stage, as do rows
+without an id; the other stages take them too and keep them as their operators say. Rows
+that repeat an id go on together: the quality stage keeps all if it keeps one, and the
+near-duplicate stage keeps all rows of an id that stays. Texts of any length are read
+whole, and an empty table passes through as one.
 """
 
 from __future__ import annotations
