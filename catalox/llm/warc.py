@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from datetime import UTC, datetime
 from urllib.parse import urlsplit
@@ -26,8 +27,9 @@ from catalox.sources.scratch import delete
 REVISIT_BYTES = 1000
 #: Records of one archive file and bytes of payload planned for it; they bound what a task holds when it reads one.
 FILE_RECORDS, FILE_BYTES = 2000, 64 << 20
-#: Entries planned for one merge range.
-RANGE_ENTRIES = 200_000
+#: Entries planned for one merge range, and those of a sample that set its bounds.
+RANGE_ENTRIES, RANGE_SAMPLE = 200_000, 50
+KEY = ("url_key", "capture_time", "page_id")
 #: Captures have no time of their own here: each id is one second after the one before, and after so many ids times start again.
 FIRST_CAPTURE, CAPTURE_SECONDS = datetime(2024, 1, 1, tzinfo=UTC), 30 * 365 * 86_400
 END = "\r\n\r\n"
@@ -184,25 +186,72 @@ def loser_tree_merge(runs: list[Iterator[tuple]], key=lambda e: e[:3]) -> Iterat
         champion = play(champion)
 
 
+def range_cuts(index: DataFrame, ranges: int) -> list[tuple]:
+    """Keys that part the index into about equal ranges, from a sample of ``RANGE_SAMPLE`` entries a range."""
+    if ranges < 2:
+        return []
+    every = max(1, index.count() // (ranges * RANGE_SAMPLE))
+    taken = index.filter(F.pmod(F.xxhash64(*KEY), F.lit(every)) == 0).select(*KEY).orderBy(*KEY).toArrow()
+    keys = list(zip(*(c.to_pylist() for c in taken.columns), strict=True))
+    return sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
+
+
 def merge_runs(index: DataFrame, range_entries: int = RANGE_ENTRIES) -> DataFrame:
-    """The index in global order of (url_key, capture_time, page_id): one merge of all runs for each key range."""
+    """The index in global order of (url_key, capture_time, page_id): one merge of all runs for each key range.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[str, list[tuple]] = {}
+    Runs are cut at the ranges' bounds where they lie and move as slices that keep
+    their order, so entries are sorted once, in their run.
+    """
+    ranges = max(1, -(-index.count() // range_entries))
+    cuts = range_cuts(index, ranges)
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                runs.setdefault(row[8], []).append(row)
+            keys = list(zip(*(batch.column(c).to_pylist() for c in KEY), strict=True))
+            archives = batch.column("archive").to_pylist()
+            out, start = [], 0
+            for stop in range(1, len(keys) + 1):
+                if stop < len(keys) and archives[stop] == archives[start]:
+                    continue
+                at = start
+                while at < stop:
+                    k = bisect_right(cuts, keys[at])
+                    end = stop if k == len(cuts) else bisect_left(keys, cuts[k], at, stop)
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, batch.schema) as writer:
+                        writer.write_batch(batch.slice(at, end - at))
+                    out.append((k, archives[at], *keys[at], sink.getvalue().to_pybytes()))
+                    at = end
+                start = stop
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary()), strict=True)], names=["range", "archive", *KEY, "entries"])
+
+    def entries(blobs: list[bytes]) -> Iterator[tuple]:
+        for blob in blobs:
+            table = pa.ipc.open_stream(blob).read_all()
+            yield from zip(*(c.to_pylist() for c in table.columns), strict=True)
+
+    def merged(runs: dict[str, list[bytes]]) -> Iterator[pa.RecordBatch]:
         out = []
-        for row in loser_tree_merge([iter(runs[name]) for name in sorted(runs)]):
+        for row in loser_tree_merge([entries(runs[name]) for name in sorted(runs)]):
             out.append(row)
             if len(out) == 10_000:
                 yield _entries(out)
                 out = []
         yield _entries(out)
 
-    ranges = max(1, -(-index.count() // range_entries))
-    # Entries of a run arrive together and in their own order; the order across runs is the merge's.
-    dealt = index.repartitionByRange(ranges, "url_key", "capture_time", "page_id").sortWithinPartitions("archive", "url_key", "capture_time", "page_id")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, runs = None, {}
+        for batch in batches:
+            for k, archive, blob in zip(batch.column("range").to_pylist(), batch.column("archive").to_pylist(), batch.column("entries").to_pylist(), strict=True):
+                if k != now:
+                    yield from merged(runs)
+                    now, runs = k, {}
+                runs.setdefault(archive, []).append(blob)
+        yield from merged(runs)
+
+    cut = index.mapInArrow(slices, "range int, archive string, url_key string, capture_time string, page_id long, entries binary")
+    dealt = cut.repartitionByRange(len(cuts) + 1, "range").sortWithinPartitions("range", "archive", *KEY)
     return dealt.mapInArrow(run, INDEX)
 
 

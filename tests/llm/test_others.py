@@ -209,6 +209,8 @@ def test_warc_large_ids_and_pages(spark, tmp_path):
     assert sorted((r.page_id, r.payload_bytes) for r in got) == sorted((i, len(h)) for i, _, h in pages)
     assert [(r.url_key, r.capture_time, r.page_id) for r in got] == sorted((r.url_key, r.capture_time, r.page_id) for r in got)
     assert {len(r.capture_time) for r in got} == {20}
+    parts = warc.merge_runs(warc.read_archives(spark, at), range_entries=9).collect()  # many ranges, some runs in several
+    assert [(r.url_key, r.capture_time, r.page_id) for r in parts] == [(r.url_key, r.capture_time, r.page_id) for r in got]
     held = Counter()
     for r in got:
         held[r.archive] += r.payload_bytes
