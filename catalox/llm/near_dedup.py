@@ -35,6 +35,8 @@ COORDINATES, MISS = 64, 5e-6
 BLOCK, SET_MEMBERS, SET_SHINGLES = 2048, 256, 1 << 18
 #: Pairs that a task holds before it packs them.
 HELD_PAIRS = 500_000
+#: Rows whose pairs are counted together.
+FEW = 96
 #: Long postings that are looked up before candidates are dropped again.
 SKIP = 8
 #: Members one task compares with a leader.
@@ -170,19 +172,26 @@ def _cells(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def merged(sig: np.ndarray, matches: int, fits) -> Iterator[tuple[int, np.ndarray]]:
-    """Pairs of rows of ``sig`` that agree in ``matches`` columns, as (i, later rows), by prefix and skip merging.
+def merged(sig: np.ndarray, matches: int, fits) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (a, b), a < b, of rows of ``sig`` that agree in ``matches`` columns, by prefix and skip merging.
 
     Each column's values have postings, the sorted rows that hold them. Two rows
     that agree in m of n columns share one of the n - m + 1 rarest postings of
-    either, so the merge of these names a row's candidates. ``fits(i, rows)`` marks
-    those worth counting. The other postings are long: they are not merged but
+    either, so the merge of these names a row's candidates. ``fits(a, b)`` marks
+    the pairs worth counting. The other postings are long: they are not merged but
     looked up for each candidate, and a candidate goes once what is left cannot
-    bring it to m.
+    bring it to m. Few rows have no long postings: their pairs are counted together.
     """
     rows, width = sig.shape
     if matches > width or rows < 2:
         return
+    if rows <= FEW:
+        a, b = np.triu_indices(rows, 1)
+        keep = fits(a, b)
+        a, b = a[keep], b[keep]
+        keep = (sig[a] == sig[b]).sum(1) >= matches
+        yield a[keep], b[keep]
+        return
     order = np.argsort(sig, 0, kind="stable").astype(np.int32)
     low, high = np.empty((rows, width), np.int32), np.empty((rows, width), np.int32)
     for c in range(width):
@@ -214,7 +223,7 @@ def merged(sig: np.ndarray, matches: int, fits) -> Iterator[tuple[int, np.ndarra
             found, count = found[keep], count[keep]
         found = found[count >= matches]
         if len(found):
-            yield i, found
+            yield np.full(len(found), i), found
 
 
 def colliding(lists: DataFrame, members: DataFrame, matches: int, block: int = BLOCK) -> DataFrame:
@@ -238,15 +247,15 @@ def colliding(lists: DataFrame, members: DataFrame, matches: int, block: int = B
             bits = np.uint64(1) << np.arange(sig.shape[1], dtype=np.uint64)
             below = np.uint64((1 << coord) - 1)
 
-            def fits(i: int, to: np.ndarray, own=own, comp=comp, low=low, band=band, apart=p != q) -> np.ndarray:
-                fit = (comp[to] != comp[i]) & (np.maximum(low[to], low[i]) == band)
-                return fit & (own[to] != own[i]) if apart else fit
+            def fits(a, b: np.ndarray, own=own, comp=comp, low=low, band=band, apart=p != q) -> np.ndarray:
+                fit = (comp[a] != comp[b]) & (np.maximum(low[a], low[b]) == band)
+                return fit & (own[a] != own[b]) if apart else fit
 
             found, held = [], 0
-            for i, to in merged(sig, matches, fits):
-                to = to[((sig[to] == sig[i]) @ bits) & mask[to] & mask[i] & below == 0]
-                found.append(np.stack([np.full(len(to), i), to]))
-                held += len(to)
+            for a, b in merged(sig, matches, fits):
+                own_pair = ((sig[a] == sig[b]) @ bits) & mask[a] & mask[b] & below == 0
+                found.append(np.stack([a[own_pair], b[own_pair]]))
+                held += int(own_pair.sum())
                 if held >= HELD_PAIRS:
                     yield pack(rep, home, found)
                     found, held = [], 0

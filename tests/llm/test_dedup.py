@@ -193,9 +193,10 @@ def test_merging_finds_all_colliding_pairs():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1000, (6, 64))
     sig = np.where(rng.random((300, 64)) < rng.random((300, 1)) * 0.6, rng.integers(0, 50, (300, 64)), base[rng.integers(6, size=300)]).astype(np.uint32)
-    for m in (20, 36, 64):
-        want = {(i, j) for i in range(300) for j in range(i + 1, 300) if (sig[i] == sig[j]).sum() >= m and (i + j) % 3}
-        assert {(i, int(j)) for i, to in merged(sig, m, lambda i, to: (i + to) % 3 > 0) for j in to} == want
+    for m, rows in ((20, 300), (36, 300), (64, 300), (36, 50), (36, 2), (36, 1)):
+        want = {(i, j) for i in range(rows) for j in range(i + 1, rows) if (sig[i] == sig[j]).sum() >= m and (i + j) % 3}
+        got = [p for a, b in merged(sig[:rows], m, lambda a, b: (a + b) % 3 > 0) for p in zip(a.tolist(), b.tolist(), strict=True)]
+        assert set(got) == want and len(got) == len(want)
     assert matches_for(80) == 36 and matches_for(60) < 30 < matches_for(90)
 
 
