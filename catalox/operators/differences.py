@@ -19,24 +19,26 @@ def by_name(a: DataFrame, b: DataFrame, name: str, hash_: str) -> DataFrame:
 
 
 def unmatched(a: DataFrame, b: DataFrame, name: str, hash_: str) -> DataFrame:
-    """Rows (name, hash) of ``a`` whose hashes exceed those of ``b`` in number; of equal hashes the last names stay.
+    """Rows (side, name, hash) of either side ("a", "b") whose hashes exceed those of the other in number; of equal hashes the last names stay.
 
     Only counts of hashes meet, so no pairs are made; names are ordered only where
-    both sides hold a hash and this one more often. A null hash matches nothing.
+    both sides hold a hash and one of them more often. A null hash matches nothing.
     """
-    own, held = (d.groupBy(hash_).agg(F.count("*").alias(n)) for d, n in ((a, "own"), (b, "held")))
-    rows = a.select(name, hash_).join(own.join(held, hash_, "left").filter("held is null or own > held"), hash_)
-    placed = numbered(rows.filter("held is not null"), [F.col(hash_), F.col(name)])
-    starts = placed.groupBy(hash_).agg(F.min("position").alias("start"))
-    more = placed.join(starts, hash_).filter("position - start >= held").select(name, hash_)
-    return more.unionByName(rows.filter("held is null").select(name, hash_)).unionByName(a.filter(F.col(hash_).isNull()).select(name, hash_))
+    every = a.select(F.lit("a").alias("side"), name, hash_).unionByName(b.select(F.lit("b").alias("side"), name, hash_))
+    mine = F.col("side") == "a"
+    counts = every.groupBy(hash_).agg(F.count_if(mine).alias("n_a"), F.count_if(~mine).alias("n_b"))
+    rows = every.join(counts, hash_).withColumns({"own": F.when(mine, F.col("n_a")).otherwise(F.col("n_b")), "held": F.when(mine, F.col("n_b")).otherwise(F.col("n_a"))})
+    placed = numbered(rows.filter("held > 0 and own > held").select("side", name, hash_, "held"), [F.col("side"), F.col(hash_), F.col(name)])
+    starts = placed.groupBy("side", hash_).agg(F.min("position").alias("start"))
+    more = placed.join(starts, ["side", hash_]).filter("position - start >= held")
+    return more.select("side", name, hash_).unionByName(rows.filter("held = 0").select("side", name, hash_)).unionByName(every.filter(F.col(hash_).isNull()))
 
 
 def by_content(a: DataFrame, b: DataFrame, name: str, hash_: str) -> DataFrame:
     """Rows (name, status) of the difference by content: names unmatched on both sides are modified."""
-    x, y = (unmatched(p, q, name, hash_).select(F.col(name), F.lit(True).alias(s)) for p, q, s in ((a, b, "in_a"), (b, a, "in_b")))
-    status = F.when(F.col("in_a") & F.col("in_b"), "modified").when(F.col("in_a"), "only_a").otherwise("only_b")
-    return x.join(y, name, "full").select(name, status.alias("status"))
+    sides = unmatched(a, b, name, hash_).groupBy(name).agg(F.collect_set("side").alias("sides"))
+    status = F.when(F.size("sides") == 2, "modified").when(F.array_contains("sides", "a"), "only_a").otherwise("only_b")
+    return sides.select(name, status.alias("status"))
 
 
 def replicate_plan(source: DataFrame, target: DataFrame, name: str, hash_: str) -> DataFrame:

@@ -149,9 +149,7 @@ _SIDES = f"{ASSETS}, a AS (SELECT file_name, hash FROM assets WHERE content_type
     SELECT 'a' AS side, file_name, hash FROM x WHERE (hash, r) NOT IN (SELECT hash, r FROM y)
     UNION ALL SELECT 'b', file_name, hash FROM y WHERE (hash, r) NOT IN (SELECT hash, r FROM x)""")
 def except_all_both(spark, sf_dir):
-    a, b = _sides(spark, sf_dir)
-    one = differences.unmatched(a, b, "file_name", "hash").select(F.lit("a").alias("side"), "file_name", "hash")
-    return one.unionByName(differences.unmatched(b, a, "file_name", "hash").select(F.lit("b").alias("side"), "file_name", "hash"))
+    return differences.unmatched(*_sides(spark, sf_dir), "file_name", "hash")
 
 
 _CHANGED = "FROM local_ l FULL JOIN origin o ON l.key = o.key WHERE l.key IS NULL OR o.key IS NULL OR l.hash <> o.hash"
