@@ -10,8 +10,8 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Tables that the innermost open :func:`scratch` deletes when it closes.
-_open: ContextVar[list[str] | None] = ContextVar("_open", default=None)
+#: Tables of the innermost open :func:`scratch`: those it deletes when it closes, and those it leaves to the one around it.
+_open: ContextVar[tuple[list[str], list[str]] | None] = ContextVar("_open", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,13 +35,14 @@ def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """``df`` written once as Parquet and read again, which cuts its lineage at a copy that outlives executors.
 
     Inside :func:`scratch` the table goes when that closes, unless ``keep`` says
-    that the result still reads it. Kept tables stay until :func:`drop_tables`.
+    that the result still reads it. Kept tables go with a scratch around this one, or
+    stay until :func:`drop_tables`.
     """
     spark = df.sparkSession
     path = f"{tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if not keep and (held := _open.get()) is not None:
-        held.append(path)
+    if (inside := _open.get()) is not None:
+        inside[keep].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -53,13 +54,15 @@ def delete(spark: SparkSession, path: str) -> None:
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes the tables materialised inside it, but for those kept."""
-    held: list[str] = []
-    before = _open.set(held)
+    gone, kept = [], []
+    before = _open.set((gone, kept))
     try:
         yield
     finally:
         _open.reset(before)
-        for path in held:
+        if (around := _open.get()) is not None:
+            around[0].extend(kept)
+        for path in gone:
             delete(spark, path)
 
 

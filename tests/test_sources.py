@@ -63,3 +63,23 @@ def test_change_stream(spark, tmp_path):
     change_stream(file_stream(spark, source, ops.schema), at, mark, "id", ["name"], "labels").awaitTermination()
     assert store.latest(spark, at) == 1
     assert sorted((r.id, r.name, str(r.labels)) for r in store.read_version(spark, at).collect()) == [("r1", "n", "['a', 'b']"), ("r2", "x", "None")]
+
+
+def test_scratch_tables_go(spark):
+    """Tables go with the scratch that they were written in; kept ones with the one around it."""
+    import os
+
+    from catalox.sources import scratch
+
+    one = spark.range(3)
+    local = lambda uri: "/" + uri.split(":", 1)[1].lstrip("/")
+    with scratch.scratch(spark):
+        with scratch.scratch(spark):
+            gone, kept = scratch.materialize(one, "a"), scratch.materialize(one, "b", keep=True)
+            files = [gone.inputFiles()[0], kept.inputFiles()[0]]
+        assert kept.count() == 3 and [os.path.exists(local(f)) for f in files] == [False, True]
+    assert not os.path.exists(local(files[1]))
+    free = local(scratch.materialize(one, "c").inputFiles()[0])
+    assert os.path.exists(free)
+    scratch.drop_tables(spark)
+    assert not os.path.exists(free)
