@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalox.llm.common import materialize
+from catalox.llm.common import materialize, scratch
 from catalox.llm.line_dedup import line_dedup
 from catalox.llm.mixing import MAX_EPOCHS, mix
 from catalox.llm.near_dedup import near_dedup
@@ -63,6 +63,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    with scratch(spark):  # what the stages leave goes at the end, but for the last one's rows
+        for name, stage in STAGES:
+            docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}", keep=name == STAGES[-1][0])
     return docs
