@@ -64,3 +64,19 @@ def test_null_and_empty(spark):
         for _, stage in pipeline.STAGES:
             held = stage(spark, held, SF)
         held.collect()
+
+
+def test_odd_rows(spark):
+    """Repeated rows and ids, equal texts, a very long text and columns with the stages' own names: no stage fails or loses a kept id."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, "en", "src0", 1), (1, text, "en", "src0", 1), (2, text, "en", "src0", 1), (3, "a b c d e\nshared", "en", "src0", 1), (3, "other text here\nshared", "de", None, 2), (4, " ".join(f"x{i % 5000}" for i in range(200_000)), "en", "src3", 3)]
+    clash = ["id", "rep", "kept", "lang_", "epoch", "taken", "piece", "block", "h"]
+    docs = spark.createDataFrame([(*r, *["x"] * len(clash)) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in clash))
+    held, seen = docs, []
+    for name, stage in pipeline.STAGES:
+        held = stage(spark, held, SF).cache()
+        seen.append({r.doc_id for r in held.collect()})
+        if name != "packing":
+            assert held.columns == pipeline.COLUMNS
+    assert seen[0] == seen[1] == {1, 2, 3, 4} and seen[2] == {1, 3, 4}
+    assert seen[3] <= seen[2] and seen[4] == seen[3]
