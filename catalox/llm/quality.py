@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalox.llm.common import HashMemo, chunks, materialize, multipliers, scratch, split_words, spread, tables_dir, word_hashes
+from catalox.llm.common import chunks, materialize, multipliers, scratch, split_words, spread, tables_dir
 from catalox.sources.scratch import delete
 
 #: Trusted documents are dealt to so many folds by their id; the first is held out.
@@ -115,6 +115,12 @@ def _salt(lang: str) -> np.uint64:
     return np.uint64(xxhash.xxh64_intdigest(lang.encode()))
 
 
+def _hashed(words: pa.Array) -> np.ndarray:
+    """64-bit hashes; each distinct word is hashed once, and none is remembered."""
+    coded = words.dictionary_encode()
+    return np.array([xxhash.xxh64_intdigest(x) for x in coded.dictionary.cast(pa.binary()).to_pylist()], np.uint64)[coded.indices.to_numpy()]
+
+
 def _number(h: np.ndarray) -> np.ndarray:
     return spread(h) >> np.uint64(64 - WORD_BITS)
 
@@ -188,12 +194,12 @@ def blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Blocks of ``docs(id, text, lang, train, held)``: about ``block_words`` words each, whole documents, from one partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, parts, held, number = HashMemo(), [], 0, TaskContext.get().partitionId() << 32
+        parts, held, number = [], 0, TaskContext.get().partitionId() << 32
         for batch in chunks(batches, "text"):
             words, n = split_words(batch.column(1))
             langs = batch.column(2).to_pylist()
             salt = {x: _salt(x) for x in set(langs)}
-            numbers = _number(word_hashes(words, memo) + np.repeat(np.array([salt[x] for x in langs], np.uint64), n)) if len(words) else np.zeros(0, np.uint64)
+            numbers = _number(_hashed(words) + np.repeat(np.array([salt[x] for x in langs], np.uint64), n)) if len(words) else np.zeros(0, np.uint64)
             flags = [batch.column(i).to_numpy(zero_copy_only=False).astype(bool) for i in (3, 4)]
             parts.append((batch.column(0).to_numpy(), langs, n, *flags, numbers))
             held += len(words)
