@@ -20,11 +20,12 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalox.llm.common import HashMemo, chunks, hashes, materialize, multipliers, scratch, spread
+from catalox.llm.common import chunks, materialize, multipliers, scratch, split_words, spread
 from catalox.llm.components import components
 
 SHINGLE = 5
@@ -34,7 +35,7 @@ COORDINATES, MISS = 64, 5e-6
 #: Members of a block whose signatures are compared with another's, and members and shingles of a block of sets.
 BLOCK, SET_MEMBERS, SET_SHINGLES = 2048, 256, 1 << 18
 #: Pairs that a task holds before it packs them.
-HELD_PAIRS = 500_000
+HELD_PAIRS = 200_000
 #: Rows whose pairs are counted together.
 FEW = 96
 #: Long postings that are looked up before candidates are dropped again.
@@ -58,18 +59,18 @@ def band_of(n, similarity: int):
     return F.floor(F.log(n) / float(np.log(100.8 / similarity))).cast("int")
 
 
-def _shingles(text: bytes | None, k: int, memo: HashMemo, mult: np.ndarray) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the k-word shingles; a shorter text is one shingle."""
-    words = (text or b"").lower().split()
-    w = hashes(words, memo)
-    n = len(w)
-    if not n:
-        return w
-    size = min(n, k)
-    h = np.full(n - size + 1, size, np.uint64)
-    for j in range(size):
-        h += w[j : n - size + 1 + j] * mult[j]
-    return np.unique(spread(h))
+def _shingles(texts: pa.Array, k: int, mult: np.ndarray) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its k-word shingles; a shorter text is one shingle."""
+    words, counts = split_words(pc.ascii_lower(pc.fill_null(texts, "")))
+    coded = words.dictionary_encode()
+    w = np.array([xxhash.xxh64_intdigest(x) for x in coded.dictionary.cast(pa.binary()).to_pylist()], np.uint64)[coded.indices.to_numpy()]
+    run = lambda at, stop, size: spread(sum((w[at + j : stop - size + 1 + j] * mult[j] for j in range(size)), np.uint64(size)))
+    full = run(0, len(w), k) if len(w) >= k else w[:0]
+    out, at = [], 0
+    for n in counts.tolist():
+        out.append(w[:0] if not n else np.unique(full[at : at + n - k + 1] if n >= k else run(at, at + n, n)))
+        at += n
+    return out
 
 
 def signatures(docs: DataFrame, k: int, id_col: str, text_col: str, coordinates: int = COORDINATES, seed: int = 11) -> DataFrame:
@@ -77,9 +78,8 @@ def signatures(docs: DataFrame, k: int, id_col: str, text_col: str, coordinates:
     mult, a, b, tag = (multipliers(n, seed + i) for i, n in enumerate((k, coordinates, coordinates, coordinates)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = HashMemo()
         for batch in chunks(batches, "text"):
-            sets = [_shingles(t, k, memo, mult) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            sets = _shingles(batch.column(1), k, mult)
             n = np.array([len(s) for s in sets], np.int64)
             full = np.flatnonzero(n)
             digests = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
@@ -107,9 +107,8 @@ def shingle_sets(docs: DataFrame, reps: DataFrame, k: int, id_col: str, text_col
     mult = multipliers(k, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = HashMemo()
         for batch in chunks(batches, "text"):
-            packed = [_shingles(t, k, memo, mult).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            packed = [x.tobytes() for x in _shingles(batch.column(1), k, mult)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["id", "shingles"])
 
     return _texts(docs, id_col, text_col).join(reps.hint("shuffle_hash"), "id", "left_semi").mapInArrow(run, "id long, shingles binary")
