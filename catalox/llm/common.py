@@ -49,7 +49,7 @@ def word_hashes(words: pa.Array, memo: HashMemo) -> np.ndarray:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``most`` bytes of ``text``, one row at least."""
+    """The same rows in batches of about ``most`` bytes of ``text``, one row at least; at the end Arrow's free memory goes back, as workers serve many tasks."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         size = np.asarray(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), np.int64)
@@ -60,6 +60,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CH
             stop = max(start + 1, int(np.searchsorted(ends, base + most, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()
 
 
 def spread(h: np.ndarray) -> np.ndarray:

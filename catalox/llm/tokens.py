@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Chunks a worker remembers before it starts again.
-MEMO_CHUNKS = 1_000_000
+MEMO_CHUNKS = 500_000
 #: New chunks that go to the tokenizer in one text.
 RUN = 4096
 # Fixed value: how a lower-casing tokenizer with word ends splits texts, for which chunks are known to be apart.
