@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from catalox.sources.scratch import delete, materialize
 
@@ -71,27 +73,50 @@ def build(df: DataFrame, path: str, name: str, order: Sequence[Column], size: in
     placed = placed.withColumn("leaf", leaf).repartitionByRange("leaf").sortWithinPartitions("leaf", "position")
     placed.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("leaf").parquet(f"{path}/{name}/entries")
     kept = df.sparkSession.read.schema(placed.schema).parquet(f"{path}/{name}/entries")
-    total = kept.agg(F.count("*").alias("total_entries")).select("total_entries", F.ceil(F.col("total_entries") / size).cast("long").alias("total_pages"), F.lit(leaf_pages).alias("leaf_pages"))
+    total = kept.agg(F.count("*").alias("total_entries")).select("total_entries", F.ceil(F.col("total_entries") / size).cast("long").alias("total_pages"), F.lit(leaf_pages).alias("leaf_pages"), F.lit(placed.schema.json()).alias("schema"))
     total.coalesce(1).write.mode("overwrite").json(f"{path}/{name}/totals")
 
 
+def _totals(spark: SparkSession, path: str, name: str) -> Row:
+    return spark.read.schema("total_entries long, total_pages long, leaf_pages int, schema string").json(f"{path}/{name}/totals").first()
+
+
+def _leaves(spark: SparkSession, path: str, name: str, totals: Row, start: int, stop: int) -> DataFrame:
+    """The entries of the leaves from ``start`` up to ``stop``; the folders of others are not even listed."""
+    root = f"{path}/{name}/entries"
+    last = -(-totals["total_pages"] // totals["leaf_pages"])
+    schema = StructType.fromJson(json.loads(totals["schema"]))
+    found = [f"{root}/leaf={n}" for n in range(max(start, 0), min(stop, last))]
+    entries = spark.read.schema(schema).option("basePath", root).parquet(*found) if found else spark.createDataFrame([], schema)
+    return entries.filter(F.col("leaf").between(start, stop - 1))
+
+
 def read_page(spark: SparkSession, path: str, name: str, number: int) -> DataFrame:
     """One page of a kept index in its order, with the totals; only the leaf that holds it is scanned."""
-    totals = spark.read.schema("total_entries long, total_pages long, leaf_pages int").json(f"{path}/{name}/totals").first()
-    entries = spark.read.parquet(f"{path}/{name}/entries") if totals["total_entries"] else None
-    if entries is None:
+    totals = _totals(spark, path, name)
+    if not totals["total_entries"]:
         raise ValueError(f"the index {name} has no entries")
-    found = entries.filter((F.col("leaf") == number // totals["leaf_pages"]) & (F.col("page") == number))
+    leaf = number // totals["leaf_pages"]
+    found = _leaves(spark, path, name, totals, leaf, leaf + 1).filter(F.col("page") == number)
     return found.withColumns({c: F.lit(totals[c]).cast("long") for c in ("total_entries", "total_pages")})
 
 
 def pages(spark: SparkSession, path: str, name: str, token: int | None = None, leaves: int = 1) -> tuple[DataFrame, int | None]:
     """The entries of the next ``leaves`` leaves from a token (none at first), and the token to go on with; none at the end."""
-    totals = spark.read.schema("total_entries long, total_pages long, leaf_pages int").json(f"{path}/{name}/totals").first()
+    totals = _totals(spark, path, name)
     start = token or 0
     stop = start + leaves
-    entries = spark.read.parquet(f"{path}/{name}/entries").filter(F.col("leaf").between(start, stop - 1))
-    return entries, stop if stop * totals["leaf_pages"] < totals["total_pages"] else None
+    return _leaves(spark, path, name, totals, start, stop), stop if stop * totals["leaf_pages"] < totals["total_pages"] else None
+
+
+def scan(spark: SparkSession, path: str, name: str, leaves: int = 1) -> DataFrame:
+    """All entries in order, each with the ``token`` by which :func:`pages` gives it (0 for the first call's).
+
+    One read, however many leaves there are: a union of the calls' results has a
+    scan for each, and each of its tasks reports on all of them.
+    """
+    entries = spark.read.schema(StructType.fromJson(json.loads(_totals(spark, path, name)["schema"]))).parquet(f"{path}/{name}/entries")
+    return entries.withColumn("token", F.col("leaf") - F.col("leaf") % leaves).orderBy("position")
 
 
 def names(spark: SparkSession, path: str) -> list[str]:

@@ -239,6 +239,34 @@ def test_kept_index(spark, tmp_path):
     assert index.names(spark, str(tmp_path)) == []
 
 
+def test_scan_of_a_kept_index(spark, tmp_path):
+    """One read gives what the calls by token give; a call lists its own leaves only; nothing is found where there is nothing."""
+    df = spark.range(1000).select("id", (F.col("id") * 7 % 100).alias("v"))
+    at, order = str(tmp_path), [F.col("v"), F.col("id")]
+    want = [r.id for r in df.orderBy(*order).collect()]
+    index.build(df, at, "by_v", order, 20, 3)
+    for leaves in (1, 5):
+        token, seen, files = None, [], set()
+        while True:
+            part, following = index.pages(spark, at, "by_v", token, leaves)
+            seen += [(r.id, r.position, token or 0) for r in part.orderBy("position").collect()]
+            folders = {f.split("/")[-2] for f in part.inputFiles()}
+            assert folders == {f"leaf={n}" for n in range(token or 0, min((token or 0) + leaves, 17))}
+            files |= folders
+            if (token := following) is None:
+                break
+        scanned = index.scan(spark, at, "by_v", leaves)
+        assert [tuple(r) for r in scanned.select("id", "position", "token").collect()] == seen
+        assert [r[0] for r in seen] == want and len(files) == 17
+    assert index.pages(spark, at, "by_v", 17)[0].count() == index.read_page(spark, at, "by_v", 50).count() == index.read_page(spark, at, "by_v", -1).count() == 0
+    index.build(df.limit(0), at, "none", order)
+    part, token = index.pages(spark, at, "none")
+    assert part.columns == index.scan(spark, at, "none").drop("token").columns and token is None
+    assert part.count() == index.scan(spark, at, "none").count() == 0
+    with pytest.raises(ValueError, match="no entries"):
+        index.read_page(spark, at, "none", 0)
+
+
 def test_edits_of_another_collection_raise(spark):
     records = spark.createDataFrame([("d", 1, None, [])], "db string, k int, score double, labels array<string>")
     ops = spark.createDataFrame([("d", "other", 1, 1, "set", "score", "2")], "db string, collection string, k int, seq int, kind string, field string, value string")
